@@ -70,7 +70,7 @@ def digest_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     try:
         for k, v in STATE.items():
             spark.conf.set(k, v)
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_batch).parquet(path)
+        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # a glob may be a folder or a file
         kept = _rows(stream, id_col, text_col, digest).groupBy("digest").agg(F.min(_best()).alias("best"), F.count(F.lit(1)).alias("n"))
         query = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", where).trigger(availableNow=True).start()
         query.awaitTermination()
