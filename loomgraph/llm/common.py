@@ -20,6 +20,7 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one round of numpy work takes (a longer document goes alone).
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -45,7 +46,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text only, so that no further column of the input can clash."""
+    """doc_id and text only, so that no further column of the input can clash.
+
+    Rows go to Python tasks in batches of at most BATCH_ROWS: texts are long, and a batch is held on both sides.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -7,7 +7,9 @@ before the hash itself. Two sets over the threshold share a shingle within their
 that order, and length and position bound the overlap from there.
 
 * Rare shingles (level 0) travel as packed arrays to hash buckets; a shingle's list is
-  short by definition, and its pairs are those that pass the bounds.
+  short by definition. Per pair, the shingles that both prefixes share are counted per
+  bucket and summed; a pair is tested only if length, position and that count leave room
+  for the overlap it needs.
 * Frequent shingles occur in a prefix only where a set consists of frequent shingles, as in
   large groups of near copies. Their lists are never collected: the smallest document of
   each list comes from a combined minimum, every other is paired with it (a star), and once
@@ -32,6 +34,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -41,9 +44,9 @@ from .common import byte_class, gram_hashes, materialise, mix, powers, span_hash
 from .components import components
 
 LEVEL_BITS = 24  # slots of the level table, one byte each
-SLOT_BITS = 27  # slots of the document bitmap, one bit each
+MAX_SLOT_BITS = 27  # slots of the document bitmap, one bit each, at most
 RARE = 16  # shingles in fewer documents have level 0
-FLUSH = 1 << 20  # shingles that a task holds before it sends them on
+FLUSH = 1 << 19  # shingles that a task holds before it sends them on
 FRAGMENTS = 4  # of the rare part of the order; the frequent part is one more
 
 
@@ -165,18 +168,18 @@ def level_table(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def slot_bitmap(ids: DataFrame) -> np.ndarray:
-    """The slots of the ids in the only column of ``ids``, as 2 ** SLOT_BITS bits."""
-    slot = _slot(F.col(ids.columns[0])) + 1
+def slot_bitmap(ids: DataFrame, slot_bits: int) -> np.ndarray:
+    """The slots of the ids in the only column of ``ids``, as 2 ** slot_bits bits."""
+    slot = _slot(F.col(ids.columns[0]), slot_bits) + 1
     packed = ids.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
-    for part, bits in packed.toLocalIterator():  # at most 2 ** SLOT_BITS bits
+    out = np.zeros(1 << (slot_bits - 3), np.uint8)
+    for part, bits in packed.toLocalIterator():  # at most 2 ** slot_bits bits
         out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bits, np.uint8)
     return out
 
 
-def _slot(c):  # noqa: ANN001, ANN202
-    return F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS))
+def _slot(c, slot_bits: int):  # noqa: ANN001, ANN202
+    return F.pmod(F.xxhash64(c), F.lit(1 << slot_bits))
 
 
 def _marked(batch: pa.RecordBatch, bitmap: np.ndarray) -> np.ndarray:
@@ -203,8 +206,17 @@ def _close(n_a, n_b, pos_a, pos_b):  # noqa: ANN001, ANN202
     return (4 * n_a >= 3 * n_b) & (4 * n_b >= 3 * n_a) & (7 * least(n_a - pos_a, n_b - pos_b) >= 3 * (n_a + n_b))
 
 
+def _rest(n):  # noqa: ANN001, ANN202
+    """Shingles of a set outside its prefix."""
+    return F.floor((3 * n + 3) / 4) - 1
+
+
 def rare_pairs(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast, copies: Broadcast) -> DataFrame:
-    """a, b, n_a, n_b (a < b): pairs that share a rare shingle of both prefixes, within the bounds."""
+    """a, b, n_a, n_b (a < b): pairs that share rare shingles of both prefixes, as many as the bounds ask for.
+
+    What two sets share beyond their prefixes is at most the longer rest of one of them; the frequent shingles of the
+    prefixes are counted as if all of the shorter list were shared.
+    """
     bits = _bucket_bits(sources[0][0])
 
     def send(marked: bool):  # noqa: ANN202
@@ -213,12 +225,12 @@ def rare_pairs(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast,
             size = 0
 
             def flush() -> pa.RecordBatch:
-                key, doc, n, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+                key, doc, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
                 order = np.argsort(key, kind="stable")
-                key, doc, n, pos = key[order], doc[order], n[order], pos[order]
-                rows = [(bucket, _pack(key[a:b] & np.uint64(0xFFFFFFFF)), doc[a:b].tobytes(), _pack(n[a:b]), _pack(pos[a:b])) for bucket, a, b in _by_bucket(key, bits)]
+                key, doc, *rest = (x[order] for x in (key, doc, *rest))
+                rows = [(bucket, _pack(key[a:b] & np.uint64(0xFFFFFFFF)), doc[a:b].tobytes(), *(_pack(x[a:b]) for x in rest)) for bucket, a, b in _by_bucket(key, bits)]
                 held.clear()
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "ids", "docs", "ns", "pos"])
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "ids", "docs", "ns", "pos", "more"])
 
             for batch in _kept(batches, copies, marked):
                 ids = batch.column("doc_id").to_numpy()
@@ -228,7 +240,7 @@ def rare_pairs(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast,
                     shingles, level = _prefix(s, levels.value)
                     rare = int(np.searchsorted(level, 1))
                     if rare:
-                        held.append((shingles[:rare] >> np.uint64(32 - bits), np.full(rare, ids[row]), np.full(rare, len(s)), np.arange(rare)))
+                        held.append((shingles[:rare] >> np.uint64(32 - bits), np.full(rare, ids[row]), np.full(rare, len(s), np.uint32), np.arange(rare, dtype=np.uint32), np.full(rare, len(shingles) - rare, np.uint32)))
                         size += rare
                     if size >= FLUSH:
                         size = 0
@@ -242,30 +254,34 @@ def rare_pairs(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast,
         rows = table.to_pylist()
         key = np.concatenate([_unpack(r["ids"]) for r in rows])
         doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-        n, pos = (np.concatenate([_unpack(r[c]) for r in rows]).astype(np.int64) for c in ("ns", "pos"))
+        n, pos, more = (np.concatenate([_unpack(r[c]) for r in rows]).astype(np.int64) for c in ("ns", "pos", "more"))
         order = np.argsort(key, kind="stable")
         key = key[order]
         again = np.append(key[1:] == key[:-1], False)
         again[1:] |= again[:-1]
         order, key = order[again], key[again]  # shingles of one document only pair with nothing
-        doc, n, pos = doc[order], n[order], pos[order]
+        doc, n, pos, more = doc[order], n[order], pos[order], more[order]
         found: list[np.ndarray] = []
         lag = 1
         while lag < len(key) and (same := np.flatnonzero(key[lag:] == key[:-lag])).size:
             other = same + lag
-            same, other = (x[(doc[same] != doc[other]) & _close(n[same], n[other], pos[same], pos[other])] for x in (same, other))
+            fits = (doc[same] != doc[other]) & (4 * n[same] >= 3 * n[other]) & (4 * n[other] >= 3 * n[same])
+            same, other = same[fits], other[fits]
             swap = doc[same] > doc[other]
             a, b = np.where(swap, other, same), np.where(swap, same, other)
-            found.append(np.unique(np.stack([doc[a], doc[b], n[a], n[b]]), axis=1))
+            found.append(np.stack([doc[a], doc[b], n[a], n[b], np.minimum(more[a], more[b]), _close(n[a], n[b], pos[a], pos[b])]))
             lag += 1
-        out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((4, 0), np.int64)
-        return pa.table(list(map(pa.array, out)), names=["a", "b", "n_a", "n_b"])
+        every = pd.DataFrame(np.concatenate(found, axis=1).T if found else np.empty((0, 6), np.int64), columns=["a", "b", "n_a", "n_b", "more", "close"])
+        return pa.Table.from_pandas(every.groupby(["a", "b", "n_a", "n_b", "more"], as_index=False).agg(close=("close", "max"), shared=("close", "size")).astype("int64"), preserve_index=False)
 
     sent = None
     for docs, marked in sources:
-        part = docs.mapInArrow(send(marked), "bucket int, ids binary, docs binary, ns binary, pos binary")
+        part = docs.mapInArrow(send(marked), "bucket int, ids binary, docs binary, ns binary, pos binary, more binary")
         sent = part if sent is None else sent.unionByName(part)
-    return sent.groupBy("bucket").applyInArrow(pair, "a long, b long, n_a long, n_b long")
+    counted = sent.groupBy("bucket").applyInArrow(pair, "a long, b long, n_a long, n_b long, more long, close long, shared long")
+    summed = counted.groupBy("a", "b", "n_a", "n_b", "more").agg(F.max("close").alias("close"), F.sum("shared").alias("shared"))
+    needed = F.ceil(3 * (F.col("n_a") + F.col("n_b")) / 7) - F.greatest(_rest(F.col("n_a")), _rest(F.col("n_b")))
+    return summed.filter((F.col("close") > 0) & (F.col("shared") + F.col("more") >= needed)).select("a", "b", "n_a", "n_b")
 
 
 def frequent_postings(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast, copies: Broadcast) -> DataFrame:
@@ -311,10 +327,10 @@ def cross_pairs(postings: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.select(F.col("doc").alias("a"), F.col("doc_b").alias("b"), F.col("n").alias("n_a"), "n_b")
 
 
-def links(docs: DataFrame, pairs: DataFrame, k: int, levels: Broadcast) -> DataFrame:
+def links(docs: DataFrame, pairs: DataFrame, k: int, levels: Broadcast, slot_bits: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b; distinct) over the threshold: overlaps are counted per fragment of the order and summed."""
     spark = docs.sparkSession
-    involved = spark.sparkContext.broadcast(slot_bitmap(pairs.select("a").union(pairs.select("b"))))
+    involved = spark.sparkContext.broadcast(slot_bitmap(pairs.select("a").union(pairs.select("b")), slot_bits))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _kept(batches, involved, True):
@@ -331,13 +347,14 @@ def links(docs: DataFrame, pairs: DataFrame, k: int, levels: Broadcast) -> DataF
                 at = np.cumsum([0, *map(len, values)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values)))], names=["doc", "fragment", "shingles"])
 
-    cuts = materialise(docs.mapInArrow(cut, "doc long, fragment int, shingles array<long>").dropDuplicates(["doc", "fragment"]), "fragments")
+    cuts = materialise(docs.mapInArrow(cut, "doc long, fragment int, shingles array<long>"), "fragments")
     wanted = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS))))
     one = cuts.select(F.col("doc").alias("a"), "fragment", F.col("shingles").alias("s_a"))
     two = cuts.select(F.col("doc").alias("b"), "fragment", F.col("shingles").alias("s_b"))
     overlap = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    counted = wanted.join(one, ["a", "fragment"]).join(two, ["b", "fragment"]).select("a", "b", "n_a", "n_b", overlap.alias("n"))
-    summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("n").alias("n"))
+    counted = wanted.join(one, ["a", "fragment"]).join(two, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", overlap.alias("n"))
+    once = counted.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("n").alias("n"))  # rows that repeat a document count once
+    summed = once.groupBy("a", "b", "n_a", "n_b").agg(F.sum("n").alias("n"))
     return summed.filter(100 * F.col("n") >= 75 * (F.col("n_a") + F.col("n_b") - F.col("n"))).select("a", "b")
 
 
@@ -349,10 +366,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     head = materialise(heads(thin, k), "heads")
     groups = materialise(head.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "set-groups")
     members = head.join(groups, "digest", "left")
-    known = thin.filter("doc_id is not null").withColumn("slot", _slot(F.col("doc_id")))
+    slot_bits = min(MAX_SLOT_BITS, max(16, (32 * head.count()).bit_length()))
+    known = thin.filter("doc_id is not null").withColumn("slot", _slot(F.col("doc_id"), slot_bits))
     levels = share(level_table(known, k))
     extra = members.filter("doc_id <> rep").select("doc_id")
-    copies = share(slot_bitmap(extra))
+    copies = share(slot_bitmap(extra, slot_bits))
     sources = [(known, False)]
     if copies.value.any():
         reps = groups.select(F.col("rep").alias("doc_id"))
@@ -360,10 +378,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     distinct = lambda pairs, name: materialise(pairs.groupBy("a", "b").agg(F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b")), name)
     postings = materialise(frequent_postings(sources, k, levels, copies), "frequent")
     tested = distinct(rare_pairs(sources, k, levels, copies).unionByName(star_pairs(postings)), "pairs")
-    edges = materialise(links(known, tested, k, levels), "links")
+    edges = materialise(links(known, tested, k, levels, slot_bits), "links")
     found = materialise(components(edges), "components")
     further = distinct(cross_pairs(postings, found).join(tested, ["a", "b"], "left_anti"), "further-pairs")
     if not further.isEmpty():
-        edges = edges.unionByName(materialise(links(known, further, k, levels), "further-links"))
+        edges = edges.unionByName(materialise(links(known, further, k, levels, slot_bits), "further-links"))
         found = materialise(components(edges), "components")
-    return members.join(found, members.rep == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return members.join(found, members.rep == found.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
