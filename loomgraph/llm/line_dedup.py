@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, ascii_lower, two_columns
 
 
-def deduplicated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kept (the text without dropped lines), n_lines, n_dropped; one row per row of ``docs``."""
-    base = two_columns(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+def _dropped(base: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """g_id, g_hash, gone (positions) for rows of (doc_id, text, row_hash) that lose lines."""
     lines = F.split("text", "\n", -1)
     keyed = base.filter(F.char_length("text") >= min_chars).select(
         "doc_id",
@@ -42,7 +41,7 @@ def deduplicated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
         .filter(F.col("n_docs") >= min_docs)
         .select("hash", "last_id")
     )
-    gone = (
+    return (
         hashed.select("doc_id", "row_hash", F.explode("hashed").alias("h"))
         .select("doc_id", "row_hash", F.col("h.pos").alias("pos"), F.col("h.hash").alias("hash"))
         .join(doomed, "hash")
@@ -51,15 +50,25 @@ def deduplicated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
         .agg(F.collect_set("pos").alias("gone"))
         .select(F.col("doc_id").alias("g_id"), F.col("row_hash").alias("g_hash"), "gone")
     )
-    out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("row_hash") == F.col("g_hash")), "left")
-    n_gone = F.coalesce(F.size("gone"), F.lit(0))
+
+
+def _kept(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """rows (doc_id, text, row_hash and more) with lines, gone (null if nothing goes) and kept."""
+    gone = _dropped(rows.select("doc_id", "text", "row_hash"), min_chars, min_docs)
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("row_hash") == F.col("g_hash")), "left").drop("g_id", "g_hash")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    return (
-        out.select("doc_id", "text", "gone", lines.alias("lines"))
-        .select(
-            "doc_id",
-            F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")).alias("kept"),
-            F.size("lines").cast("long").alias("n_lines"),
-            n_gone.cast("long").alias("n_dropped"),
-        )
-    )
+    return out.withColumn("lines", F.split("text", "\n", -1)).withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")))
+
+
+def deduplicated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, kept (the text without dropped lines), n_lines, n_dropped; one row per row of ``docs``."""
+    base = two_columns(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    return _kept(base, min_chars, min_docs).select("doc_id", "kept", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def without_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, the text replaced where lines go."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
+    out = _kept(base, min_chars, min_docs)
+    return out.select(*(F.when(F.col("gone").isNull(), F.col(f"row.{c}")).otherwise(F.col("kept")).alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns))
