@@ -4,7 +4,246 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .. import vocab
+from ..functions import text as T
+from ..operators import credibility, export, graph, history, ingest, lint, merge, normalise, search, stats
+from ..sources import adapter
+from . import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
+def N(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised nodes."""
+    return normalise.normalise_nodes(adapter.file_order(adapter.nodes(spark, sf_dir)))
+
+
+def E(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised edges."""
+    return normalise.normalise_edges(adapter.edges(spark, sf_dir))
+
+
+def _nodes(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(N(spark, d))
+
+
+def _edges(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(E(spark, d))
+
+
+def _both(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(N(spark, d), E(spark, d))
+
+
+def _table(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(adapter.table(spark, d, name))
+
+
+def _rule(name: str) -> Query:
+    return lambda spark, d: lint.rule(name, N(spark, d), E(spark, d))
+
+
+def _docs(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").alias("key"), "text")
+
+
+def kb_ids(df: DataFrame) -> DataFrame:
+    k = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))))
+    return df.select("s_suppkey", T.kb_id_valid(k).alias("ok"))
+
+
+def resolve_objects(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return lint.objects_resolved(nodes, edges).groupBy("predicate", F.coalesce("object_type", F.lit("External")).alias("object_type")).agg(n_rows())
+
+
+def source_resolution(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    types = lint.node_types(nodes).select(F.col("identifier").alias("primary_source"), "is_provenance")
+    joined = edges.filter("primary_source is not null and primary_source <> 'not_provided'").join(types, "primary_source", "left")
+    return joined.groupBy(F.when(F.col("is_provenance").isNull(), "unresolved").when(F.col("is_provenance"), "ok").otherwise("not_source").alias("outcome")).agg(n_rows())
+
+
+def cited(spark: SparkSession, d: str) -> DataFrame:
+    return lint.cited_sources(N(spark, d), E(spark, d), adapter.sources(spark, d))
+
+
+def index_missing(spark: SparkSession, d: str) -> DataFrame:
+    index = adapter.table(spark, d, "part").filter("p_partkey % 3 = 0 and p_partkey < 400").agg(F.array_join(F.collect_list(F.concat(F.lit("| Part "), F.col("p_partkey").cast("string"))), "\n").alias("text"))
+    return stats.index_missing(N(spark, d), index)
+
+
+def ordinals(edges: DataFrame) -> DataFrame:
+    return graph.edge_ordinals(edges).groupBy("subject").agg(n_rows(), F.max("edge_ord").cast("long").alias("last_ord"))
+
+
+def tokenize(df: DataFrame) -> DataFrame:
+    toks = T.tokens(F.col("text"))
+    return df.select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.size(F.array_distinct(toks)).cast("long").alias("n_terms"))
+
+
+def ingest_dedup(spark: SparkSession, d: str) -> DataFrame:
+    src = adapter.sources(spark, d).select("doc_id", "id", "sha256")
+    out = ingest.deduplicate(src.filter("doc_id % 2 = 1").withColumn("ord", F.col("doc_id")), src.filter("doc_id % 2 = 0").select("id", "sha256"))
+    return out.select("doc_id", "existing_id", "action")
+
+
+def url_dedup(spark: SparkSession, d: str) -> DataFrame:
+    p = adapter.pages(spark, d).select(F.col("page_id").alias("id"), "url", F.sha2("body", 256).alias("sha256"))
+    return ingest.url_then_content(p.filter("id % 2 = 1"), p.filter("id % 2 = 0")).select(F.col("id").alias("page_id"), "reused_id")
+
+
+def merge_raw(spark: SparkSession, d: str) -> DataFrame:
+    src = adapter.sources(spark, d).select("doc_id", "id", "sha256")
+    next_id = F.concat(F.lit("doc-"), (F.col("doc_id") + 1).cast("string"), F.when(F.col("doc_id") % 10 == 0, "-2").otherwise(""))
+    main = src.filter("doc_id % 2 = 0").select(next_id.alias("id"), "sha256").distinct()
+    return merge.merge_raw(main, src.filter("doc_id % 2 = 1").select("id", "sha256"))
+
+
+def snapshot_diff(nodes: DataFrame) -> DataFrame:
+    changed = nodes.filter("node_type <> 'Disease'").withColumn("path", F.when(F.col("node_type") == "Gene", F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")))
+    return merge.verify_snapshot(merge.snapshot(nodes), changed)
+
+
+def carry_over(nodes: DataFrame) -> DataFrame:
+    main = nodes.filter("family = 'clinical'").select("identifier", F.lit("main").alias("base"))
+    return merge.carry_over(main, nodes.filter("node_type <> 'Study'").select("identifier", F.lit("other").alias("base")))
+
+
+def collapse(edges: DataFrame) -> DataFrame:
+    matches = edges.sparkSession.createDataFrame([("Part 1", "Part 3"), ("Part 2", "Part 3")], "old string, new string")
+    return merge.collapse(edges, matches).groupBy("object", "primary_source").agg(n_rows())
+
+
+def knowledge_rank(edges: DataFrame) -> DataFrame:
+    ranks = F.array(*map(F.lit, vocab.KNOWLEDGE_LEVELS))
+    return edges.groupBy("knowledge_level").agg(n_rows()).withColumn("rank", F.coalesce(F.array_position(ranks, F.col("knowledge_level")), F.lit(0)).cast("long"))
+
+
+def lint_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    rules = ["predicate.invalid", "predicate.inverse", "edge.missing_knowledge_level", "edge.missing_primary_source", "edge.stat_ci", "edge.stat_pvalue", "type.invalid", "subtype.missing"]
+    return lint.verify(lint.lint(nodes, edges, rules))
+
+
+def url_extensions(df: DataFrame) -> DataFrame:
+    kind = F.when(F.col("page_id") % 3 == 0, "application/json").when(F.col("page_id") % 3 == 1, "text/plain").otherwise("")
+    return df.select("page_id", T.url_extension(F.col("url"), kind, F.left("html", F.lit(256))).alias("ext"))
+
+
+def publishers(df: DataFrame) -> DataFrame:
+    p = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("Springer "), "c_name")).when(F.col("c_custkey") % 4 == 1, "PLOS").otherwise(F.col("c_mktsegment"))
+    return df.select("c_custkey", T.allowlisted(p).alias("ok"))
+
+
+def combined(df: DataFrame) -> DataFrame:
+    return ingest.combined(df.select(F.col("conv_id").alias("batch"), F.col("turn").alias("ord"), F.col("role").alias("name"), F.col("text").alias("markdown"), (F.col("role") == "system").alias("needs_llm")))
+
+
+def coverage(df: DataFrame) -> DataFrame:
+    return df.filter("lang = 'en'").select("doc_id", T.coverage(F.col("text"), F.left("text", F.lit(400))).alias("share")).filter("share is not null")
+
+
+def _history(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(adapter.history(spark, d))
+
+
+def _slugs(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", T.slug(F.left("text", F.lit(120))).alias("slug"))
+
+
+def _source_ids(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", T.source_id(F.left("text", F.lit(120)), F.col("text")).alias("source_id"))
+
+
+def _bib_ids(spark: SparkSession, d: str) -> DataFrame:
+    pages = adapter.pages(spark, d)
+    return credibility.identifiers(pages, F.concat_ws("  ", "url", "body")).select("page_id", "doi", "arxiv", "pmid", "pmcid", "isbn")
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    pages = adapter.pages(spark, d).withColumn("filename", F.lit(None).cast("string"))
+    return credibility.classify(pages).select("page_id", "source_type", "tier", "confidence")
+
+
+def _titles(df: DataFrame) -> DataFrame:
+    heading = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## Heading "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(""), "text")
+    return df.select("doc_id", T.title_from(heading, F.lit("some_file-name.md"), F.when(F.col("doc_id") % 5 == 0, "given title")).alias("title"))
+
+
+def _tables(df: DataFrame) -> DataFrame:
+    text = F.concat(F.lit('name,"a ""quoted"" | cell", x\n'), F.replace("text", F.lit(" "), F.lit(",")))
+    return df.select("doc_id", ingest.table_markdown(text).alias("markdown"))
+
+
+QUERIES: dict[str, Query] = {
+    "scan_first_wins": _nodes(lambda n: normalise.first_wins(n).select("identifier", "file_ord")),
+    "type_alias": _nodes(lambda n: n.select("raw_type", "node_type", "type_valid", "is_provenance", "family").distinct()),
+    "predicate_alias": _edges(lambda e: e.groupBy("raw_predicate", "predicate", "base", "reversed", "negative", "negated", "pred_valid").agg(n_rows())),
+    "get_node": _nodes(lambda n: n.filter("identifier = 'Part 96'").orderBy("file_ord").limit(1).select("identifier", "node_type", "subtype", "path")),
+    "subtype_coalesce": _nodes(lambda n: n.select("identifier", normalise.subtype({"subtype": F.col("subtype"), "method": F.col("note"), "kind": F.lit("none")}).alias("subtype"))),
+    "kb_id_rule": _table("supplier", kb_ids),
+    "resolve_objects": _both(resolve_objects),
+    "source_resolution": _both(source_resolution),
+    "cited_source_chain": cited,
+    "index_substring_anti": index_missing,
+    "stats_by_type": _nodes(lambda n: stats.by(n, "node_type")),
+    "stats_by_predicate": _edges(lambda e: stats.by(e, "predicate")),
+    "stats_totals": _both(stats.totals),
+    "catalog_by_type": _nodes(stats.catalog_by_type),
+    "members_by_type": _nodes(stats.members_by_type),
+    "subtypes_in_use": _nodes(stats.subtypes_in_use),
+    "graph_edges": _edges(lambda e: graph.graph_edges(e).groupBy("source", "target", "predicate", "synthesized").agg(n_rows())),
+    "graph_nodes": _both(graph.graph_nodes),
+    "degree": _edges(graph.degrees),
+    "orphans": _both(graph.orphans),
+    "adjacency": _edges(lambda e: graph.adjacency(e).groupBy("identifier", "neighbor", "predicate").agg(n_rows())),
+    "neighbors": _edges(lambda e: graph.neighbors(e, "Part 7")),
+    "node_panel": _edges(lambda e: graph.node_panel(e, "Supplier 3")),
+    "two_hop_pattern": _edges(lambda e: graph.two_hop(e, "located_in", "part_of")),
+    "reachability": _edges(lambda e: graph.reachable(e, "Customer 5", 4)),
+    "edge_ordinals": _edges(ordinals),
+    "knowledge_rank": _edges(knowledge_rank),
+    "tokenize": _table("documents", tokenize),
+    "slug": _table("documents", _slugs),
+    "sha_id": _table("documents", _source_ids),
+    "title_from": _table("documents", _titles),
+    "csv_table": _table("documents", _tables),
+    "bm25_stats": _table("documents", lambda df: search.statistics(_docs(df))),
+    "bm25_topk": _table("documents", lambda df: search.bm25(_docs(df), "the license of the", 10)),
+    "bm25_scores": _table("documents", lambda df: search.bm25(_docs(df), "the license apache", None)),
+    "coverage": _table("documents", coverage),
+    "url_host": lambda spark, d: adapter.pages(spark, d).select("page_id", T.url_host(F.col("url")).alias("host")),
+    "bib_ids": _bib_ids,
+    "classify_source": _classified,
+    "allowlist": _table("customer", publishers),
+    "strip_markup": _table("pages", lambda df: df.select("page_id", T.strip_markup(F.col("html")).alias("text"))),
+    "url_ext": _table("pages", url_extensions),
+    "ingest_dedup": ingest_dedup,
+    "url_then_sha_dedup": url_dedup,
+    "primary_doc": _table("documents", lambda df: ingest.primary_document(df.select(F.col("source").alias("folder"), F.col("doc_id").alias("ord"), F.col("n_chars").alias("length")))),
+    "combined_concat": _table("conversations", combined),
+    "merge_raw": merge_raw,
+    "snapshot_diff": _nodes(snapshot_diff),
+    "carry_over": _nodes(carry_over),
+    "collapse_references": _edges(collapse),
+    "log_newest": _history(lambda h: history.newest(h).select("commit", "kind", "summary")),
+    "restore_asof": _history(lambda h: history.as_of(h, "user_id", "2024-01-15").select("user_id", "commit", "kind", "value")),
+    "change_log_by_day": _history(history.by_day),
+    "squash": _history(lambda h: history.squash(h, "kind")),
+    "graph_json": _both(export.graph_json),
+    "lint_summary": _both(lint_summary),
+    "lint_all": _both(lambda n, e: lint.lint(n, e).groupBy("severity", "rule").agg(n_rows())),
+    "lint_source_not_scholarly": lambda spark, d: lint.source_not_scholarly(N(spark, d), E(spark, d), adapter.sources(spark, d)),
+    "lint_source_retracted": lambda spark, d: lint.source_retracted(N(spark, d), E(spark, d), adapter.sources(spark, d)),
+    "lint_source_raw_missing_file": lambda spark, d: lint.raw_missing(N(spark, d), adapter.sources(spark, d)),
+    **{"lint_" + name.replace(".", "_"): _rule(name) for name in lint.RULES},
+}
+
+ORACLE_SQL: dict[str, str] = {**oracle.SQL, **{"lint_" + name.replace(".", "_"): sql for name, sql in oracle.LINT.items()}}
+ORACLE_SQL["lint_all"] = " UNION ALL ".join(
+    f"SELECT '{lint.RULES[name][0]}' AS severity, '{name}' AS rule, CAST(count(*) AS BIGINT) AS n FROM ({sql}) HAVING count(*) > 0" for name, sql in oracle.LINT.items()
+)
