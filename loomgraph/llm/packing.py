@@ -83,50 +83,52 @@ def configuration(last: np.ndarray, room: int) -> dict[int, int]:
     return taken
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = 60, columns: int = 64, step: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
+def solve(counts: np.ndarray, capacity: int, rounds: int = 60, rate: float = 3.0, share: float = 0.3, slack: float = 0.05) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and how often each is used; together they hold exactly ``counts[l]`` pieces of each length l.
 
-    Multiplicative weights on the covering program: lengths start at a price of their own length; what a round
-    covers lowers the price by ``exp(-covered share)``; covered lengths leave. A round takes several near-best columns
-    (the optima of the rooms just below capacity) from one dynamic program.
+    Multiplicative weights on the covering program: a length starts at the price of its share of a sequence, and half
+    a sequence more where no second of its kind fits; what is covered lowers the price by ``exp(-rate * covered share)``.
+    One dynamic program gives, for every length, the dearest configuration that holds it; those within ``slack`` of the
+    dearest of all are taken, least covered length first, until the round has covered ``share`` of a length.
     """
     counts = counts.astype(np.int64)
+    live = np.flatnonzero(counts[:capacity] > 0)  # full pieces are configurations of their own
+    start = live / capacity + 0.5 * (live > capacity / 2)
     covered = np.zeros(capacity + 1)
-    weight = np.where(counts > 0, np.arange(capacity + 1, dtype=float), 0.0)
-    weight[capacity] = 0.0  # full pieces are configurations of their own
     taken: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        open_ = (counts > 0) & (covered < counts)
-        open_[capacity] = False
-        if not open_.any():
-            break
-        prices = np.where(open_, weight, 0.0)
+    for _ in range(rounds if len(live) else 0):
+        prices = np.zeros(capacity + 1)
+        prices[live] = start * np.exp(-rate * covered[live])
         best, last = knapsack(prices, capacity)
-        for room in range(capacity, max(0, capacity - columns), -1):
-            if best[room] < 0.98 * best[capacity]:
-                break
-            column = configuration(last, room)
-            copies = min((counts[n] - covered[n]) / k for n, k in column.items()) if column else 0.0
-            if copies <= 1e-9:
+        good = live[prices[live] + best[capacity - live] >= (1 - slack) * best[capacity]]
+        use = np.zeros(capacity + 1)
+        for n in good[np.argsort(covered[good], kind="stable")].tolist():
+            if use[n] >= share:
                 continue
-            copies = max(step * copies, min(1.0, copies))
-            key = tuple(sorted(column.items(), reverse=True))
-            taken[key] = taken.get(key, 0.0) + copies
-            for n, k in column.items():
-                covered[n] += copies * k
-                weight[n] *= float(np.exp(-copies * k / counts[n]))
+            column = configuration(last, capacity - n)
+            column[n] = column.get(n, 0) + 1
+            copies = min((share - use[m]) * counts[m] / k for m, k in column.items())
+            if copies > 0:
+                key = tuple(sorted(column.items(), reverse=True))
+                taken[key] = taken.get(key, 0.0) + copies
+                for m, k in key:
+                    use[m] += copies * k / counts[m]
+        covered += use
+        if covered[live].min() >= 1:
+            break
+    scale = max(1.0, covered[live].min()) if len(live) else 1.0
     left = counts.copy()
-    groups: list[list] = []  # [room, lengths, copies]
-    for key, x in sorted(taken.items()):
-        copies = min([int(x + 1e-9), *(int(left[n] // k) for n, k in key)])
-        if copies > 0:
-            lengths = [n for n, k in key for _ in range(k)]
+    left[capacity] = 0
+    groups: list[list] = [[0, [capacity], int(counts[capacity])]] if counts[capacity] else []  # [room, lengths, copies]
+    for key, x in sorted(taken.items(), reverse=True):
+        todo = int(x / scale + 1e-9)
+        while todo and (fit := [(n, min(k, int(left[n]))) for n, k in key if left[n]]):  # a length that has run out leaves room
+            copies = min([todo, *(int(left[n] // k) for n, k in fit)])
+            lengths = [n for n, k in fit for _ in range(k)]
             groups.append([capacity - sum(lengths), lengths, copies])
-            for n, k in key:
+            for n, k in fit:
                 left[n] -= copies * k
-    if counts[capacity]:
-        groups.append([0, [capacity], int(counts[capacity])])
-        left[capacity] = 0
+            todo -= copies
     return best_fit(left, groups, capacity)
 
 
