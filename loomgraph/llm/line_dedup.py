@@ -6,8 +6,8 @@ together again by position.
 
 Shuffles carry 16-byte hashes and positions, never line texts. The count per hash is
 combined before it is shuffled, so a line that a third of all documents share costs one
-row per task; the lookup of doomed hashes is a plain equi-join that adaptive execution
-splits where a hash is hot.
+row per task; the doomed hashes are written first, so that looking them up is a plain
+equi-join whose hot hashes adaptive execution splits.
 
 Defined results: a null text counts as empty, an empty text is one empty line; rows that
 share a doc_id are separate documents for the count, and all rows with the largest doc_id
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, two_columns
+from .common import SPACES, ascii_lower, materialise, two_columns
 
 
 def _dropped(base: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
@@ -34,12 +34,13 @@ def _dropped(base: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         ).alias("long_lines"),
     )
     hashed = keyed.select("doc_id", "row_hash", F.transform("long_lines", lambda s: F.struct(s["pos"].alias("pos"), F.unhex(F.md5(s["key"])).alias("hash"))).alias("hashed"))
-    doomed = (
+    doomed = materialise(
         hashed.select("doc_id", F.explode(F.array_distinct(F.transform("hashed", lambda s: s["hash"]))).alias("hash"))
         .groupBy("hash")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
         .filter(F.col("n_docs") >= min_docs)
-        .select("hash", "last_id")
+        .select("hash", "last_id"),
+        "doomed-lines",
     )
     return (
         hashed.select("doc_id", "row_hash", F.explode("hashed").alias("h"))
