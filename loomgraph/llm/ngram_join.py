@@ -91,7 +91,7 @@ def _by_bucket(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 def _bucket_bits(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(12, max(6, (2 * partitions - 1).bit_length()))
+    return min(18, max(6, (2 * partitions - 1).bit_length()))
 
 
 def heads(docs: DataFrame, k: int) -> DataFrame:
@@ -312,7 +312,7 @@ def frequent_postings(sources: list[tuple[DataFrame, bool]], k: int, levels: Bro
 
 
 def star_pairs(postings: DataFrame) -> DataFrame:
-    lead = postings.groupBy("shingle").agg(F.min(F.struct("doc", "n", "pos")).alias("lead"))
+    lead = materialise(postings.groupBy("shingle").agg(F.min(F.struct("doc", "n", "pos")).alias("lead")), "leads")  # apart, so that the join can split hot shingles
     near = postings.join(lead, "shingle").filter((F.col("doc") != F.col("lead.doc")) & _close(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
     return near.select(F.col("lead.doc").alias("a"), F.col("doc").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"))
 
@@ -320,7 +320,7 @@ def star_pairs(postings: DataFrame) -> DataFrame:
 def cross_pairs(postings: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs within the bounds that share a frequent shingle and are still in different components."""
     named = postings.join(found, postings.doc == found.node, "left").select("shingle", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
-    mixed = named.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle")
+    mixed = materialise(named.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle"), "mixed")
     left = materialise(named.join(mixed, "shingle", "left_semi"), "mixed-postings")
     right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "component")))
     pairs = left.join(right, "shingle").filter((F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & _close(F.col("n"), F.col("n_b"), F.col("pos"), F.col("pos_b")))
