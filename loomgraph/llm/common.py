@@ -7,6 +7,7 @@ and character classes agree.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -61,6 +62,23 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and stages, and allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, with ``release`` every few of them and at the end."""
+    for i, batch in enumerate(batches):
+        yield batch
+        if i % 8 == 7:
+            release()
+    release()
+
+
 # --- byte-level work inside tasks ------------------------------------------------------------
 
 

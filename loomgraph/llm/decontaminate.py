@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, gram_hashes, span_hashes, text_chunks, two_columns, word_spans
+from .common import byte_class, gram_hashes, span_hashes, text_chunks, trimmed, two_columns, word_spans
 
 SHINGLE = 3
 WORD = byte_class("alnum")
@@ -91,7 +91,7 @@ def _frequency(docs: DataFrame, windows: Windows) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lengths = shared.value
         counts = np.zeros(len(keys), np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 starts, ends, _ = word_spans(data, offsets, WORD)
                 for _, slot in _occurrences(keys, span_hashes(data, starts, ends, True), lengths):
@@ -130,7 +130,7 @@ def _hits(docs: DataFrame, windows: Windows) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in trimmed(batches):
             n_words, hits, items = [], [], []
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 starts, ends, first = word_spans(data, offsets, WORD)

@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, gram_hashes, materialise, mix, powers, span_hashes, text_chunks, two_columns, word_spans
+from .common import byte_class, gram_hashes, materialise, mix, powers, release, span_hashes, text_chunks, trimmed, two_columns, word_spans
 from .components import components
 
 LEVEL_BITS = 24  # slots of the level table, one byte each
@@ -98,7 +98,7 @@ def heads(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             sets = [s for _, s in _sets(batch, k)]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "digest"])
@@ -127,7 +127,7 @@ def level_table(docs: DataFrame, k: int) -> np.ndarray:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "ids", "many", "n"])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for _, s in _sets(batch, k):
                 if len(s):
                     held.append(s)
@@ -156,6 +156,7 @@ def level_table(docs: DataFrame, k: int) -> np.ndarray:
             if len(np.unique(slot)) <= 1 << (LEVEL_BITS - bits - 2):
                 break
             rare *= 2
+        release()
         slots = np.zeros(1 << (LEVEL_BITS - bits), np.uint8)
         np.maximum.at(slots, slot, np.minimum(15, 1 + np.log2(n[some] / RARE)).astype(np.uint8))
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "slots": pa.array([zlib.compress(slots.tobytes(), 1)], pa.binary())})
@@ -188,7 +189,7 @@ def _marked(batch: pa.RecordBatch, bitmap: np.ndarray) -> np.ndarray:
 
 
 def _kept(batches: Iterator[pa.RecordBatch], bitmap: Broadcast, marked: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         if (out := batch.filter(pa.array(_marked(batch, bitmap.value) == marked))).num_rows:
             yield out
 
@@ -271,6 +272,7 @@ def rare_pairs(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast,
             a, b = np.where(swap, other, same), np.where(swap, same, other)
             found.append(np.stack([doc[a], doc[b], n[a], n[b], np.minimum(more[a], more[b]), _close(n[a], n[b], pos[a], pos[b])]))
             lag += 1
+        release()
         every = pd.DataFrame(np.concatenate(found, axis=1).T if found else np.empty((0, 6), np.int64), columns=["a", "b", "n_a", "n_b", "more", "close"])
         return pa.Table.from_pandas(every.groupby(["a", "b", "n_a", "n_b", "more"], as_index=False).agg(close=("close", "max"), shared=("close", "size")).astype("int64"), preserve_index=False)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, two_columns
+from .common import materialise, trimmed, two_columns
 from .encode import encoded
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32())])
@@ -41,7 +41,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in trimmed(batches):
             keys = batch.column(0).to_pylist()
             rows: list[tuple] = []
             for row, ids in encoded(batch.column(1), tokenizer, end_id):
@@ -191,7 +191,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, i
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sequences, offsets = plan.value
-        for batch in batches:
+        for batch in trimmed(batches):
             if not batch.num_rows:
                 continue
             want = (batch.column("length").to_numpy() << 40) + batch.column("rank").to_numpy()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, materialise, mix, span_hashes, text_chunks, two_columns, word_spans
+from .common import byte_class, materialise, mix, span_hashes, text_chunks, trimmed, two_columns, word_spans
 
 BUCKET_BITS = 20
 #: Steps per unit of key, when keys become integers for the threshold.
@@ -69,7 +69,7 @@ def feature_counts(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros((2, 1 << BUCKET_BITS), np.int32)
         rows = good_rows = 0
-        for batch in batches:
+        for batch in trimmed(batches):
             good = np.asarray(batch.column("target"), dtype=bool)
             rows, good_rows = rows + len(good), good_rows + int(good.sum())
             for i, j, data, offsets in text_chunks(batch.column("text")):
@@ -114,7 +114,7 @@ def weights(
     table = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             score = np.zeros(batch.num_rows)
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 bucket, doc = _features(data, offsets)

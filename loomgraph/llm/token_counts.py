@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import two_columns
+from .common import trimmed, two_columns
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -116,7 +116,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model_path).text
-        for batch in batches:
+        for batch in trimmed(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(x.as_py()) for x in batch.column(1)], pa.int64())], names=["doc_id", "n_tokens"])
 
     return two_columns(docs, id_col, text_col).mapInArrow(work, "doc_id long, n_tokens long")

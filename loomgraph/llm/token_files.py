@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, two_columns
+from .common import shared_path, trimmed, two_columns
 from .encode import encoded
 
 NO_ID = -(2**63)
@@ -55,7 +55,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
         name = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}"
         ids_of, sizes, total = [], [0], 0
         out = files.open_output_stream(f"{path}/.{name}.bin")
-        for batch in batches:
+        for batch in trimmed(batches):
             keys = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             ids_of.append(keys)
             for _, ids in encoded(batch.column(1), tokenizer, end_id):
@@ -94,7 +94,7 @@ def read_shards(manifest: DataFrame, folder: str, id_bytes: int = 2) -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _files(folder)
-        for batch in batches:
+        for batch in trimmed(batches):
             for row in batch.to_pylist():
                 with files.open_input_file(f"{path}/{row['name']}.idx") as f:
                     index = f.read()
