@@ -11,10 +11,10 @@ that order, and length and position bound the overlap from there.
   bucket and summed; a pair is tested only if length, position and that count leave room
   for the overlap it needs.
 * Frequent shingles occur in a prefix only where a set consists of frequent shingles, as in
-  large groups of near copies. Their lists are never collected: the smallest document of
-  each list comes from a combined minimum, every other is paired with it (a star), and once
+  large groups of near copies. Their lists are never collected: a few leads of each list
+  come from combined minima, every other document is paired with them (stars), and once
   components are known only lists that still hold several components are joined again,
-  across components only.
+  across components only, where a sketch of each set leaves room for the overlap.
 
 The order is cut into fragments. The overlap of a pair is counted per fragment, separately,
 and summed; only documents of some pair send their shingles. What is broadcast is of fixed
@@ -47,6 +47,7 @@ LEVEL_BITS = 24  # slots of the level table, one byte each
 MAX_SLOT_BITS = 27  # slots of the document bitmap, one bit each, at most
 RARE = 16  # shingles in fewer documents have level 0
 FLUSH = 1 << 19  # shingles that a task holds before it sends them on
+LEADS = 8  # documents of a frequent shingle's list that all others are paired with
 FRAGMENTS = 4  # of the rare part of the order; the frequent part is one more
 
 
@@ -212,6 +213,23 @@ def _rest(n):  # noqa: ANN001, ANN202
     return F.floor((3 * n + 3) / 4) - 1
 
 
+SKETCH = [f"sketch_{i}" for i in range(16)]
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """64 * len(SKETCH) bits of a set: the bits of its shingles' low ends. Two sets differ in as many shingles as bits, at least."""
+    bits = np.zeros(64 * len(SKETCH), np.uint8)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _alike():  # noqa: ANN202
+    """Whether the sketches of both sides leave room for the overlap that the threshold asks for."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
+    both = F.col("n") + F.col("n_b")
+    return differ <= both - 2 * F.ceil(3 * both / 7)
+
+
 def rare_pairs(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast, copies: Broadcast) -> DataFrame:
     """a, b, n_a, n_b (a < b): pairs that share rare shingles of both prefixes, as many as the bounds ask for.
 
@@ -287,7 +305,7 @@ def rare_pairs(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast,
 
 
 def frequent_postings(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast, copies: Broadcast) -> DataFrame:
-    """shingle, doc, n, pos: the frequent shingles of prefixes."""
+    """shingle, doc, n, pos, sketch: the frequent shingles of prefixes."""
 
     def send(marked: bool):  # noqa: ANN202
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,32 +318,40 @@ def frequent_postings(sources: list[tuple[DataFrame, bool]], k: int, levels: Bro
                     rare = int(np.searchsorted(level, 1))
                     if rare < len(shingles):
                         m = len(shingles) - rare
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(shingles[rare:].view(np.int64)), pa.array(np.full(m, ids[row])), pa.array(np.full(m, len(s), np.int64)), pa.array(np.arange(rare, rare + m))], names=["shingle", "doc", "n", "pos"]
-                        )
+                        columns = [shingles[rare:].view(np.int64), np.full(m, ids[row]), np.full(m, len(s), np.int64), np.arange(rare, rare + m), *(np.full(m, x) for x in _sketch(s))]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["shingle", "doc", "n", "pos", *SKETCH])
 
         return work
 
     out = None
     for docs, marked in sources:
-        part = docs.mapInArrow(send(marked), "shingle long, doc long, n long, pos long")
+        part = docs.mapInArrow(send(marked), "shingle long, doc long, n long, pos long, " + ", ".join(f"{c} long" for c in SKETCH))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def star_pairs(postings: DataFrame) -> DataFrame:
-    lead = materialise(postings.groupBy("shingle").agg(F.min(F.struct("doc", "n", "pos")).alias("lead")), "leads")  # apart, so that the join can split hot shingles
-    near = postings.join(lead, "shingle").filter((F.col("doc") != F.col("lead.doc")) & _close(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
-    return near.select(F.col("lead.doc").alias("a"), F.col("doc").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"))
+    """Every document of a list with its leads: the first documents of the list in LEADS orders. More than one, so that a
+    document that is not close enough to one lead is likely to reach its group by another."""
+    row = F.struct("doc", "n", "pos")
+    first = [F.min_by(row, F.xxhash64("doc", F.lit(i)) if i else F.col("doc")) for i in range(LEADS)]
+    lead = materialise(postings.groupBy("shingle").agg(*(f.alias(f"lead_{i}") for i, f in enumerate(first))), "leads")  # apart, so that the join can split hot shingles
+    leads = F.array_distinct(F.array(*(f"lead_{i}" for i in range(LEADS))))
+    close = lambda x: (F.col("doc") != x["doc"]) & _close(F.col("n"), x["n"], F.col("pos"), x["pos"])
+    near = postings.join(lead, "shingle").select("doc", "n", F.explode(F.filter(leads, close)).alias("lead"))
+    swap = F.col("doc") < F.col("lead.doc")
+    either = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    return near.select(either("doc", "lead.doc").alias("a"), either("lead.doc", "doc").alias("b"), either("n", "lead.n").alias("n_a"), either("lead.n", "n").alias("n_b"))
 
 
 def cross_pairs(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs within the bounds that share a frequent shingle and are still in different components."""
-    named = postings.join(found, postings.doc == found.node, "left").select("shingle", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
+    """Pairs within the bounds that share a frequent shingle and are still in different components; sketches of the sets
+    spare testing most of those that are not close enough."""
+    named = postings.join(found, postings.doc == found.node, "left").select("shingle", "doc", "n", "pos", *SKETCH, F.coalesce("component", "doc").alias("component"))
     mixed = materialise(named.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle"), "mixed")
     left = materialise(named.join(mixed, "shingle", "left_semi"), "mixed-postings")
-    right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "component")))
-    pairs = left.join(right, "shingle").filter((F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & _close(F.col("n"), F.col("n_b"), F.col("pos"), F.col("pos_b")))
+    right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "component", *SKETCH)))
+    pairs = left.join(right, "shingle").filter((F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & _close(F.col("n"), F.col("n_b"), F.col("pos"), F.col("pos_b")) & _alike())
     return pairs.select(F.col("doc").alias("a"), F.col("doc_b").alias("b"), F.col("n").alias("n_a"), "n_b")
 
 
