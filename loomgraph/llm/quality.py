@@ -1,29 +1,34 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram models are counted, one over the target (labelled rows of good quality
-that are not toxic) and one over the raw text (every document). The n-grams are words, the
-first four and five bytes of longer words, and the last three bytes of visible tokens; a
-model holds in how many documents each bucket occurs. A document's importance weight is the
-product over its distinct n-grams of the ratio target to raw, where a ratio
-
-* is smoothed by ``prior`` documents on either side, and
-* counts only where the target falls clearly short of the raw text: below ``dead_zone``, and
-  by more than ``sigmas`` standard deviations of its expected count. So neither language nor
-  length moves a document of ordinary words.
-
-``margin`` is added to the log weight (up to 0), so that no single n-gram decides. Weights so
-lie in (0, 1]. The documents that stay are a sample without replacement in proportion to
-weight ** sharpness, drawn by Gumbel top-k: key = sharpness * log weight + Gumbel noise
-hashed from the doc_id; the k largest keys stay, and k is the sum of the weights themselves
-(the number that rejection sampling would keep). The threshold is found by counting keys in
-ever finer bins; no global sort, and ties at the threshold all stay.
+that are not toxic) and one over the raw text (every document). The n-grams are words and
+pairs of adjacent words, the first four and five bytes of longer words, and the last three
+bytes of visible tokens; a model holds how often each bucket occurs (pairs have buckets of
+their own). A document's score is the sum of the log ratios target to raw over all its
+n-grams, as often as they occur, where
+
+* a ratio is smoothed by ``prior`` occurrences on either side,
+* the document's own occurrences are taken out of both counts first, so that labelled rows
+  are not scored by themselves, and
+* the raw count of a document is weighted by the target's share of text in its language
+  (``lang``, where ``docs`` has it), so that it does not matter which languages the labels
+  happen to cover more.
+
+The sum is taken to the length of ``length`` n-grams (``neutral`` n-grams of ratio 1 are added
+to every document, so that a few words decide little), ``margin`` is added, and the log weight
+is that, up to 0. Weights so lie in (0, 1]. The documents that stay are a sample without
+replacement in proportion to weight ** sharpness, drawn by Gumbel top-k: key = sharpness *
+log weight + Gumbel noise hashed from the doc_id; the k largest keys stay, and k is the sum of
+the weights themselves (the number that rejection sampling would keep). The threshold is
+found by counting keys in ever finer bins; no global sort, and ties at the threshold all stay.
 
 The labelled sample is bounded by ``max_labels`` rows (chosen by hash); everything else
 covers all rows. Counts are made per task in a fixed number of buckets and summed.
 
 Defined results: a null or empty text has weight 1; rows without a label serve as raw text
-only; repeated rows share key and decision; an empty table gives no rows; without labels of
-the target nothing can be learned and every document stays; further columns are ignored.
+only; n-grams of a language without labels of the target count for nothing unless another
+language has them; repeated rows share key and decision; an empty table gives no rows; without labels of the target nothing can be learned and every document
+stays; columns but ``lang`` are ignored.
 """
 
 from __future__ import annotations
@@ -31,21 +36,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, materialise, mix, span_hashes, text_chunks, trimmed, two_columns, word_spans
+from .common import byte_class, gram_hashes, materialise, mix, span_hashes, text_chunks, trimmed, two_columns, word_spans
 
+#: Words and their parts have 2 ** BUCKET_BITS buckets, pairs of words as many again.
 BUCKET_BITS = 20
+BUCKETS = 2 << BUCKET_BITS
 #: Steps per unit of key, when keys become integers for the threshold.
 KEY_STEPS = 1 << 20
-TOTALS = -1  # the bucket that counts documents
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram, and the document it is from."""
+    """Bucket of every n-gram, as often as it occurs, and the document it is from."""
     keys, owners = [], []
     for kind in ("graphic", "alnum"):
         starts, ends, first = word_spans(data, offsets, byte_class(kind))
@@ -54,76 +59,84 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             keys.append(span_hashes(data, np.maximum(starts, ends - 3), ends, False) + np.uint64(1))
             owners.append(doc)
             continue
-        keys.append(span_hashes(data, starts, ends, True))
+        words = span_hashes(data, starts, ends, True)
+        keys.append(words)
         owners.append(doc)
         for n in (4, 5):
             long = ends - starts > n
             keys.append(span_hashes(data, starts[long], starts[long] + n, True) + np.uint64(n))
             owners.append(doc[long])
-    return (mix(np.concatenate(keys)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate(owners)
+        within = doc[1:] == doc[:-1]
+        pairs = mix(gram_hashes(words, 2)[within]) >> np.uint64(64 - BUCKET_BITS) | np.uint64(1 << BUCKET_BITS)
+        pair_owners = doc[:-1][within]
+    single = mix(np.concatenate(keys)) >> np.uint64(64 - BUCKET_BITS)
+    return np.concatenate([single, pairs]).astype(np.int64), np.concatenate([*owners, pair_owners])
 
 
-def feature_counts(docs: DataFrame) -> DataFrame:
-    """bucket, raw, target (documents that hold it) over rows (doc_id, text, target); bucket TOTALS counts documents."""
+def marked(docs: DataFrame, labels: DataFrame, max_labels: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, text, target (labelled good), share (of the text in the row's language that is the target's)."""
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    thin = two_columns(docs, id_col, text_col, lang.alias("_lang"))
+    sample = labels.select(F.col("doc_id").cast("long").alias("l_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("l_target")).filter("l_id is not null").orderBy(F.xxhash64("l_id"), "l_id").limit(max_labels)
+    good = F.broadcast(sample.filter("l_target").select("l_id").distinct())  # at most max_labels rows
+    rows = thin.join(good, thin.doc_id == good.l_id, "left").select("doc_id", "text", "_lang", F.col("l_id").isNotNull().alias("target"))
+    chars = F.char_length("text")
+    shares = rows.groupBy(F.col("_lang").alias("s_lang")).agg(F.coalesce(F.sum(F.when(F.col("target"), chars)) / F.nullif(F.sum(chars), F.lit(0)), F.lit(0.0)).alias("share"))
+    shares = F.broadcast(materialise(shares, "language-shares"))  # a row for each language
+    return rows.join(shares, F.col("_lang").eqNullSafe(F.col("s_lang"))).select("doc_id", "text", "target", "share")
+
+
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """bucket, expected (occurrences, each as its row's share), target (occurrences in target rows) over ``marked`` rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros((2, 1 << BUCKET_BITS), np.int32)
-        rows = good_rows = 0
+        expected, target = np.zeros((2, BUCKETS))
         for batch in trimmed(batches):
-            good = np.asarray(batch.column("target"), dtype=bool)
-            rows, good_rows = rows + len(good), good_rows + int(good.sum())
+            good, share = np.asarray(batch.column("target"), dtype=bool), np.asarray(batch.column("share"))
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 bucket, doc = _features(data, offsets)
-                seen = pd.unique(doc << BUCKET_BITS | bucket)
-                bucket, doc = seen & ((1 << BUCKET_BITS) - 1), seen >> BUCKET_BITS
-                raw += np.bincount(bucket, minlength=1 << BUCKET_BITS).astype(np.int32)
-                target += np.bincount(bucket[good[i:j][doc]], minlength=1 << BUCKET_BITS).astype(np.int32)
-        some = np.flatnonzero(raw)
-        if rows:
-            columns = (np.append(some, TOTALS).astype(np.int32), np.append(raw[some], rows).astype(np.int64), np.append(target[some], good_rows).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "raw", "target"])
-
-    return docs.mapInArrow(work, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-
-
-def log_ratios(counts: DataFrame, prior: float, sigmas: float, dead_zone: float) -> DataFrame:
-    """bucket, ratio: the buckets whose log ratio counts (all below 0)."""
-    share = F.broadcast(counts.filter(F.col("bucket") == TOTALS).select((F.col("target") / F.col("raw")).alias("share")).filter("share > 0"))  # one row
-    ratio = F.log((F.col("target") + prior) / (F.col("expected") + prior))
-    return (
-        counts.filter(F.col("bucket") != TOTALS)
-        .join(share)
-        .select("bucket", "target", (F.col("raw") * F.col("share")).alias("expected"))
-        .filter(F.col("expected") - F.col("target") > sigmas * F.sqrt(F.col("expected") + 1))
-        .select("bucket", ratio.alias("ratio"))
-        .filter(F.col("ratio") < float(np.log(dead_zone)))
-    )
+                expected += np.bincount(bucket, weights=share[i:j][doc], minlength=BUCKETS)
+                target += np.bincount(bucket[good[i:j][doc]], minlength=BUCKETS)
+        some = np.flatnonzero(expected)
+        for part in np.array_split(some, -(-len(some) // (1 << 16)) or 1):
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(expected[part]), pa.array(target[part].astype(np.int64))], names=["bucket", "expected", "target"])
+
+    return rows.mapInArrow(work, "bucket int, expected double, target long").groupBy("bucket").agg(F.sum("expected").alias("expected"), F.sum("target").alias("target"))
+
+
+def model(counts: DataFrame) -> np.ndarray:
+    """expected and target of every bucket."""
+    out = np.zeros((2, BUCKETS))
+    table = counts.toArrow()  # at most BUCKETS rows
+    out[:, table["bucket"].to_numpy()] = table["expected"].to_numpy(), table["target"].to_numpy()
+    return out
 
 
 def weights(
-    docs: DataFrame, labels: DataFrame, prior: float = 2.0, sigmas: float = 3.0, dead_zone: float = 0.2, margin: float = 3.0, max_labels: int = 50_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, prior: float = 2.0, margin: float = 3.0, length: float = 150.0, neutral: float = 100.0, max_labels: int = 50_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """doc_id, log_weight for every row of ``docs``; labels: doc_id, quality, toxic."""
-    thin = two_columns(docs, id_col, text_col)
-    sample = labels.select(F.col("doc_id").cast("long").alias("l_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("l_target")).filter("l_id is not null").orderBy(F.xxhash64("l_id"), "l_id").limit(max_labels)
-    good = F.broadcast(sample.filter("l_target").select("l_id").distinct())  # at most max_labels rows
-    marked = thin.join(good, thin.doc_id == good.l_id, "left").select("doc_id", "text", F.col("l_id").isNotNull().alias("target"))
-    ratios = np.zeros(1 << BUCKET_BITS, np.float32)
-    for bucket, ratio in log_ratios(materialise(feature_counts(marked), "ngram-counts"), prior, sigmas, dead_zone).collect():  # at most 2 ** BUCKET_BITS rows
-        ratios[bucket] = ratio
-    table = docs.sparkSession.sparkContext.broadcast(ratios)
+    rows = marked(docs, labels, max_labels, id_col, text_col, lang_col)
+    counts = model(materialise(feature_counts(rows), "ngram-counts"))
+    scale = counts[1].sum() / max(counts[0].sum(), 1e-9)  # lengths in characters give shares, and this what they are in n-grams
+    table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expected, target = table.value
         for batch in trimmed(batches):
             score = np.zeros(batch.num_rows)
+            good, share = np.asarray(batch.column("target"), dtype=float), np.asarray(batch.column("share"))
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 bucket, doc = _features(data, offsets)
-                short = table.value[bucket] < 0
-                seen = np.unique(doc[short] << BUCKET_BITS | bucket[short])
-                score[i:j] = np.bincount(seen >> BUCKET_BITS, weights=table.value[seen & ((1 << BUCKET_BITS) - 1)], minlength=j - i)
+                held, times = np.unique(doc * BUCKETS + bucket, return_counts=True)
+                bucket, doc = held % BUCKETS, held // BUCKETS
+                others = target[bucket] - times * good[i:j][doc], np.maximum(0.0, expected[bucket] - times * share[i:j][doc])
+                ratio = np.log((others[0] + prior) / (others[1] * scale + prior))
+                total, n = (np.bincount(doc, weights=w, minlength=j - i) for w in (times * ratio, times))
+                score[i:j] = length * total / (n + neutral)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.minimum(0.0, score + margin))], names=["doc_id", "log_weight"])
 
-    return thin.mapInArrow(work, "doc_id long, log_weight double")
+    return rows.mapInArrow(work, "doc_id long, log_weight double")
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> int:
@@ -142,10 +155,10 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> int:
     return low
 
 
-def classified(docs: DataFrame, labels: DataFrame, sharpness: float = 8.0, seed: int = 17, **model: object) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, sharpness: float = 8.0, seed: int = 17, **options: object) -> DataFrame:
     """doc_id, log_weight, key, kept for every row of ``docs``."""
     noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
-    scored = materialise(weights(docs, labels, **model).withColumn("key", F.floor((F.lit(sharpness) * F.col("log_weight") + noise) * KEY_STEPS)), "weights")
+    scored = materialise(weights(docs, labels, **options).withColumn("key", F.floor((F.lit(sharpness) * F.col("log_weight") + noise) * KEY_STEPS)), "weights")
     n, k = scored.agg(F.count(F.lit(1)), F.sum(F.exp("log_weight"))).first()
     k = min(n, round(k or 0.0))
     threshold = kth_largest(scored, k) if k else None

@@ -268,6 +268,37 @@ def test_quality_catches_what_the_target_lacks(spark):
     assert quality.classified(helpers.frame(spark, []), none).count() == 0
 
 
+def test_quality_sees_word_order_and_repetition(spark):
+    """Rows that hold the words of all others, in another order, or one pair of them over and over."""
+    rng = random.Random(9)
+    words = [f"w{chr(97 + i % 26)}{i}" for i in range(60)]
+    data, labels, bad = [], [], {}
+    for i in range(1200):
+        pairs = [rng.choice(words) + " " + rng.choice(words) for _ in range(40)]
+        bad[i] = (None, "order", "often")[0 if rng.random() < 0.7 else rng.choice((1, 2))]
+        pairs += ["beta alpha" if bad[i] == "order" else "alpha beta"] * 6 + ["gamma delta"] * (60 if bad[i] == "often" else 2)
+        rng.shuffle(pairs)
+        data.append((i, " ".join(pairs), "en", "s", 0, "h", True, 3))
+        if i % 2:
+            labels.append((i, int(bad[i] is None), 0))
+    got = {r["doc_id"]: r["log_weight"] for r in quality.weights(helpers.frame(spark, data), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), margin=-100.0).collect()}
+    mean = {kind: sum(got[i] for i in got if i % 2 == 0 and bad[i] == kind) / sum(i % 2 == 0 and bad[i] == kind for i in got) for kind in (None, "order", "often")}
+    assert mean["order"] < mean[None] - 2
+    assert mean["often"] < mean[None] - 2
+
+
+def test_quality_recall_on_held_out_labels(spark):
+    """Labels of odd doc_id are learned from; of the others a weight under a half counts as rejected."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.weights(docs, labels.filter("doc_id % 2 = 1")).join(labels.filter("doc_id % 2 = 0"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("good")
+    share = {(r["lang"], r["kind"]): r["share"] for r in scored.groupBy("lang", kind.alias("kind")).agg(F.avg((F.exp("log_weight") < 0.5).cast("double")).alias("share")).collect()}
+    for lang, toxic in (("en", 0.95), ("de", 0.35), ("es", 0.25), ("fr", 0.25)):
+        assert share[lang, "toxic"] >= toxic
+        assert share[lang, "low"] >= 0.9
+        assert share[lang, "good"] <= 0.03
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     keys = [rng.randrange(-(10**9), 10**9) for _ in range(500)] + [7] * 20
