@@ -2,9 +2,13 @@
 
 Quote levels are the number of ``>`` marks that begin a line, at any nesting. Consecutive
 lines of one level are a passage; its text, with marks gone, white space collapsed and case
-folded, is hashed. Every message is indexed by the hashes of its own lines, of its
-paragraphs and of its whole text without quotes; the original of a quotation is the
-earliest message of the conversation that has the passage. A message replies to the
+folded, is hashed whole and sentence by sentence (a sentence ends with its line, or where
+``.``, ``!`` or ``?`` stands before white space). Every message is indexed by the hashes of its
+own lines, of its paragraphs, of its whole text without quotes, and of every run of its
+sentences as long as some quotation of its conversation; the original of a quotation is the
+earliest message of the conversation that has the passage. So any run of whole lines or
+sentences is found, and a paragraph or message also where its lines are broken anew; less than
+a sentence is not looked for. A message replies to the
 original of its outermost linked quotation. Threads and depths come from pointer doubling
 along replies; messages ordered by (conv_id, thread, depth, turn) read in reply order.
 
@@ -60,20 +64,29 @@ def _hash(text: Column) -> Column:
     return F.unhex(F.md5(folded(text)))
 
 
+def sentences(text: Column) -> Column:
+    """The sentences in order, folded, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"\r?\n|(?<=[.!?])[ \t]+|(?<=[。！？])"), folded), lambda x: F.char_length(x) > 0)
+
+
+def _run_hash(run: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(run, "\n")))
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, content (no quotes), reply_to, thread, depth, n_quotes, n_linked; one row per message."""
     rows = materialise(parsed(messages), "messages")
     own = own_text(F.col("lines"))
     units = F.array_distinct(F.concat(F.array(own), F.split(own, r"\n\s*\n"), F.split(own, "\n")))
-    originals = (
-        rows.filter("conv_id is not null and turn is not null")
-        .select("conv_id", "turn", F.explode(units).alias("unit"))
-        .filter(F.char_length(folded(F.col("unit"))) > 0)
-        .groupBy("conv_id", _hash(F.col("unit")).alias("hash"))
-        .agg(F.min("turn").alias("original"))
-    )
-    quoted = rows.select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("pos", "p")).select("conv_id", "turn", "pos", F.col("p.level").alias("level"), _hash(F.col("p.text")).alias("hash"))
-    links = materialise(quoted.join(originals, ["conv_id", "hash"], "left").select("conv_id", "turn", "level", "pos", F.when(F.col("original") < F.col("turn"), F.col("original")).alias("original")), "quotations")
+    quoted = rows.select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("pos", "p")).select("conv_id", "turn", "pos", F.col("p.level").alias("level"), _hash(F.col("p.text")).alias("hash"), sentences(F.col("p.text")).alias("run"))
+    quoted = materialise(quoted.select("conv_id", "turn", "pos", "level", "hash", F.size("run").alias("length"), _run_hash(F.col("run")).alias("run_hash")), "passages")
+    lengths = materialise(quoted.filter("conv_id is not null").groupBy(F.col("conv_id").alias("l_conv")).agg(F.collect_set("length").alias("lengths")), "passage-lengths")
+    asked = rows.filter("turn is not null").join(lengths, rows.conv_id == lengths.l_conv)  # only conversations with quotations
+    runs = F.flatten(F.transform("lengths", lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("own") - k + 1, F.lit(1))), lambda i: i + k - 1 <= F.size("own")), lambda i: _run_hash(F.slice("own", i, k)))))
+    whole = asked.select("conv_id", "turn", F.explode(units).alias("unit")).filter(F.char_length(folded(F.col("unit"))) > 0).groupBy("conv_id", _hash(F.col("unit")).alias("hash")).agg(F.min("turn").alias("by_whole"))
+    in_runs = asked.select("conv_id", "turn", "lengths", sentences(own).alias("own")).select("conv_id", "turn", F.explode(F.array_distinct(runs)).alias("run_hash")).groupBy("conv_id", "run_hash").agg(F.min("turn").alias("by_run"))
+    original = F.least("by_whole", "by_run")
+    links = materialise(quoted.join(whole, ["conv_id", "hash"], "left").join(in_runs, ["conv_id", "run_hash"], "left").select("conv_id", "turn", "level", "pos", F.when(original < F.col("turn"), original).alias("original")), "quotations")
     replies = (
         links.groupBy("conv_id", "turn")
         .agg(F.min(F.when(F.col("original").isNotNull(), F.struct("level", "pos", "original"))).alias("first"), F.count(F.lit(1)).alias("n_quotes"), F.count("original").alias("n_linked"))

@@ -329,3 +329,26 @@ def test_chat_quotes(spark):
     assert (by[1, 2]["n_quotes"], by[1, 2]["n_linked"], by[1, 4]["n_linked"]) == (2, 2, 0)
     assert by[2, 1]["reply_to"] is None
     assert chat_quotes.chat_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_quotes_of_parts(spark):
+    """Some lines of a paragraph, two of three paragraphs, a sentence of a line; lines that are not together link to nothing."""
+    data = [
+        (1, 0, "user", "Hello all.\nA one\nB two\nC three", 1),
+        (1, 1, "assistant", "First here. Second there! Third?\n\nMiddle part\n\nLast part", 1),
+        (1, 2, "user", "> A one\n> B TWO\nyes", 1),
+        (1, 3, "user", "> First here. Second there! Third?\n>\n> Middle  part\nno", 1),
+        (1, 4, "user", "> Second there!\nwhere", 1),
+        (1, 5, "user", "> A one\n> C three\nso", 1),
+        (1, 6, "user", "> Third?\n>\n> Middle part\n>\n> Last part\n\nwell", 1),
+        (1, 7, "user", ">> B two\n>> C three\n> yes\nfine", 1),
+        (2, 0, "user", "> A one\n> B two\nelsewhere", 1),
+    ]
+    got = chat_quotes.linked(spark.createDataFrame(data, "conv_id long, turn long, role string, text string, depth int")).collect()
+    by = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"]) for r in got}
+    assert by[1, 2] == (0, 0, 1)
+    assert by[1, 3] == by[1, 4] == by[1, 6] == (1, 1, 1)
+    assert by[1, 5] == (None, 5, 0)
+    assert by[1, 7] == (2, 0, 2)
+    assert by[2, 0] == (None, 0, 0)
+    assert {(r["n_quotes"], r["n_linked"]) for r in got if r["turn"] == 7} == {(2, 2)}
