@@ -147,6 +147,11 @@ def coverage(df: DataFrame) -> DataFrame:
     return df.filter("lang = 'en'").select("doc_id", T.coverage(F.col("text"), F.left("text", F.lit(400))).alias("share")).filter("share is not null")
 
 
+def coverage_whole(df: DataFrame) -> DataFrame:
+    """Every document against its whole text without markup; null below 50 words."""
+    return df.select("doc_id", T.coverage(F.col("text"), T.strip_markup(F.col("text"))).alias("share"))
+
+
 def _history(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(adapter.history(spark, d))
 
@@ -159,6 +164,14 @@ def _source_ids(df: DataFrame) -> DataFrame:
     return df.select("doc_id", T.source_id(F.left("text", F.lit(120)), F.col("text")).alias("source_id"))
 
 
+def _slugs_whole(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
+def _source_ids_whole(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", T.source_id(F.col("text"), F.col("text")).alias("source_id"))
+
+
 def _bib_ids(spark: SparkSession, d: str) -> DataFrame:
     pages = adapter.pages(spark, d)
     return credibility.identifiers(pages, F.concat_ws("  ", "url", "body")).select("page_id", "doi", "arxiv", "pmid", "pmcid", "isbn")
@@ -210,12 +223,15 @@ QUERIES: dict[str, Query] = {
     "tokenize": _table("documents", tokenize),
     "slug": _table("documents", _slugs),
     "sha_id": _table("documents", _source_ids),
+    "slug_whole": _table("documents", _slugs_whole),
+    "sha_id_whole": _table("documents", _source_ids_whole),
     "title_from": _table("documents", _titles),
     "csv_table": _table("documents", _tables),
     "bm25_stats": _table("documents", lambda df: search.statistics(_docs(df))),
     "bm25_topk": _table("documents", lambda df: search.bm25(_docs(df), "the license of the", 10)),
     "bm25_scores": _table("documents", lambda df: search.bm25(_docs(df), "the license apache", None)),
     "coverage": _table("documents", coverage),
+    "coverage_whole": _table("documents", coverage_whole),
     "url_host": lambda spark, d: adapter.pages(spark, d).select("page_id", T.url_host(F.col("url")).alias("host")),
     "bib_ids": _bib_ids,
     "classify_source": _classified,

@@ -201,6 +201,8 @@ SQL: dict[str, str] = {
     "tokenize": f"SELECT doc_id, CAST(len({_tokens.format('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_tokens.format('text')})) AS BIGINT) AS n_terms FROM documents",
     "slug": f"SELECT doc_id, {slug_sql('substr(text, 1, 120)')} AS slug FROM documents",
     "sha_id": f"SELECT doc_id, CASE WHEN {slug_sql('substr(text, 1, 120)')} = '' THEN 'source' ELSE {slug_sql('substr(text, 1, 120)')} END || '-' || substr(sha256(text), 1, 6) AS source_id FROM documents",
+    "slug_whole": f"SELECT doc_id, {slug_sql('text')} AS slug FROM documents",
+    "sha_id_whole": f"SELECT doc_id, CASE WHEN {slug_sql('text')} = '' THEN 'source' ELSE {slug_sql('text')} END || '-' || substr(sha256(text), 1, 6) AS source_id FROM documents",
     "bm25_stats": f"WITH p AS (SELECT doc_id, unnest({_tokens.format('text')}) AS term FROM documents) SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM p GROUP BY term",
     "bm25_topk": bm25_sql(["the", "license", "of", "the"], 10),
     "bm25_scores": bm25_sql(["the", "license", "apache"], None),
@@ -228,6 +230,7 @@ SQL: dict[str, str] = {
     "squash": f"WITH {HISTORY} SELECT kind, CAST(count(*) AS BIGINT) AS n, min(moment) AS first_at, max(moment) AS last_at FROM h GROUP BY kind",
     "knowledge_rank": edges_sql("SELECT knowledge_level, CAST(count(*) AS BIGINT) AS n, CAST(CASE knowledge_level " + " ".join(f"WHEN '{k}' THEN {i + 1}" for i, k in enumerate(vocab.KNOWLEDGE_LEVELS)) + " ELSE 0 END AS BIGINT) AS rank FROM e GROUP BY ALL"),
     "coverage": "SELECT doc_id, CAST(len(list_filter(w, lambda x: contains(md, x))) AS DOUBLE) / len(w) AS share FROM (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 5)) AS w, lower(substr(text, 1, 400)) AS md FROM documents WHERE lang = 'en') WHERE len(w) >= 50",
+    "coverage_whole": f"SELECT doc_id, CASE WHEN len(w) >= 50 THEN CAST(len(list_filter(w, lambda x: contains(md, x))) AS DOUBLE) / len(w) END AS share FROM (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: lower(x)), lambda x: length(x) >= 5)) AS w, lower({_strip.format('text')}) AS md FROM documents)",
     "lint_summary": "",
 }
 SQL["reachability"] = f"""WITH RECURSIVE {EDGES}, o AS (SELECT DISTINCT CASE WHEN reversed THEN object ELSE subject END AS s, CASE WHEN reversed THEN subject ELSE object END AS t FROM e),

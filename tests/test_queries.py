@@ -49,6 +49,16 @@ def test_queries_without_sql_give_rows(spark, name):
     assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def test_whole_texts(spark, tmp_path):
+    """Other languages, short texts, and what stands after the first 120 or 400 characters."""
+    late = "é" * 500 + " Title here " + " ".join("abcde" + "fghij"[i % 5] + "klmno"[i // 5 % 5] + "pq"[i // 25] for i in range(50))
+    spark.createDataFrame([(1, late, "fr"), (2, "short", "en"), (3, late + " <b> notag </b", "de")], "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = lambda name: {r[0]: r[1] for r in catalog.QUERIES[name](spark, f"file://{tmp_path}").collect()}
+    assert rows("coverage_whole") == {1: 1.0, 2: None, 3: 51 / 51}
+    assert rows("slug_whole")[1].startswith("title-here-abcde")
+    assert rows("sha_id_whole")[1].startswith("title-here-abcde")
+
+
 def test_contract():
     import __spark_entry__
 
