@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_raw(main: DataFrame, other: DataFrame, tries: int = 64) -> DataFrame:
+def merge_raw(main: DataFrame, other: DataFrame) -> DataFrame:
     """main, other: id, sha256 -> id, final_id, action of every source of ``other``: dropped (same content), renamed or moved.
 
-    The free suffix is the smallest n from 2 for which ``<id>-n`` is taken by no source; all taken suffixes of an id
-    come from one equi-join on the stem.
+    The free suffix is the smallest n from 2 for which ``<id>-n`` is taken by no source, be it of ``main`` or moved from
+    ``other``; the taken suffixes of the ids that clash come from one equi-join on the stem.
     """
     by_sha = main.groupBy("sha256").agg(F.max("id").alias("same_id"))
     placed = other.join(by_sha, "sha256", "left").join(main.select("id", F.lit(True).alias("taken")).distinct(), "id", "left")
-    suffix = F.regexp_extract("id", r"^(.*)-([0-9]{1,9})$", 2)
-    used = main.filter(suffix != "").select(F.regexp_extract("id", r"^(.*)-([0-9]{1,9})$", 1).alias("id"), suffix.cast("int").alias("n")).filter(F.col("n").between(2, tries)).groupBy("id").agg(F.collect_set("n").alias("used"))  # at most ``tries`` numbers
-    free = F.array_min(F.array_except(F.sequence(F.lit(2), F.lit(tries + 1)), F.coalesce("used", F.array().cast("array<int>"))))
     clash = F.col("taken").isNotNull()
-    final = F.when(F.col("same_id").isNotNull(), F.col("same_id")).when(clash, F.concat_ws("-", "id", free.cast("string"))).otherwise(F.col("id"))
+    renamed = placed.filter(F.col("same_id").isNull() & clash).select("id").distinct()
+    ids = main.select("id").union(placed.filter(F.col("same_id").isNull() & ~clash).select("id"))
+    numbered = r"^([\s\S]*)-([2-9]|[1-9][0-9]{1,17})$"
+    used = ids.filter(F.col("id").rlike(numbered)).select(F.regexp_extract("id", numbered, 1).alias("id"), F.regexp_extract("id", numbered, 2).cast("long").alias("n")).join(renamed, "id", "left_semi").distinct()
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("n"))
+    free = used.withColumn("unbroken", F.col("n") == nth + 1).groupBy("id").agg((F.count_if("unbroken") + 2).alias("free"))
+    final = F.when(F.col("same_id").isNotNull(), F.col("same_id")).when(clash, F.concat_ws("-", "id", F.coalesce("free", F.lit(2)).cast("string"))).otherwise(F.col("id"))
     action = F.when(F.col("same_id").isNotNull(), "dropped").when(clash, "renamed").otherwise("moved")
-    return placed.join(used, "id", "left").select("id", final.alias("final_id"), action.alias("action"))
+    return placed.join(free, "id", "left").select("id", final.alias("final_id"), action.alias("action"))
 
 
 def rewrite_raw_source(nodes: DataFrame, id_map: DataFrame) -> DataFrame:

@@ -59,6 +59,17 @@ def test_whole_texts(spark, tmp_path):
     assert rows("sha_id_whole")[1].startswith("title-here-abcde")
 
 
+def test_merge_raw_finds_free_suffixes(spark):
+    """More than 64 suffixes taken, a gap, and a suffix that a moved source takes."""
+    from loomgraph.operators import merge
+
+    main = ["a", *(f"a-{i}" for i in range(2, 90)), "b", "b-2", "b-4", "c", "d", "d-02"]
+    other = ["a", "b", "c", "c-2", "d"]
+    frame = lambda ids, side: spark.createDataFrame([(i, side + i) for i in ids], "id string, sha256 string")
+    got = {r["id"]: r["final_id"] for r in merge.merge_raw(frame(main, "m"), frame(other, "o")).collect()}
+    assert got == {"a": "a-90", "b": "b-3", "c": "c-3", "c-2": "c-2", "d": "d-2"}
+
+
 def test_contract():
     import __spark_entry__
 
