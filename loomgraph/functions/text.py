@@ -17,7 +17,12 @@ GRAY_HOSTS = ["who.int", "clinicaltrials.gov", "europa.eu", "nih.gov", "cdc.gov"
 PREPRINT_WORDS = ["biorxiv", "medrxiv", "arxiv", "chemrxiv", "preprint server"]
 JOURNAL_WORDS = ["received:", "accepted:", "peer-reviewed", "corresponding author", "doi:", "journal of", "et al.", "abstract"]
 
-SPACE = r"[ \t\n\x0B\f\r]"
+#: What counts as white space at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE))
 
 
 def tokens(text: Column) -> Column:
@@ -32,6 +37,26 @@ def slug(text: Column) -> Column:
     return F.rtrim(cut, F.lit("-"))
 
 
+def commit_slug(text: Column) -> Column:
+    """The slug of the first 40 characters."""
+    return slug(F.left(text, F.lit(40)))
+
+
+def kb_id(name: Column) -> Column:
+    """An id from a folder's name: letters and digits lowered, other runs one dash, ends stripped, or ``base``."""
+    return F.coalesce(F.nullif(F.btrim(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", "-")), F.lit("-")), F.lit("")), F.lit("base"))
+
+
+def junk(path: Column) -> Column:
+    """Whether a member or file is left by an operating system."""
+    base = F.regexp_extract(path, "([^/]*)$", 1)
+    return path.contains("__MACOSX") | (base == ".DS_Store") | base.startswith("._")
+
+
+def today() -> Column:
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd")
+
+
 def source_id(title: Column, content: Column) -> Column:
     """Slug of the title (or ``source``) and six hex digits of the content's SHA-256."""
     s = slug(title)
@@ -69,6 +94,11 @@ def _capture(text: Column, *options: tuple[str, int]) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, g), F.lit("")) for p, g in options))
 
 
+# The patterns of identifiers below, and the prefix of preprints' DOIs.
+def preprint_doi(c: Column) -> Column:
+    return c.startswith("10.1101/")
+
+
 def doi(text: Column) -> Column:
     found = F.lower(F.nullif(F.regexp_extract(text, r"(?i)\b(10\.[0-9]{4,9}/[-._;()/:a-z0-9]+)\b", 1), F.lit("")))
     return F.regexp_replace(found, r"\.$", "")
@@ -137,13 +167,17 @@ def url_filename(url: Column, ext: Column) -> Column:
     return F.when(last.contains("."), last).otherwise(F.concat_ws(".", last, ext))
 
 
+#: What stands between quotes: anything but a quote, and doubled quotes. Possessive, so that no cell is too long for it.
+QUOTED = r'"(?:[^"]++|"")*+(?:"|\z)'
+
+
 def split_delimited(line: Column, delimiter: str = ",") -> Column:
-    """Cells of one line, trimmed, pipes escaped: a delimiter inside an open quote does not part cells; doubled quotes stand for one."""
-    d = "\\" + delimiter if delimiter in ",|" else delimiter
-    cell = rf'(?:^|{d})((?:[^{d}"]|"(?:[^"]|"")*(?:"|$))*)'
-    cells = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
-    inner = lambda c: F.replace(F.replace(F.replace(c, F.lit('""'), F.lit("\x01")), F.lit('"'), F.lit("")), F.lit("\x01"), F.lit('"'))
-    return F.transform(cells, lambda c: F.replace(F.trim(inner(c)), F.lit("|"), F.lit("\\|")))
+    """Cells of one line, trimmed, pipes escaped: a delimiter inside an open quote does not part cells; doubled quotes
+    inside quotes stand for one; a quote may open anywhere, and one that never closes takes the rest."""
+    d = "\\" + delimiter if delimiter in r".|*+?^$()[]{}\\" else delimiter
+    cells = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf'{d}((?:[^{d}"]++|{QUOTED})*+)'), F.lit(1))
+    inner = lambda c: F.replace(F.regexp_replace(c, r'"((?:[^"]++|"")*+)(?:"|\z)', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda c: F.replace(strip(inner(c)), F.lit("|"), F.lit("\\|")))
 
 
 def kb_id_valid(c: Column) -> Column:

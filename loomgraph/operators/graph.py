@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
+from ..sources.tables import materialise
+
 
 def oriented(edges: DataFrame) -> DataFrame:
     """source, target, predicate of every authored edge; inverse ones are flipped."""
@@ -17,10 +20,14 @@ def oriented(edges: DataFrame) -> DataFrame:
 
 
 def synthesized(edges: DataFrame) -> DataFrame:
-    """A reported_in edge from each subject to each primary source, once per pair, unless one is authored."""
-    wanted = edges.filter("primary_source is not null and primary_source <> 'not_provided' and primary_source <> subject").select(F.col("subject").alias("source"), F.col("primary_source").alias("target")).distinct()
-    authored = edges.filter("predicate = 'reported_in'").select(F.col("subject").alias("source"), F.col("object").alias("target")).distinct()
-    return wanted.join(authored, ["source", "target"], "left_anti").select("source", "target", F.lit("reported_in").alias("predicate"), F.lit(True).alias("synthesized"))
+    """A reported_in edge from each subject to each primary source, once per pair, unless one is authored: one pass and
+    one shuffle of the pairs, combined before it."""
+    wanted = F.expr("primary_source is not null and primary_source <> 'not_provided' and primary_source <> subject")
+    pair = lambda target, authored: F.struct(F.col(target).alias("target"), F.lit(authored).alias("authored"))
+    pairs = F.array(F.when(wanted, pair("primary_source", False)), F.when(F.col("predicate") == "reported_in", pair("object", True)))
+    each = edges.select(F.col("subject").alias("source"), F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("p")).select("source", "p.target", "p.authored")
+    made = each.groupBy("source", "target").agg(F.bool_or("authored").alias("authored")).filter("not authored")
+    return made.select("source", "target", F.lit("reported_in").alias("predicate"), F.lit(True).alias("synthesized"))
 
 
 def graph_edges(edges: DataFrame) -> DataFrame:
@@ -33,22 +40,44 @@ def externals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return named.distinct().join(nodes.select("identifier"), "identifier", "left_anti")
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """identifier, degree over all graph edges, and named (an object or the source of a made edge); a loop counts twice.
+    Each end is counted before the shuffle, so a hub is combined early."""
+    end = lambda c, n, named: F.struct(F.col(c).alias("identifier"), F.lit(n).cast("long").alias("n"), F.lit(named).alias("named"))
+    authored = edges.select(F.explode(F.array(end("subject", 1, False), end("object", 1, True))).alias("e"))
+    made = synthesized(edges).select(F.explode(F.array(end("source", 1, False), end("target", 1, True))).alias("e"))
+    return authored.unionByName(made).groupBy("e.identifier").agg(F.sum("e.n").alias("degree"), F.bool_or("e.named").alias("named"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
-    """identifier, degree over all graph edges; a loop counts twice. Each end is counted first, so a hub is combined early."""
-    g = graph_edges(edges)
-    return g.select(F.col("source").alias("identifier")).union(g.select(F.col("target").alias("identifier"))).groupBy("identifier").agg(F.count(F.lit(1)).alias("degree"))
+    """identifier, degree."""
+    return ends(edges).select("identifier", "degree")
 
 
 def graph_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """identifier, node_type, family, external, degree. Of rows that share an identifier, the last in file order has the degree."""
+    """identifier, node_type, family, external, degree. Of rows that share an identifier, the last in file order has the
+    degree. Ends that no node bears are stubs, if an edge names them as object or source."""
     last = nodes.groupBy("identifier").agg(F.max("file_ord").alias("last"))
-    real = nodes.join(last, "identifier").join(degrees(edges), "identifier", "left").select("identifier", "node_type", "family", F.lit(False).alias("external"), F.when(F.col("file_ord") == F.col("last"), F.coalesce("degree", F.lit(0))).otherwise(0).cast("long").alias("degree"))
-    stubs = externals(nodes, edges).join(degrees(edges), "identifier").select("identifier", F.lit("External").alias("node_type"), F.lit("external").alias("family"), F.lit(True).alias("external"), "degree")
-    return real.unionByName(stubs)
+    real = nodes.select("identifier", "node_type", "family", "file_ord").join(last, "identifier")
+    found = real.withColumnRenamed("identifier", "own").join(ends(edges), F.col("own") == F.col("identifier"), "full").filter("own is not null or named")
+    external, degree = F.col("own").isNull(), F.coalesce("degree", F.lit(0).cast("long"))
+    return found.select(
+        F.coalesce("own", "identifier").alias("identifier"),
+        F.when(external, "External").otherwise(F.col("node_type")).alias("node_type"),
+        F.when(external, "external").otherwise(F.col("family")).alias("family"),
+        external.alias("external"),
+        F.when(external | (F.col("file_ord") == F.col("last")), degree).otherwise(F.lit(0).cast("long")).alias("degree"),
+    )
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return graph_nodes(nodes, edges).filter("not external and degree = 0").select("identifier", "node_type")
+    """identifier, node_type of nodes without an edge; of rows that share an identifier only the last can have one. Which
+    edges are made does not matter here: what they would join are ends already."""
+    named = F.expr("primary_source is not null and primary_source <> 'not_provided'")
+    touched = edges.select(F.explode(F.array_distinct(F.filter(F.array("subject", "object", F.when(named, F.col("primary_source"))), lambda x: x.isNotNull()))).alias("touched")).distinct()
+    last = nodes.groupBy("identifier").agg(F.max("file_ord").alias("last"))
+    found = nodes.select("identifier", "node_type", "file_ord").join(last, "identifier").join(touched, F.col("identifier") == F.col("touched"), "left")
+    return found.filter("touched is null or file_ord <> last").select("identifier", "node_type")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -71,16 +100,21 @@ def node_panel(edges: DataFrame, identifier: str) -> DataFrame:
 
 
 def two_hop(edges: DataFrame, first: str, second: str) -> DataFrame:
-    """start, middle, finish over two predicates in a row, with the weaker knowledge level ranked first."""
+    """start, finish, n_paths over two predicates in a row, with the best knowledge level of the first, by rank: levels
+    rank in the order of the vocabulary, and one outside it, or none, last."""
     a = edges.filter(F.col("predicate") == first).select(F.col("subject").alias("start"), F.col("object").alias("middle"), F.col("knowledge_level").alias("level"))
     b = edges.filter(F.col("predicate") == second).select(F.col("subject").alias("middle"), F.col("object").alias("finish"))
-    return a.join(b, "middle").groupBy("start", "finish").agg(F.count(F.lit(1)).alias("n_paths"), F.min("level").alias("level"))
+    return a.join(b, "middle").groupBy("start", "finish").agg(F.count(F.lit(1)).alias("n_paths"), F.min_by("level", _rank("level")).alias("level"))
+
+
+def _rank(level: str) -> Column:
+    """Place of a knowledge level in the vocabulary."""
+    place = F.array_position(F.array(*map(F.lit, vocab.KNOWLEDGE_LEVELS)), F.col(level))
+    return F.when(place > 0, place).otherwise(F.lit(len(vocab.KNOWLEDGE_LEVELS) + 1)).cast("long")
 
 
 def reachable(edges: DataFrame, start: str, max_hops: int = 6) -> DataFrame:
     """identifier, hops: breadth first from one node along authored edges, a written frontier per hop."""
-    from ..sources.tables import materialise
-
     o = oriented(edges).select("source", "target").distinct()
     seen = edges.sparkSession.createDataFrame([(start, 0)], "identifier string, hops int")
     frontier = seen

@@ -1,8 +1,9 @@
 """Conformance rules as queries: each gives (subject, detail); ``lint`` is their union with rule and severity.
 
-Inputs are normalised nodes (with file_ord) and normalised edges. What several rules ask of an edge's object or
-primary source is one join each: ``resolved`` carries their types beside every edge, over the distinct identifiers
-that nodes bear.
+Inputs are normalised nodes (with file_ord) and normalised edges. Rules about one row are conditions, tested together
+in one pass over nodes and one over edges. What several rules ask of an edge's object or primary source is one join:
+``references`` puts both beside the types that nodes of that identifier have. A single rule, run by itself, is the
+plain query that it stands for.
 """
 
 from __future__ import annotations
@@ -14,52 +15,97 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
+from ..sources.tables import materialise
 from . import graph, stats
 
 ERROR, WARN, INFO = "error", "warn", "info"
+# The rules by severity, in the order in which they are stated.
+SEVERITY = {
+    **dict.fromkeys(
+        [
+            "parse", "identifier.duplicate", "type.invalid", "predicate.invalid", "edge.not_negatable", "edge.missing_knowledge_level", "edge.invalid_knowledge_level",
+            "edge.missing_agent_type", "edge.invalid_agent_type", "edge.missing_primary_source",
+        ],
+        ERROR,
+    ),
+    **dict.fromkeys(
+        [
+            "identifier.opaque", "source.unanchored", "type.path_mismatch", "edge.duplicate", "value.as_identifier", "other.missing_note", "node.no_reported_in",
+            "source.raw_missing_file", "node.orphan", "edge.contradiction", "source.needs_conversion", "source.figure_unnamed", "source.figure_undescribed",
+            "source.not_scholarly", "source.retracted", "source.low_coverage", "index.stale", "edge.primary_source_not_provided", "edge.primary_source_unresolved",
+            "edge.primary_source_not_source", "edge.object_unresolved", "edge.range", "edge.stat_ci", "edge.stat_pvalue",
+        ],
+        WARN,
+    ),
+    **dict.fromkeys(["subtype.missing", "subtype.similar", "predicate.inverse", "edge.missing_direction"], INFO),
+}
 TEXT = ("subject", "detail")
+#: What a source's text holds while it still waits to be rendered; knowledge bases may use another (a parameter).
+MARKER = "<!-- needs conversion -->"
 
 
 def _out(df: DataFrame, subject: str, detail: Column | str) -> DataFrame:
     return df.select(F.col(subject).alias("subject"), (F.col(detail) if isinstance(detail, str) else detail).cast("string").alias("detail"))
 
 
-# --- rules over nodes -------------------------------------------------------------------------
-
-
-def identifier_duplicate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("identifier").orderBy("file_ord"))
-    return _out(nodes.withColumn("nth", nth).filter("nth > 1"), "identifier", "path")
+def _in(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def type_invalid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _out(nodes.filter(~F.col("type_valid")), "identifier", "node_type")
+# --- rules about one node or edge: condition, detail -------------------------------------------
 
 
-def identifier_opaque(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _out(nodes.filter(T.curie_like(F.col("identifier"))), "identifier", "path")
+def folder_type() -> Column:
+    """The node type that the folder of a path is named after."""
+    return vocab.lookup(F.lower(F.regexp_extract("path", "([^/]*)/[^/]*$", 1)), {t.lower(): t for t in vocab.NODE_TYPES})
 
 
-def subtype_missing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _out(nodes.filter("subtype is null"), "identifier", "node_type")
+def node_rows() -> dict[str, tuple[Column, Column]]:
+    c = F.col
+    return {
+        "type.invalid": (~c("type_valid"), c("node_type")),
+        "identifier.opaque": (T.curie_like(c("identifier")), c("path")),
+        "subtype.missing": (c("subtype").isNull(), c("node_type")),
+        "source.unanchored": (F.expr("is_provenance and xref is null and raw_source is null"), c("node_type")),
+        "type.path_mismatch": (c("type_valid") & folder_type().isNotNull() & (folder_type() != c("node_type")), folder_type()),
+        "value.as_identifier": (T.measurement(c("identifier")), c("path")),
+        "other.missing_note": (F.expr("node_type = 'Other' and note is null"), c("path")),
+    }
 
 
-def source_unanchored(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _out(nodes.filter("is_provenance and xref is null and raw_source is null"), "identifier", "node_type")
+def edge_rows() -> dict[str, tuple[Column, Column]]:
+    row = lambda condition, detail: (F.expr(condition), F.col(detail))
+    return {
+        "predicate.invalid": row("not pred_valid", "predicate"),
+        "edge.not_negatable": row("negated_flag and pred_valid and not negative", "predicate"),
+        "predicate.inverse": row("reversed", "predicate"),
+        "edge.missing_knowledge_level": row("knowledge_level is null", "object"),
+        "edge.invalid_knowledge_level": row(f"knowledge_level not in {_in(vocab.KNOWLEDGE_LEVELS)}", "knowledge_level"),
+        "edge.missing_agent_type": row("agent_type is null", "object"),
+        "edge.invalid_agent_type": row(f"agent_type not in {_in(vocab.AGENT_TYPES)}", "agent_type"),
+        "edge.missing_primary_source": row("primary_source is null", "object"),
+        "edge.primary_source_not_provided": row("primary_source = 'not_provided'", "object"),
+        "edge.missing_direction": row("predicate in ('regulates', 'expressed_in') and direction is null", "predicate"),
+        "edge.stat_ci": row("ci_lower > ci_upper", "object"),
+        "edge.stat_pvalue": row("p_value < 0 or p_value > 1", "object"),
+    }
 
 
-def type_path_mismatch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    folder = F.regexp_extract("path", "([^/]*)/[^/]*$", 1)
-    known = vocab.lookup(F.lower(folder), {t.lower(): t for t in vocab.NODE_TYPES})
-    return _out(nodes.withColumn("folder_type", known).filter("type_valid and folder_type is not null and folder_type <> node_type"), "identifier", "folder_type")
+def row_findings(df: DataFrame, rules: dict[str, tuple[Column, Column]], subject: str) -> DataFrame:
+    """severity, rule, subject, detail: all rules about a row in one pass."""
+    each = F.array(*(F.when(condition, F.struct(F.lit(SEVERITY[name]).alias("severity"), F.lit(name).alias("rule"), detail.cast("string").alias("detail"))) for name, (condition, detail) in rules.items()))
+    found = df.select(F.col(subject).alias("subject"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f"))
+    return found.select("f.severity", "f.rule", "subject", "f.detail")
 
 
-def value_as_identifier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _out(nodes.filter(T.measurement(F.col("identifier"))), "identifier", "path")
+# --- rules that look at several rows ----------------------------------------------------------
 
 
-def other_missing_note(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _out(nodes.filter("node_type = 'Other' and note is null"), "identifier", "path")
+def identifier_duplicate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows after the first of an identifier; only identifiers that several rows have are put in order."""
+    twice = nodes.groupBy("identifier").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("identifier")
+    nth = F.row_number().over(Window.partitionBy("identifier").orderBy("file_ord"))
+    return _out(nodes.select("identifier", "path", "file_ord").join(twice, "identifier", "left_semi").withColumn("nth", nth).filter("nth > 1"), "identifier", "path")
 
 
 def no_reported_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,13 +121,6 @@ def subtype_similar(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _out(stats.similar_subtypes(nodes), "node_type", "spellings")
 
 
-# --- rules over edges -------------------------------------------------------------------------
-
-
-def _edge_rule(condition: str, detail: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    return lambda nodes, edges: _out(edges.filter(condition), "subject", detail)
-
-
 def edge_duplicate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One finding for each occurrence after the first."""
     again = edges.groupBy("subject", "predicate", "object", F.coalesce("primary_source", F.lit("")).alias("source")).agg((F.count(F.lit(1)) - 1).alias("extra")).filter("extra > 0")
@@ -99,82 +138,115 @@ def node_types(nodes: DataFrame) -> DataFrame:
 
 
 def objects_resolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with object_type, null for an object that no node bears."""
-    types = node_types(nodes).select(F.col("identifier").alias("object"), F.col("node_type").alias("object_type"), F.lit(True).alias("object_known"))
+    """Edges with object_type, null for an object that no node bears. Types are written first: a hot object can be split."""
+    types = materialise(node_types(nodes), "node-types").select(F.col("identifier").alias("object"), F.col("node_type").alias("object_type"), F.lit(True).alias("object_known"))
     return edges.join(types, "object", "left")
 
 
-def object_unresolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _out(edges.join(nodes.select(F.col("identifier").alias("object")), "object", "left_anti"), "subject", "object")
+def references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """subject, predicate, base, role (object or source), identifier, node_type, is_provenance: what edges point to, in one
+    join. Both of the last are null where no node bears the identifier."""
+    types = materialise(node_types(nodes), "node-types").withColumnsRenamed({"identifier": "named"})
+    named = F.expr("primary_source is not null and primary_source <> 'not_provided'")
+    to = F.array(F.struct(F.lit("object").alias("role"), F.col("object").alias("identifier")), F.when(named, F.struct(F.lit("source").alias("role"), F.col("primary_source").alias("identifier"))))
+    each = edges.select("subject", "predicate", "base", F.explode(to).alias("to")).filter("to is not null").select("subject", "predicate", "base", "to.role", "to.identifier")
+    return each.join(types, each.identifier == types.named, "left")
 
 
-def edge_range(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    allowed = F.try_element_at(F.create_map(*[x for p, types in vocab.RANGES.items() for x in (F.lit(p), F.array(*map(F.lit, types)))]), F.col("base"))
-    ranged = objects_resolved(nodes, edges.filter(F.col("base").isin(list(vocab.RANGES))))
-    return _out(ranged.filter(F.col("object_known") & ~F.array_contains(allowed, F.col("object_type"))), "subject", F.concat_ws(" ", "predicate", "object", "object_type"))
+def reference_rows() -> dict[str, tuple[Column, Column]]:
+    """Rules over ``references``."""
+    known, c = F.col("named").isNotNull(), F.col
+    allowed = F.try_element_at(F.create_map(*[x for p, types in vocab.RANGES.items() for x in (F.lit(p), F.array(*map(F.lit, types)))]), c("base"))
+    source, obj = c("role") == "source", c("role") == "object"
+    return {
+        "edge.primary_source_unresolved": (source & ~known, c("identifier")),
+        "edge.primary_source_not_source": (source & known & ~c("is_provenance"), c("identifier")),
+        "edge.object_unresolved": (obj & ~known, c("identifier")),
+        "edge.range": (obj & known & c("base").isin(list(vocab.RANGES)) & ~F.array_contains(allowed, c("node_type")), F.concat_ws(" ", "predicate", "identifier", "node_type")),
+    }
 
 
-def _named_sources(edges: DataFrame) -> DataFrame:
-    return edges.filter("primary_source is not null and primary_source <> 'not_provided'")
+Rule = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def source_unresolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _out(_named_sources(edges).join(nodes.select(F.col("identifier").alias("primary_source")), "primary_source", "left_anti"), "subject", "primary_source")
+def _of_nodes(name: str) -> Rule:
+    return lambda nodes, edges: _only(nodes, node_rows()[name], "identifier")
 
 
-def source_not_source(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    wrong = node_types(nodes).filter("not is_provenance").select(F.col("identifier").alias("primary_source"))
-    return _out(_named_sources(edges).join(wrong, "primary_source"), "subject", "primary_source")
+def _of_edges(name: str) -> Rule:
+    return lambda nodes, edges: _only(edges, edge_rows()[name], "subject")
 
 
-def _in(values: list[str]) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+def _of_references(name: str) -> Rule:
+    return lambda nodes, edges: _only(references(nodes, edges), reference_rows()[name], "subject")
 
 
-Rule = Callable[[DataFrame, DataFrame], DataFrame]
-RULES: dict[str, tuple[str, Rule]] = {
-    "identifier.duplicate": (ERROR, identifier_duplicate),
-    "type.invalid": (ERROR, type_invalid),
-    "identifier.opaque": (WARN, identifier_opaque),
-    "subtype.missing": (INFO, subtype_missing),
-    "source.unanchored": (WARN, source_unanchored),
-    "type.path_mismatch": (WARN, type_path_mismatch),
-    "edge.duplicate": (WARN, edge_duplicate),
-    "value.as_identifier": (WARN, value_as_identifier),
-    "other.missing_note": (WARN, other_missing_note),
-    "node.no_reported_in": (WARN, no_reported_in),
-    "node.orphan": (WARN, node_orphan),
-    "edge.contradiction": (WARN, edge_contradiction),
-    "subtype.similar": (INFO, subtype_similar),
-    "predicate.invalid": (ERROR, _edge_rule("not pred_valid", "predicate")),
-    "edge.not_negatable": (ERROR, _edge_rule("negated_flag and pred_valid and not negative", "predicate")),
-    "predicate.inverse": (INFO, _edge_rule("reversed", "predicate")),
-    "edge.missing_knowledge_level": (ERROR, _edge_rule("knowledge_level is null", "object")),
-    "edge.invalid_knowledge_level": (ERROR, _edge_rule(f"knowledge_level not in {_in(vocab.KNOWLEDGE_LEVELS)}", "knowledge_level")),
-    "edge.missing_agent_type": (ERROR, _edge_rule("agent_type is null", "object")),
-    "edge.invalid_agent_type": (ERROR, _edge_rule(f"agent_type not in {_in(vocab.AGENT_TYPES)}", "agent_type")),
-    "edge.missing_primary_source": (ERROR, _edge_rule("primary_source is null", "object")),
-    "edge.primary_source_not_provided": (WARN, _edge_rule("primary_source = 'not_provided'", "object")),
-    "edge.primary_source_unresolved": (WARN, source_unresolved),
-    "edge.primary_source_not_source": (WARN, source_not_source),
-    "edge.object_unresolved": (WARN, object_unresolved),
-    "edge.range": (WARN, edge_range),
-    "edge.missing_direction": (INFO, _edge_rule("predicate in ('regulates', 'expressed_in') and direction is null", "predicate")),
-    "edge.stat_ci": (WARN, _edge_rule("ci_lower > ci_upper", "object")),
-    "edge.stat_pvalue": (WARN, _edge_rule("p_value < 0 or p_value > 1", "object")),
-}
+def _only(df: DataFrame, rule: tuple[Column, Column], subject: str) -> DataFrame:
+    return df.filter(rule[0]).select(F.col(subject).alias("subject"), rule[1].cast("string").alias("detail"))
 
 
-def rule(name: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return RULES[name][1](nodes, edges)
+NODE_RULES = ["type.invalid", "identifier.opaque", "subtype.missing", "source.unanchored", "type.path_mismatch", "value.as_identifier", "other.missing_note"]
+EDGE_RULES = [
+    "predicate.invalid", "edge.not_negatable", "predicate.inverse", "edge.missing_knowledge_level", "edge.invalid_knowledge_level", "edge.missing_agent_type",
+    "edge.invalid_agent_type", "edge.missing_primary_source", "edge.primary_source_not_provided", "edge.missing_direction", "edge.stat_ci", "edge.stat_pvalue",
+]
+REFERENCE_RULES = ["edge.primary_source_unresolved", "edge.primary_source_not_source", "edge.object_unresolved", "edge.range"]
+#: Rules that look at several rows.
+SET_RULES: dict[str, Rule] = {
+    "identifier.duplicate": identifier_duplicate,
+    "edge.duplicate": edge_duplicate,
+    "node.no_reported_in": no_reported_in,
+    "node.orphan": node_orphan,
+    "edge.contradiction": edge_contradiction,
+    "subtype.similar": subtype_similar,
+}
+#: Every rule over nodes and edges, as a query of its own.
+RULES: dict[str, Rule] = {
+    **{name: _of_nodes(name) for name in NODE_RULES},
+    **SET_RULES,
+    **{name: _of_edges(name) for name in EDGE_RULES},
+    **{name: _of_references(name) for name in REFERENCE_RULES},
+}
 
 
-def lint(nodes: DataFrame, edges: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """severity, rule, subject, detail of every finding."""
-    out = None
-    for name in rules or RULES:
-        part = rule(name, nodes, edges).select(F.lit(RULES[name][0]).alias("severity"), F.lit(name).alias("rule"), *TEXT)
-        out = part if out is None else out.unionByName(part)
+def rule(name: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return RULES[name](nodes, edges)
+
+
+NODE_COLUMNS = ["identifier", "node_type", "type_valid", "is_provenance", "subtype", "note", "xref", "raw_source", "raw_sources", "path", "file_ord"]
+EDGE_COLUMNS = ["subject", "predicate", "pred_valid", "base", "reversed", "negative", "negated_flag", "object", "knowledge_level", "agent_type", "primary_source", "direction", "ci_lower", "ci_upper", "p_value"]
+
+
+def lint(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, raw_files: DataFrame | None = None, parse_errors: DataFrame | None = None, index: DataFrame | None = None, marker: str = MARKER) -> DataFrame:
+    """severity, rule, subject, detail of every finding of every rule whose input is given.
+
+    sources: id, tier, retracted, classified, and body, figures, text_layer where the rules about those are wanted;
+    raw_files: path of every raw file and folder; parse_errors: path, error; index: line of the index.
+    Nodes and edges are written once, with the columns that rules need.
+    """
+    nodes = materialise(nodes.select(*(c for c in NODE_COLUMNS if c in nodes.columns)), "lint-nodes")
+    edges = materialise(edges.select(*EDGE_COLUMNS), "lint-edges")
+    named = lambda name, df: df.select(F.lit(SEVERITY[name]).alias("severity"), F.lit(name).alias("rule"), *TEXT)
+    parts = [row_findings(nodes, node_rows(), "identifier"), row_findings(edges, edge_rows(), "subject"), row_findings(references(nodes, edges), reference_rows(), "subject")]
+    parts += [named(name, f(nodes, edges)) for name, f in SET_RULES.items()]
+    if parse_errors is not None:
+        parts.append(named("parse", parse_findings(parse_errors)))
+    if raw_files is not None:
+        parts.append(named("source.raw_missing_file", raw_missing(nodes, raw_files)))
+    if sources is not None:
+        cited = cited_sources(nodes, edges, sources)
+        parts += [named("source.not_scholarly", _not_scholarly(cited)), named("source.retracted", _retracted(cited))]
+        if "body" in sources.columns:
+            parts.append(named("source.needs_conversion", needs_conversion(sources, marker)))
+            if "figures" in sources.columns:
+                parts += [named("source.figure_unnamed", figures_unnamed(sources)), named("source.figure_undescribed", figures_undescribed(sources))]
+            if "text_layer" in sources.columns:
+                parts.append(named("source.low_coverage", low_coverage(sources, marker)))
+    if index is not None:
+        parts.append(named("index.stale", _out(stats.index_missing(nodes, index), "identifier", F.lit(None))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -184,48 +256,103 @@ def verify(findings: DataFrame) -> DataFrame:
     return findings.agg(n(ERROR).alias("errors"), n(WARN).alias("warnings"), n(INFO).alias("infos"), (n(ERROR) == 0).alias("ok"))
 
 
+def validate(nodes: DataFrame, edges: DataFrame, parse_errors: DataFrame | None = None) -> DataFrame:
+    """path, identifier, edge_count, hard, soft, valid: every document by itself, without the other documents.
+
+    Hard are what makes it invalid: no parse, a type, predicate or enumeration outside the vocabulary, a missing part of
+    the provenance. Soft: an identifier like a CURIE (brackets do not save it here), no subtype, an unanchored source, a
+    missing direction. Edges belong to documents by path, where they have one, else by their subject.
+    """
+    key = "path" if "path" in edges.columns else "identifier"
+    count = lambda *conditions: sum((F.coalesce(c.cast("long"), F.lit(0).cast("long")) for c in conditions), F.lit(0).cast("long"))
+    rows, own = edge_rows(), node_rows()
+    hard = ["predicate.invalid", "edge.missing_knowledge_level", "edge.invalid_knowledge_level", "edge.missing_agent_type", "edge.invalid_agent_type", "edge.missing_primary_source"]
+    of = edges.withColumn("_key", F.col("path" if key == "path" else "subject"))
+    per = of.groupBy("_key").agg(F.count(F.lit(1)).alias("edge_count"), F.sum(count(*(rows[r][0] for r in hard))).alias("edge_hard"), F.sum(count(rows["edge.missing_direction"][0])).alias("edge_soft"))
+    curie = F.col("identifier").contains(":") & ~F.col("identifier").contains(" ")
+    judged = nodes.select("path", "identifier", F.col(key).alias("_of"), count(own["type.invalid"][0]).alias("own_hard"), count(curie, own["subtype.missing"][0], own["source.unanchored"][0]).alias("own_soft"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = judged.join(per, judged._of == per._key, "left").select("path", "identifier", zero("edge_count").alias("edge_count"), (F.col("own_hard") + zero("edge_hard")).alias("hard"), (F.col("own_soft") + zero("edge_soft")).alias("soft"))
+    if parse_errors is not None:
+        none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        out = out.unionByName(parse_errors.select("path", F.lit("").alias("identifier"), none.alias("edge_count"), one.alias("hard"), none.alias("soft")))
+    return out.withColumn("valid", F.col("hard") == 0)
+
+
 # --- rules over ingested sources --------------------------------------------------------------
 
-MARKER = "<!-- needs conversion -->"
+
+def raw_paths(nodes: DataFrame) -> DataFrame:
+    """identifier, ord, path of every raw path that a node names (raw_sources, or the one in raw_source)."""
+    every = F.col("raw_sources") if "raw_sources" in nodes.columns else F.array_compact(F.array("raw_source"))
+    return nodes.select("identifier", F.posexplode(every).alias("ord", "path"), *(["file_ord"] if "file_ord" in nodes.columns else []))
+
+
+def raw_folder(path: Column) -> Column:
+    """The folder of a raw path: the path itself where its last part has no extension."""
+    return F.rtrim(F.when(path.rlike(r"(?:^|/)[^/]+\.[^/.]*$"), F.regexp_replace(path, "/?[^/]*$", "")).otherwise(path), F.lit("/"))
 
 
 def cited_sources(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Distinct primary sources with the metadata of the raw file their node names: primary_source, tier, retracted."""
-    cited = _named_sources(edges).select(F.col("primary_source").alias("identifier")).distinct()
-    anchored = nodes.filter("raw_source is not null").select("identifier", F.regexp_extract("raw_source", "^raw/([^/]+)/", 1).alias("id"))
-    return cited.join(anchored, "identifier").join(sources.filter("classified").select("id", "tier", "retracted"), "id").select(F.col("identifier").alias("primary_source"), "tier", "retracted").distinct()
+    """primary_source, tier, retracted of every primary source in use that has been classified.
+
+    A source is what the first node of that identifier says; of its raw paths in turn, the first whose folder has
+    metadata counts.
+    """
+    named = edges.filter("primary_source is not null and primary_source <> 'not_provided'").select(F.col("primary_source").alias("identifier")).distinct()
+    first = nodes.groupBy("identifier").agg(F.min("file_ord").alias("file_ord"))
+    anchored = raw_paths(nodes.join(first, ["identifier", "file_ord"], "left_semi")).join(named, "identifier", "left_semi")
+    known = anchored.withColumn("folder", raw_folder(F.col("path"))).join(sources.select(F.concat(F.lit("raw/"), "id").alias("folder"), "tier", "retracted", "classified"), "folder")
+    meta = known.groupBy("identifier").agg(F.min_by(F.struct("tier", "retracted", "classified"), "ord").alias("m"))
+    return meta.filter("m.classified").select(F.col("identifier").alias("primary_source"), "m.tier", "m.retracted")
+
+
+def _not_scholarly(cited: DataFrame) -> DataFrame:
+    return _out(cited.filter("tier in ('web', 'unknown')"), "primary_source", "tier")
+
+
+def _retracted(cited: DataFrame) -> DataFrame:
+    return _out(cited.filter("retracted"), "primary_source", "tier")
 
 
 def source_not_scholarly(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
-    return _out(cited_sources(nodes, edges, sources).filter("not retracted and tier in ('web', 'unknown')"), "primary_source", "tier")
+    return _not_scholarly(cited_sources(nodes, edges, sources))
 
 
 def source_retracted(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
-    return _out(cited_sources(nodes, edges, sources).filter("retracted"), "primary_source", "tier")
+    return _retracted(cited_sources(nodes, edges, sources))
+
+
+def raw_missing(nodes: DataFrame, raw_files: DataFrame) -> DataFrame:
+    """Raw paths of nodes at which nothing lies; raw_files: path of every raw file and folder."""
+    named = raw_paths(nodes).withColumn("at", F.rtrim("path", F.lit("/")))
+    return _out(named.join(raw_files.select(F.col("path").alias("at")).distinct(), "at", "left_anti"), "identifier", "path")
+
+
+def needs_conversion(sources: DataFrame, marker: str = MARKER) -> DataFrame:
+    return _out(sources.filter(F.col("body").contains(marker)), "id", F.concat(F.lit("raw/"), F.col("id"), F.lit("/source.md")))
 
 
-def raw_missing(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Nodes whose raw_source names no stored source."""
-    anchored = nodes.filter("raw_source is not null").withColumn("id", F.regexp_extract("raw_source", "^raw/([^/]+)/", 1))
-    return _out(anchored.join(sources.select("id"), "id", "left_anti"), "identifier", "raw_source")
+def _figures(sources: DataFrame) -> DataFrame:
+    return sources.select("id", F.coalesce("body", F.lit("")).alias("body"), F.explode("figures").alias("f"))
 
 
-def needs_conversion(sources: DataFrame) -> DataFrame:
-    return _out(sources.filter(F.col("body").contains(MARKER)), "id", F.lit("source.needs_conversion"))
+def figures_unnamed(sources: DataFrame) -> DataFrame:
+    """Figures that still have a provisional name; sources: id, body, figures array<struct<file, provisional>>."""
+    return _out(_figures(sources).filter("f.provisional"), "id", "f.file")
 
 
-def figure_findings(sources: DataFrame) -> DataFrame:
-    """Unnamed (provisional) and undescribed figures; sources: id, body, figures array<struct<file, provisional>>."""
-    figures = sources.select("id", "body", F.explode("figures").alias("f"))
+def figures_undescribed(sources: DataFrame) -> DataFrame:
+    """Figures without a description in brackets before a reference to them."""
     quoted = F.concat(F.lit(r"\Q"), F.col("f.file"), F.lit(r"\E"))
-    described = F.col("body").rlike(F.concat(F.lit(r"\[[^\[]*\S[^\[]*\]\("), quoted, F.lit(r"\)")))
-    unnamed = _out(figures.filter("f.provisional"), "id", F.concat(F.lit("source.figure_unnamed "), F.col("f.file")))
-    return unnamed.unionByName(_out(figures.filter(~described), "id", F.concat(F.lit("source.figure_undescribed "), F.col("f.file"))))
+    described = F.col("body").rlike(F.concat(F.lit(r"\[[^\[]*[^\s\[][^\[]*\]\("), quoted, F.lit(r"\)")))
+    return _out(_figures(sources).filter(~described), "id", "f.file")
 
 
-def low_coverage(sources: DataFrame) -> DataFrame:
-    """Sources whose extracted text (text_layer) is rendered to less than 0.6."""
-    return _out(sources.withColumn("share", T.coverage(F.col("text_layer"), F.col("body"))).filter("share < 0.6"), "id", "share")
+def low_coverage(sources: DataFrame, marker: str = MARKER, least: float = 0.6) -> DataFrame:
+    """Rendered sources whose extracted text (text_layer) is found in the rendering to less than ``least``."""
+    rendered = sources.filter(F.col("text_layer").isNotNull() & ~F.col("body").contains(marker))
+    return _out(rendered.withColumn("share", T.coverage(F.col("text_layer"), F.col("body"))).filter(F.col("share") < least), "id", "share")
 
 
 def parse_findings(parse_errors: DataFrame) -> DataFrame:

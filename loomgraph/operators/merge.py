@@ -34,8 +34,14 @@ def rewrite_raw_source(nodes: DataFrame, id_map: DataFrame) -> DataFrame:
 
 
 def snapshot(nodes: DataFrame) -> DataFrame:
-    """identifier, path; of rows that share an identifier the last path."""
-    return nodes.groupBy("identifier").agg(F.max("path").alias("path"))
+    """identifier, path; of rows that share an identifier the last in file order."""
+    order = F.col("file_ord") if "file_ord" in nodes.columns else F.col("path")
+    return nodes.groupBy("identifier").agg(F.max_by("path", order).alias("path"))
+
+
+def write_snapshot(nodes: DataFrame, folder: str) -> None:
+    """What ``verify_snapshot`` compares with after a merge."""
+    snapshot(nodes).write.mode("errorifexists").parquet(folder)
 
 
 def verify_snapshot(before: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -51,11 +57,43 @@ def carry_over(main: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def candidates(main: DataFrame, other: DataFrame) -> DataFrame:
-    """identifier pairs (main_id, other_id) that share a name: identifier or synonym, case folded."""
-    names = lambda df: df.select("identifier", F.explode(F.array_union(F.array(F.lower("identifier")), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s)))).alias("name")).distinct()
+    """identifier pairs (main_id, other_id) that share a name (identifier or synonym, case folded) or an external reference."""
+    none = F.array().cast("array<string>")
+
+    def names(df: DataFrame) -> DataFrame:
+        lists = [F.array("identifier")] + [F.coalesce(F.col(c), none) for c in ("synonyms",) if c in df.columns]
+        named = F.transform(F.flatten(F.array(*lists)), lambda s: F.concat(F.lit("name "), F.lower(s)))
+        refs = F.split(F.col("xref"), ", *") if "xref" in df.columns and dict(df.dtypes)["xref"] == "string" else (F.col("xref") if "xref" in df.columns else none)
+        return df.select("identifier", F.explode(F.array_distinct(F.concat(named, F.coalesce(F.transform(refs, lambda x: F.concat(F.lit("xref "), x)), none)))).alias("name"))
+
     return names(main).withColumnRenamed("identifier", "main_id").join(names(other).withColumnRenamed("identifier", "other_id"), "name").select("main_id", "other_id").distinct()
 
 
+def unite_sources(main: DataFrame, other: DataFrame, matches: DataFrame) -> DataFrame:
+    """``main`` with the raw paths and external references (arrays raw_sources, xrefs) of what matches it in ``other``:
+    matches is (old, new), old of ``other`` and new of ``main``."""
+    theirs = other.join(matches, other.identifier == matches.old).groupBy("new").agg(F.flatten(F.collect_list("raw_sources")).alias("_raw"), F.flatten(F.collect_list("xrefs")).alias("_xrefs"))
+    joined = main.join(theirs, main.identifier == theirs.new, "left")
+    none = F.array().cast("array<string>")
+    both = lambda c, more: F.array_union(F.coalesce(c, none), F.coalesce(more, none)).alias(c)
+    return joined.select(*(c for c in main.columns if c not in ("raw_sources", "xrefs")), both("raw_sources", "_raw"), both("xrefs", "_xrefs"))
+
+
+def renamed(main: DataFrame, other: DataFrame, matches: DataFrame, suffix: str = " (2)") -> DataFrame:
+    """old, new: identifiers of ``other`` that ``main`` uses for something else (no match), with the name they get."""
+    clash = other.select("identifier").distinct().join(main.select("identifier"), "identifier", "left_semi").join(matches.select(F.col("old").alias("identifier")), "identifier", "left_anti")
+    return clash.select(F.col("identifier").alias("old"), F.concat("identifier", F.lit(suffix)).alias("new"))
+
+
+def harmonised(nodes: DataFrame) -> DataFrame:
+    """Spellings of one subtype within a type become the most frequent of them (of equals the first)."""
+    folded = F.lower(F.regexp_replace("subtype", "[^A-Za-z0-9]", ""))
+    used = nodes.filter("subtype is not null").groupBy("node_type", folded.alias("_folded"), "subtype").agg(F.count(F.lit(1)).alias("n"))
+    best = used.groupBy(F.col("node_type").alias("_type"), "_folded").agg(F.min(F.struct((-F.col("n")).alias("n"), "subtype")).alias("_b")).select("_type", "_folded", F.col("_b.subtype").alias("_best"))
+    out = nodes.withColumn("_of", folded).join(best, (F.col("node_type") == F.col("_type")) & (F.col("_of") == F.col("_folded")), "left")
+    return out.withColumn("subtype", F.coalesce("_best", "subtype")).drop("_of", "_type", "_folded", "_best")
+
+
 def collapse(edges: DataFrame, matches: DataFrame) -> DataFrame:
     """References of edges follow a match table (old, new) on object and primary source."""
     obj = matches.select(F.col("old").alias("object"), F.col("new").alias("_o"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..sources.tables import materialise
+
 
 def by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
@@ -21,9 +24,13 @@ def catalog_by_type(nodes: DataFrame) -> DataFrame:
 
 
 def members_by_type(nodes: DataFrame) -> DataFrame:
-    """node_type, identifier, description as shown: description, else note; one line of at most 80 characters."""
-    shown = F.trim(F.left(F.translate(F.coalesce("description", "note", F.lit("")), "\n|", "  "), F.lit(80)))
-    return nodes.select("node_type", "identifier", shown.alias("shown"))
+    """node_type, identifier, description as shown: description, else note, else the first line of the body that is neither
+    blank nor a heading; one line of at most 80 characters."""
+    texts = [F.col("description"), F.col("note")]
+    if "body" in nodes.columns:
+        lines = F.transform(F.split("body", "\r?\n"), T.strip)
+        texts.append(F.get(F.filter(lines, lambda x: (x != "") & ~x.startswith("#")), 0))
+    return nodes.select("node_type", "identifier", T.strip(F.left(F.translate(F.coalesce(*texts, F.lit("")), "\n|", "  "), F.lit(80))).alias("shown"))
 
 
 def subtypes_in_use(nodes: DataFrame) -> DataFrame:
@@ -36,6 +43,33 @@ def similar_subtypes(nodes: DataFrame) -> DataFrame:
     return subtypes_in_use(nodes).groupBy("node_type", folded.alias("folded")).agg(F.count(F.lit(1)).alias("n_spellings"), F.array_join(F.sort_array(F.collect_set("subtype")), ", ").alias("spellings")).filter("n_spellings > 1")
 
 
-def index_missing(nodes: DataFrame, index_text: DataFrame) -> DataFrame:
-    """Identifiers that do not occur, even as part of a word, in the one-row text of an index."""
-    return nodes.select("identifier").distinct().join(F.broadcast(index_text.select("text")), ~F.col("text").contains(F.col("identifier"))).select("identifier")  # one row
+def edge_subtypes(edges: DataFrame) -> DataFrame:
+    """subtype: the distinct text values under that key of edges' further properties (JSON)."""
+    value = F.try_element_at("stats", F.lit("subtype"))
+    return edges.select(F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v").alias("subtype")).filter(value.startswith('"')).distinct()
+
+
+#: Characters of an identifier by which it is looked up among the lines of an index.
+GRAM = 6
+
+
+def index_missing(nodes: DataFrame, index: DataFrame) -> DataFrame:
+    """Identifiers that do not occur, even as part of a word, in any line of an index (column line).
+
+    An identifier can only stand in a line that has all its runs of GRAM characters. It is joined with the lines that
+    have the rarest of them, by an equi-join, and looked for there; one of up to GRAM characters is such a run itself.
+    """
+    ids = nodes.select("identifier").distinct()
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substr(c, i, n))
+    size = F.least(F.char_length("identifier"), F.lit(GRAM))
+    wanted = materialise(ids.filter("identifier <> ''").select("identifier", F.explode(F.array_distinct(runs(F.col("identifier"), size))).alias("gram")), "identifier-runs")
+    line, sizes = F.col("line"), [r[0] for r in wanted.select(F.char_length("gram")).distinct().collect()] or [GRAM]  # at most GRAM rows
+    every = F.flatten(F.array(*(F.when(F.char_length(line) >= n, runs(line, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes)))
+    found = index.select("line").distinct().select("line", F.explode(F.array_distinct(every)).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    found = materialise(found, "index-runs")
+    counts = materialise(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "index-counts")
+    rarest = wanted.join(counts, "gram", "left").groupBy("identifier").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("identifier", "r.n", "r.gram")
+    rarest = materialise(rarest.filter("n > 0"), "rarest-runs")
+    short = rarest.filter(F.char_length("identifier") <= GRAM).select("identifier")
+    there = rarest.filter(F.char_length("identifier") > GRAM).join(found, "gram").filter(F.contains("line", "identifier")).select("identifier")
+    return ids.filter("identifier <> ''").join(short.union(there).distinct(), "identifier", "left_anti")

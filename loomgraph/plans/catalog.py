@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import text as T
 from ..operators import credibility, export, graph, history, ingest, lint, merge, normalise, search, stats
-from ..sources import adapter
+from ..sources import adapter, tables
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +19,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def n_rows() -> Column:
     return F.count(F.lit(1)).alias("n")
 
+
 def N(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised nodes."""
-    return normalise.normalise_nodes(adapter.file_order(adapter.nodes(spark, sf_dir)))
+    return normalise.normalise_nodes(adapter.file_order(adapter.with_raw_paths(adapter.nodes(spark, sf_dir))))
 
 
 def E(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +73,14 @@ def cited(spark: SparkSession, d: str) -> DataFrame:
     return lint.cited_sources(N(spark, d), E(spark, d), adapter.sources(spark, d))
 
 
+def index_lines(spark: SparkSession, d: str) -> DataFrame:
+    """An index over the whole part table; a third of its lines name the part."""
+    k = F.col("p_partkey")
+    return adapter.table(spark, d, "part").select(F.concat(F.lit("| "), F.when(k % 3 == 0, "Part ").otherwise("P-"), k.cast("string"), F.lit(" | "), F.col("p_name"), F.lit(" |")).alias("line"))
+
+
 def index_missing(spark: SparkSession, d: str) -> DataFrame:
-    index = adapter.table(spark, d, "part").filter("p_partkey % 3 = 0 and p_partkey < 400").agg(F.array_join(F.collect_list(F.concat(F.lit("| Part "), F.col("p_partkey").cast("string"))), "\n").alias("text"))
-    return stats.index_missing(N(spark, d), index)
+    return stats.index_missing(N(spark, d), index_lines(spark, d))
 
 
 def ordinals(edges: DataFrame) -> DataFrame:
@@ -124,9 +130,14 @@ def knowledge_rank(edges: DataFrame) -> DataFrame:
     return edges.groupBy("knowledge_level").agg(n_rows()).withColumn("rank", F.coalesce(F.array_position(ranks, F.col("knowledge_level")), F.lit(0)).cast("long"))
 
 
-def lint_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    rules = ["predicate.invalid", "predicate.inverse", "edge.missing_knowledge_level", "edge.missing_primary_source", "edge.stat_ci", "edge.stat_pvalue", "type.invalid", "subtype.missing"]
-    return lint.verify(lint.lint(nodes, edges, rules))
+def _lint(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule for which the tables hold something."""
+    sources = adapter.sources(spark, d)
+    return lint.lint(N(spark, d), E(spark, d), sources=sources, raw_files=adapter.raw_files(sources), index=index_lines(spark, d))
+
+
+def lint_all(spark: SparkSession, d: str) -> DataFrame:
+    return _lint(spark, d).groupBy("severity", "rule").agg(n_rows())
 
 
 def url_extensions(df: DataFrame) -> DataFrame:
@@ -140,11 +151,13 @@ def publishers(df: DataFrame) -> DataFrame:
 
 
 def combined(df: DataFrame) -> DataFrame:
-    return ingest.combined(df.select(F.col("conv_id").alias("batch"), F.col("turn").alias("ord"), F.col("role").alias("name"), F.col("text").alias("markdown"), (F.col("role") == "system").alias("needs_llm")))
+    return ingest.combined(df.select(F.col("conv_id").alias("batch"), F.col("turn").alias("ord"), F.col("role").alias("name"), F.col("text").alias("markdown"), (F.col("role") == "system").alias("needs_llm")), member_cap=None)
 
 
-def coverage(df: DataFrame) -> DataFrame:
-    return df.filter("lang = 'en'").select("doc_id", T.coverage(F.col("text"), F.left("text", F.lit(400))).alias("share")).filter("share is not null")
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every document against the whole page of its number; null below 50 words, and without a page."""
+    pages = adapter.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    return adapter.table(spark, d, "documents").select("doc_id", "text").join(pages, "doc_id", "left").select("doc_id", T.coverage(F.col("text"), F.col("html")).alias("share"))
 
 
 def coverage_whole(df: DataFrame) -> DataFrame:
@@ -156,14 +169,6 @@ def _history(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(adapter.history(spark, d))
 
 
-def _slugs(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", T.slug(F.left("text", F.lit(120))).alias("slug"))
-
-
-def _source_ids(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", T.source_id(F.left("text", F.lit(120)), F.col("text")).alias("source_id"))
-
-
 def _slugs_whole(df: DataFrame) -> DataFrame:
     return df.select("doc_id", T.slug(F.col("text")).alias("slug"))
 
@@ -172,6 +177,21 @@ def _source_ids_whole(df: DataFrame) -> DataFrame:
     return df.select("doc_id", T.source_id(F.col("text"), F.col("text")).alias("source_id"))
 
 
+def _bm25_index(spark: SparkSession, d: str) -> DataFrame:
+    folder = tables.scratch(spark, "search-index")
+    search.write_index(_docs(adapter.table(spark, d, "documents")), folder)
+    return search.search_index(spark, folder, "the license apache", None)
+
+
+def _members(df: DataFrame) -> DataFrame:
+    name = F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".png").otherwise(".md"))
+    return ingest.grouped(df.select(F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.col("doc_id").cast("string")).alias("folder"), F.col("doc_id").alias("ord"), name.alias("name"), F.col("n_chars").alias("length"))).select("ord", "role")
+
+
+def _restored(h: DataFrame) -> DataFrame:
+    return history.restore(h, "user_id", "2024-01-15", "back", "2024-12-31").select("user_id", "commit", "kind", "value", "summary")
+
+
 def _bib_ids(spark: SparkSession, d: str) -> DataFrame:
     pages = adapter.pages(spark, d)
     return credibility.identifiers(pages, F.concat_ws("  ", "url", "body")).select("page_id", "doi", "arxiv", "pmid", "pmcid", "isbn")
@@ -221,8 +241,10 @@ QUERIES: dict[str, Query] = {
     "edge_ordinals": _edges(ordinals),
     "knowledge_rank": _edges(knowledge_rank),
     "tokenize": _table("documents", tokenize),
-    "slug": _table("documents", _slugs),
-    "sha_id": _table("documents", _source_ids),
+    "slug": _table("documents", _slugs_whole),
+    "sha_id": _table("documents", _source_ids_whole),
+    "commit_slug": _table("documents", lambda df: df.select("doc_id", T.commit_slug(F.col("text")).alias("slug"))),
+    "kb_id": _table("supplier", lambda df: df.select("s_suppkey", T.kb_id(F.col("s_name")).alias("kb_id"))),
     "slug_whole": _table("documents", _slugs_whole),
     "sha_id_whole": _table("documents", _source_ids_whole),
     "title_from": _table("documents", _titles),
@@ -230,7 +252,9 @@ QUERIES: dict[str, Query] = {
     "bm25_stats": _table("documents", lambda df: search.statistics(_docs(df))),
     "bm25_topk": _table("documents", lambda df: search.bm25(_docs(df), "the license of the", 10)),
     "bm25_scores": _table("documents", lambda df: search.bm25(_docs(df), "the license apache", None)),
-    "coverage": _table("documents", coverage),
+    "bm25_index": _bm25_index,
+    "search_nodes": _nodes(lambda n: search.search_nodes(n, "building steel 7 brand", 50)),
+    "coverage": coverage,
     "coverage_whole": _table("documents", coverage_whole),
     "url_host": lambda spark, d: adapter.pages(spark, d).select("page_id", T.url_host(F.col("url")).alias("host")),
     "bib_ids": _bib_ids,
@@ -242,24 +266,30 @@ QUERIES: dict[str, Query] = {
     "url_then_sha_dedup": url_dedup,
     "primary_doc": _table("documents", lambda df: ingest.primary_document(df.select(F.col("source").alias("folder"), F.col("doc_id").alias("ord"), F.col("n_chars").alias("length")))),
     "combined_concat": _table("conversations", combined),
+    "folder_groups": _table("documents", _members),
     "merge_raw": merge_raw,
     "snapshot_diff": _nodes(snapshot_diff),
     "carry_over": _nodes(carry_over),
     "collapse_references": _edges(collapse),
     "log_newest": _history(lambda h: history.newest(h).select("commit", "kind", "summary")),
     "restore_asof": _history(lambda h: history.as_of(h, "user_id", "2024-01-15").select("user_id", "commit", "kind", "value")),
+    "restore_forward": _history(_restored),
     "change_log_by_day": _history(history.by_day),
     "squash": _history(lambda h: history.squash(h, "kind")),
     "graph_json": _both(export.graph_json),
-    "lint_summary": _both(lint_summary),
-    "lint_all": _both(lambda n, e: lint.lint(n, e).groupBy("severity", "rule").agg(n_rows())),
+    "index_rows": _nodes(export.index_rows),
+    "harmonised_subtypes": _nodes(lambda n: merge.harmonised(n).groupBy("node_type", "subtype").agg(n_rows())),
+    "validate": _both(lint.validate),
+    "lint_summary": lambda spark, d: lint.verify(_lint(spark, d)),
+    "lint_all": lint_all,
     "lint_source_not_scholarly": lambda spark, d: lint.source_not_scholarly(N(spark, d), E(spark, d), adapter.sources(spark, d)),
     "lint_source_retracted": lambda spark, d: lint.source_retracted(N(spark, d), E(spark, d), adapter.sources(spark, d)),
-    "lint_source_raw_missing_file": lambda spark, d: lint.raw_missing(N(spark, d), adapter.sources(spark, d)),
+    "lint_source_raw_missing_file": lambda spark, d: lint.raw_missing(N(spark, d), adapter.raw_files(adapter.sources(spark, d))),
     **{"lint_" + name.replace(".", "_"): _rule(name) for name in lint.RULES},
 }
 
 ORACLE_SQL: dict[str, str] = {**oracle.SQL, **{"lint_" + name.replace(".", "_"): sql for name, sql in oracle.LINT.items()}}
-ORACLE_SQL["lint_all"] = " UNION ALL ".join(
-    f"SELECT '{lint.RULES[name][0]}' AS severity, '{name}' AS rule, CAST(count(*) AS BIGINT) AS n FROM ({sql}) HAVING count(*) > 0" for name, sql in oracle.LINT.items()
-)
+_FOUND = {**oracle.LINT, **oracle.SOURCE_LINT}
+ORACLE_SQL["lint_all"] = " UNION ALL ".join(f"SELECT '{lint.SEVERITY[name]}' AS severity, '{name}' AS rule, CAST(count(*) AS BIGINT) AS n FROM ({sql}) HAVING count(*) > 0" for name, sql in _FOUND.items())
+_number = lambda s: f"CAST(coalesce(sum(n) FILTER (WHERE severity = '{s}'), 0) AS BIGINT)"
+ORACLE_SQL["lint_summary"] = f"SELECT {_number('error')} AS errors, {_number('warn')} AS warnings, {_number('info')} AS infos, {_number('error')} = 0 AS ok FROM ({ORACLE_SQL['lint_all']})"

@@ -114,8 +114,22 @@ LINT: dict[str, str] = {
 
 SOURCES = """src AS (SELECT 'doc-' || d.doc_id AS id, d.doc_id, sha256(d.text) AS sha256, d.text AS body, CASE quality WHEN 1 THEN 'peer_reviewed' WHEN 0 THEN 'web' END AS tier, coalesce(toxic, 0) = 1 AS retracted, quality IS NOT NULL AS classified
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
-CITED = f"""cited AS (SELECT DISTINCT c.primary_source, s.tier, s.retracted FROM (SELECT DISTINCT primary_source FROM e WHERE {_named}) c
-  JOIN n ON n.identifier = c.primary_source AND n.raw_source IS NOT NULL JOIN src s ON s.id = split_part(n.raw_source, '/', 2) AND s.classified)"""
+#: Raw paths of nodes in turn, and the folder of each.
+PATHS = """raws AS (SELECT identifier, file_ord, CASE WHEN raw_source IS NULL THEN CAST([] AS VARCHAR[]) WHEN ends_with(raw_source, '0/source.md') THEN ['raw/gone/source.md', regexp_replace(raw_source, '/source[.]md$', '')] ELSE [raw_source] END AS raws FROM n),
+paths AS (SELECT identifier, file_ord, unnest(raws) AS path, generate_subscripts(raws, 1) AS ord FROM raws)"""
+#: The first node of a cited identifier, its paths in turn, the first with metadata; classified ones only.
+CITED = f"""cited AS (SELECT primary_source, tier, retracted FROM (SELECT p.identifier AS primary_source, s.tier, s.retracted, s.classified, row_number() OVER (PARTITION BY p.identifier ORDER BY p.ord) AS nth FROM paths p
+  JOIN (SELECT identifier, min(file_ord) AS file_ord FROM n GROUP BY identifier) f ON f.identifier = p.identifier AND f.file_ord = p.file_ord
+  JOIN src s ON 'raw/' || s.id = CASE WHEN regexp_matches(p.path, '(^|/)[^/]+[.][^/.]*$') THEN regexp_replace(p.path, '/[^/]*$', '') ELSE p.path END
+  WHERE p.identifier IN (SELECT primary_source FROM e WHERE {_named})) WHERE nth = 1 AND classified)"""
+RAW_FILES = "SELECT unnest(['raw/' || id, 'raw/' || id || '/source.md', 'raw/' || id || '/meta.yaml']) FROM src"
+INDEX = "(SELECT string_agg('| ' || CASE WHEN p_partkey % 3 = 0 THEN 'Part ' ELSE 'P-' END || p_partkey || ' | ' || p_name || ' |', chr(10)) AS text FROM part)"
+SOURCE_LINT: dict[str, str] = {
+    "source.not_scholarly": both_sql("SELECT primary_source AS subject, tier AS detail FROM cited WHERE tier IN ('web', 'unknown')", SOURCES, PATHS, CITED),
+    "source.retracted": both_sql("SELECT primary_source AS subject, tier AS detail FROM cited WHERE retracted", SOURCES, PATHS, CITED),
+    "source.raw_missing_file": f"WITH {NODES}, {SOURCES}, {PATHS} SELECT identifier AS subject, path AS detail FROM paths WHERE path NOT IN ({RAW_FILES})",
+    "index.stale": nodes_sql(f"SELECT DISTINCT identifier AS subject, CAST(NULL AS VARCHAR) AS detail FROM n, {INDEX} i WHERE NOT contains(text, identifier)"),
+}
 
 _tokens = "list_filter(regexp_split_to_array(lower({}), '[^\\pL\\pN]+'), lambda x: x <> '')"
 
@@ -168,6 +182,27 @@ SELECT page_id, source_type, CASE source_type WHEN 'preprint' THEN 'preprint' WH
 HISTORY = "h AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS commit, event_type AS kind, ts AS moment, 'user ' || user_id AS summary, props AS delta, user_id, value FROM events)"
 _strip = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*(?:>|\\z)', '', 'g'), '>', ''), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '\n{{3,}}', '\n\n', 'g'))"
 
+_RANK = "CASE a.knowledge_level " + " ".join(f"WHEN '{k}' THEN {i + 1}" for i, k in enumerate(vocab.KNOWLEDGE_LEVELS)) + f" ELSE {len(vocab.KNOWLEDGE_LEVELS) + 1} END"
+_WHITE = " || ".join(f"chr({ord(c)})" for c in T.WHITE)
+_HARD = f"CAST(NOT pred_valid AS INT) + CAST(knowledge_level IS NULL AS INT) + CAST(coalesce(knowledge_level NOT IN ({Q(vocab.KNOWLEDGE_LEVELS)}), false) AS INT) + CAST(agent_type IS NULL AS INT) + CAST(coalesce(agent_type NOT IN ({Q(vocab.AGENT_TYPES)}), false) AS INT) + CAST(primary_source IS NULL AS INT)"
+_SNIPPET = """CASE WHEN start > 1 THEN '…' ELSE '' END || regexp_replace(trim(substr(text, start, 160)), '\\s+', ' ', 'g') || CASE WHEN start + 159 < length(text) THEN '…' ELSE '' END"""
+
+
+def search_nodes_sql(terms: list[str], limit: int) -> str:
+    found = ", ".join(f"nullif(instr(lower(text), '{t}'), 0)" for t in terms)
+    tf = ", ".join(f"len(list_filter(toks, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    score = " + ".join(f"ln((n - df{i} + 0.5e0) / (df{i} + 0.5e0) + 1) * (tf{i} * 2.5e0 / (tf{i} + 1.5e0 * (0.25e0 + 0.75e0 * len / avgdl)))" for i in range(len(terms)))
+    hit = " OR ".join(f"tf{i} > 0" for i in range(len(terms)))
+    return nodes_sql(f""", d AS (SELECT identifier, node_type, file_ord, concat_ws(' ', identifier, subtype, description) AS text FROM n), k AS (SELECT *, {_tokens.format("text")} AS toks FROM d), c AS (SELECT *, len(toks) AS len, {tf} FROM k),
+      t AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS avgdl, {df} FROM c), s AS (SELECT identifier, node_type, text, {score} AS raw FROM c, t WHERE {hit} ORDER BY raw DESC, file_ord LIMIT {limit}),
+      p AS (SELECT *, greatest(coalesce(least({found}), 1) - 40, 1) AS start FROM s) SELECT identifier, node_type, round(raw, 3) AS score, {_SNIPPET} AS snippet FROM p""")
+
+
+_cells = """list_transform(regexp_extract_all(',' || {}, ',((?:[^,"]|"(?:[^"]|"")*(?:"|$))*)', 1), lambda c: replace(trim(replace(regexp_replace(c, '"((?:[^"]|"")*)(?:"|$)', '\\1', 'g'), '""', '"'), {white}), '|', '\\|'))"""
+_row = "'| ' || array_to_string(" + _cells + ", ' | ') || ' |' || chr(10)"
+_generated = "regexp_full_match(replace(trim({0}), '-', ''), '[0-9a-fA-F]{{12,}}')"
+
 SQL: dict[str, str] = {
     "type_alias": nodes_sql("SELECT DISTINCT raw_type, node_type, type_valid, is_provenance, family FROM n"),
     "scan_first_wins": nodes_sql("SELECT identifier, min(file_ord) AS file_ord FROM n GROUP BY identifier"),
@@ -177,11 +212,11 @@ SQL: dict[str, str] = {
     "kb_id_rule": "SELECT s_suppkey, regexp_full_match(k, '[a-z0-9]+(-[a-z0-9]+)*') AND length(k) <= 64 AS ok FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE lower(replace(s_name, '#', '-')) END AS k FROM supplier)",
     "resolve_objects": both_sql("SELECT predicate, coalesce(t.node_type, 'External') AS object_type, CAST(count(*) AS BIGINT) AS n FROM e LEFT JOIN types t ON e.object = t.identifier GROUP BY ALL", TYPES),
     "source_resolution": both_sql(f"SELECT CASE WHEN t.identifier IS NULL THEN 'unresolved' WHEN t.is_provenance THEN 'ok' ELSE 'not_source' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM e LEFT JOIN types t ON e.primary_source = t.identifier WHERE {_named} GROUP BY ALL", TYPES),
-    "cited_source_chain": both_sql("SELECT * FROM cited", SOURCES, CITED),
-    "lint_source_not_scholarly": both_sql("SELECT primary_source AS subject, tier AS detail FROM cited WHERE NOT retracted AND tier IN ('web', 'unknown')", SOURCES, CITED),
-    "lint_source_retracted": both_sql("SELECT primary_source AS subject, tier AS detail FROM cited WHERE retracted", SOURCES, CITED),
-    "lint_source_raw_missing_file": f"WITH {NODES}, {SOURCES} SELECT identifier AS subject, raw_source AS detail FROM n WHERE raw_source IS NOT NULL AND split_part(raw_source, '/', 2) NOT IN (SELECT id FROM src)",
-    "index_substring_anti": nodes_sql("SELECT DISTINCT identifier FROM n, (SELECT string_agg('| Part ' || p_partkey, chr(10)) AS text FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 400) i WHERE NOT contains(text, identifier)"),
+    "cited_source_chain": both_sql("SELECT * FROM cited", SOURCES, PATHS, CITED),
+    "lint_source_not_scholarly": SOURCE_LINT["source.not_scholarly"],
+    "lint_source_retracted": SOURCE_LINT["source.retracted"],
+    "lint_source_raw_missing_file": SOURCE_LINT["source.raw_missing_file"],
+    "index_substring_anti": nodes_sql(f"SELECT DISTINCT identifier FROM n, {INDEX} i WHERE NOT contains(text, identifier)"),
     "stats_by_type": nodes_sql("SELECT node_type, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY node_type"),
     "stats_by_predicate": edges_sql("SELECT predicate, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY predicate"),
     "stats_totals": both_sql("SELECT 'nodes' AS what, CAST(count(*) AS BIGINT) AS n FROM n UNION ALL SELECT 'edges', CAST(count(*) AS BIGINT) FROM e"),
@@ -195,12 +230,14 @@ SQL: dict[str, str] = {
     "adjacency": edges_sql("SELECT identifier, neighbor, predicate, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN reversed THEN object ELSE subject END AS identifier, CASE WHEN reversed THEN subject ELSE object END AS neighbor, predicate FROM e UNION ALL SELECT CASE WHEN reversed THEN subject ELSE object END, CASE WHEN reversed THEN object ELSE subject END, predicate FROM e) GROUP BY ALL"),
     "neighbors": edges_sql("SELECT CASE WHEN subject = 'Part 7' THEN object ELSE subject END AS neighbor, CAST(count(*) AS BIGINT) AS n FROM e WHERE subject = 'Part 7' OR object = 'Part 7' GROUP BY 1"),
     "node_panel": both_sql("SELECT direction, predicate, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'out' AS direction, predicate FROM g WHERE source = 'Supplier 3' UNION ALL SELECT 'in', predicate FROM g WHERE target = 'Supplier 3') GROUP BY ALL", GRAPH),
-    "two_hop_pattern": edges_sql("SELECT a.subject AS start, b.object AS finish, CAST(count(*) AS BIGINT) AS n_paths, min(a.knowledge_level) AS level FROM e a JOIN e b ON a.object = b.subject AND a.predicate = 'located_in' AND b.predicate = 'part_of' GROUP BY ALL"),
+    "two_hop_pattern": edges_sql("SELECT a.subject AS start, b.object AS finish, CAST(count(*) AS BIGINT) AS n_paths, arg_min(a.knowledge_level, " + _RANK + ") AS level FROM e a JOIN e b ON a.object = b.subject AND a.predicate = 'located_in' AND b.predicate = 'part_of' GROUP BY ALL"),
     "reachability": edges_sql(", RECURSIVE_DUMMY AS (SELECT 1) SELECT 1"),
     "edge_ordinals": edges_sql("SELECT subject, CAST(count(*) AS BIGINT) AS n, CAST(max(edge_ord) AS BIGINT) AS last_ord FROM (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY raw_predicate, object) AS edge_ord FROM e) GROUP BY subject"),
     "tokenize": f"SELECT doc_id, CAST(len({_tokens.format('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_tokens.format('text')})) AS BIGINT) AS n_terms FROM documents",
-    "slug": f"SELECT doc_id, {slug_sql('substr(text, 1, 120)')} AS slug FROM documents",
-    "sha_id": f"SELECT doc_id, CASE WHEN {slug_sql('substr(text, 1, 120)')} = '' THEN 'source' ELSE {slug_sql('substr(text, 1, 120)')} END || '-' || substr(sha256(text), 1, 6) AS source_id FROM documents",
+    "slug": f"SELECT doc_id, {slug_sql('text')} AS slug FROM documents",
+    "commit_slug": f"SELECT doc_id, {slug_sql('substr(text, 1, 40)')} AS slug FROM documents",
+    "kb_id": "SELECT s_suppkey, coalesce(nullif(trim(lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '-', 'g')), '-'), ''), 'base') AS kb_id FROM supplier",
+    "sha_id": f"SELECT doc_id, CASE WHEN {slug_sql('text')} = '' THEN 'source' ELSE {slug_sql('text')} END || '-' || substr(sha256(text), 1, 6) AS source_id FROM documents",
     "slug_whole": f"SELECT doc_id, {slug_sql('text')} AS slug FROM documents",
     "sha_id_whole": f"SELECT doc_id, CASE WHEN {slug_sql('text')} = '' THEN 'source' ELSE {slug_sql('text')} END || '-' || substr(sha256(text), 1, 6) AS source_id FROM documents",
     "bm25_stats": f"WITH p AS (SELECT doc_id, unnest({_tokens.format('text')}) AS term FROM documents) SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM p GROUP BY term",
@@ -229,17 +266,27 @@ SQL: dict[str, str] = {
     "change_log_by_day": f"WITH {HISTORY} SELECT strftime(moment, '%Y-%m-%d') AS day, kind, CAST(count(*) AS BIGINT) AS n FROM h GROUP BY ALL",
     "squash": f"WITH {HISTORY} SELECT kind, CAST(count(*) AS BIGINT) AS n, min(moment) AS first_at, max(moment) AS last_at FROM h GROUP BY kind",
     "knowledge_rank": edges_sql("SELECT knowledge_level, CAST(count(*) AS BIGINT) AS n, CAST(CASE knowledge_level " + " ".join(f"WHEN '{k}' THEN {i + 1}" for i, k in enumerate(vocab.KNOWLEDGE_LEVELS)) + " ELSE 0 END AS BIGINT) AS rank FROM e GROUP BY ALL"),
-    "coverage": "SELECT doc_id, CAST(len(list_filter(w, lambda x: contains(md, x))) AS DOUBLE) / len(w) AS share FROM (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 5)) AS w, lower(substr(text, 1, 400)) AS md FROM documents WHERE lang = 'en') WHERE len(w) >= 50",
+    "coverage": "SELECT doc_id, CASE WHEN len(w) >= 50 THEN CAST(len(list_filter(w, lambda x: contains(md, x))) AS DOUBLE) / len(w) END AS share FROM (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: lower(x)), lambda x: length(x) >= 5)) AS w, lower(html) AS md FROM documents LEFT JOIN pages ON page_id = doc_id)",
     "coverage_whole": f"SELECT doc_id, CASE WHEN len(w) >= 50 THEN CAST(len(list_filter(w, lambda x: contains(md, x))) AS DOUBLE) / len(w) END AS share FROM (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: lower(x)), lambda x: length(x) >= 5)) AS w, lower({_strip.format('text')}) AS md FROM documents)",
-    "lint_summary": "",
+    "title_from": f"""WITH m AS (SELECT doc_id, list_transform(regexp_split_to_array(CASE WHEN doc_id % 3 = 0 THEN '## Heading ' || doc_id || chr(10) ELSE '' END || text, '\\r?\\n'), lambda x: trim(x)) AS lines FROM documents)
+      SELECT doc_id, coalesce(CASE WHEN doc_id % 5 = 0 THEN 'given title' END, list_filter(list_transform(list_filter(lines, lambda x: starts_with(x, '#')), lambda x: trim(ltrim(x, '#'))), lambda h: h <> '' AND NOT {_generated.format("h")})[1],
+        substr(list_filter(lines, lambda x: strlen(x) >= 8 AND NOT {_generated.format("x")})[1], 1, 80), 'some file name') AS title FROM m""",
+    "csv_table": f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array('name,"a ""quoted"" | cell", x' || chr(10) || replace(text, ' ', ','), '\\r?\\n'), lambda x: trim(x, {_WHITE}) <> '') AS lines FROM documents)
+      SELECT doc_id, {_row.format("lines[1]", white=_WHITE)} || '|' || repeat(' --- |', len({_cells.format("lines[1]", white=_WHITE)})) || chr(10) || array_to_string(list_transform(lines[2:501], lambda x: {_row.format("x", white=_WHITE)}), '')
+        || CASE WHEN len(lines) > 501 THEN chr(10) || '_(truncated at 500 rows)_' || chr(10) ELSE '' END AS markdown FROM t""",
+    "graph_json": both_sql("SELECT CAST(to_json({'kind': 'node', 'identifier': identifier, 'node_type': node_type, 'family': family, 'external': external, 'degree': degree}) AS VARCHAR) AS json FROM gn UNION ALL SELECT CAST(to_json({'kind': 'edge', 'source': source, 'target': target, 'predicate': predicate, 'synthesized': synthesized}) AS VARCHAR) FROM g", GRAPH),
+    "bm25_index": bm25_sql(["the", "license", "apache"], None),
+    "search_nodes": search_nodes_sql(["building", "steel", "7", "brand"], 50),
+    "folder_groups": """WITH m AS (SELECT doc_id AS ord, CASE WHEN doc_id % 2 = 0 THEN source ELSE CAST(doc_id AS VARCHAR) END AS folder, doc_id % 7 = 0 AS image, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY folder, image ORDER BY n_chars DESC, ord DESC) AS nth, bool_or(NOT image) OVER (PARTITION BY folder) AS has_doc FROM m)
+      SELECT ord, CASE WHEN image AND has_doc THEN 'figure' WHEN image THEN 'image' WHEN nth = 1 THEN 'primary' ELSE 'document' END AS role FROM r""",
+    "restore_forward": f"""WITH {HISTORY}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment DESC, commit DESC) AS k FROM h WHERE moment <= TIMESTAMP '2024-01-15 00:00:00'), w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment DESC, commit DESC) AS k FROM h)
+      SELECT w.user_id, 'back' AS commit, CASE WHEN o.commit IS NULL THEN 'remove' ELSE 'restore' END AS kind, o.value, o.summary FROM w LEFT JOIN o ON o.user_id = w.user_id AND o.k = 1 WHERE w.k = 1 AND w.commit IS DISTINCT FROM o.commit""",
+    "harmonised_subtypes": nodes_sql("""SELECT node_type, CASE WHEN subtype IS NOT NULL THEN best END AS subtype, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, first_value(subtype) OVER (PARTITION BY node_type, lower(regexp_replace(subtype, '[^A-Za-z0-9]', '', 'g')) ORDER BY many DESC, subtype) AS best FROM (SELECT *, count(*) OVER (PARTITION BY node_type, subtype) AS many FROM n)) GROUP BY ALL"""),
+    "index_rows": nodes_sql("""SELECT 1 AS section, identifier || chr(9) || file_ord AS ord, '| ' || replace(identifier, '|', '\\|') || ' | ' || node_type || ' | ' || replace(coalesce(subtype, ''), '|', '\\|') || ' | ' || trim(substr(translate(coalesce(description, note, ''), chr(10) || '|', '  '), 1, 80)) || ' |' AS line FROM n
+      UNION ALL SELECT 2, node_type, '- **' || node_type || '** (' || count(*) || '): ' || string_agg(identifier, ', ' ORDER BY identifier) FROM n GROUP BY node_type
+      UNION ALL SELECT 3, node_type, '- **' || node_type || '**: ' || string_agg(subtype, ', ' ORDER BY subtype) FROM (SELECT DISTINCT node_type, subtype FROM n WHERE subtype IS NOT NULL) GROUP BY node_type"""),
+    "validate": both_sql(f"""SELECT path, identifier, coalesce(ec, 0) AS edge_count, CAST(coalesce(eh, 0) + CAST(NOT type_valid AS INT) AS BIGINT) AS hard, CAST(coalesce(es, 0) + CAST(contains(identifier, ':') AND NOT contains(identifier, ' ') AS INT) + CAST(subtype IS NULL AS INT) + CAST(is_provenance AND xref IS NULL AND raw_source IS NULL AS INT) AS BIGINT) AS soft,
+      coalesce(eh, 0) + CAST(NOT type_valid AS INT) = 0 AS valid FROM n LEFT JOIN (SELECT subject, CAST(count(*) AS BIGINT) AS ec, sum({_HARD}) AS eh, sum(CAST(predicate IN ('regulates', 'expressed_in') AND direction IS NULL AS INT)) AS es FROM e GROUP BY subject) p ON p.subject = n.identifier"""),
 }
 SQL["reachability"] = f"""WITH RECURSIVE {EDGES}, o AS (SELECT DISTINCT CASE WHEN reversed THEN object ELSE subject END AS s, CASE WHEN reversed THEN subject ELSE object END AS t FROM e),
   r AS (SELECT 'Customer 5' AS identifier, 0 AS hops UNION SELECT o.t, r.hops + 1 FROM r JOIN o ON o.s = r.identifier WHERE r.hops < 4) SELECT identifier, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY identifier"""
-SQL["lint_summary"] = both_sql(
-    "SELECT CAST(sum(CASE WHEN s = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(CASE WHEN s = 'warn' THEN 1 ELSE 0 END) AS BIGINT) AS warnings, CAST(sum(CASE WHEN s = 'info' THEN 1 ELSE 0 END) AS BIGINT) AS infos, sum(CASE WHEN s = 'error' THEN 1 ELSE 0 END) = 0 AS ok FROM ("
-    + " UNION ALL ".join(
-        f"SELECT '{severity}' AS s FROM e WHERE {condition}"
-        for severity, condition in (("error", "NOT pred_valid"), ("info", "reversed"), ("error", "knowledge_level IS NULL"), ("error", "primary_source IS NULL"), ("warn", "ci_lower > ci_upper"), ("warn", "p_value < 0 OR p_value > 1"))
-    )
-    + " UNION ALL SELECT 'error' FROM n WHERE NOT type_valid UNION ALL SELECT 'info' FROM n WHERE subtype IS NULL)"
-)

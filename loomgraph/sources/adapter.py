@@ -5,15 +5,22 @@ The rules are fixed and deterministic; ``plans/oracle.py`` states the same in SQ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import spread
+
 NODE_COLUMNS = ["identifier", "raw_type", "subtype", "note", "description", "xref", "raw_source", "path"]
 EDGE_COLUMNS = ["subject", "raw_predicate", "negated_flag", "object", "knowledge_level", "agent_type", "primary_source", "direction", "ci_lower", "ci_upper", "p_value"]
 
 
+#: Tables that are dealt out to all cores where one file holds all of them.
+LARGE = ["lineitem", "orders", "documents", "pages", "events", "conversations"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name in LARGE else read
 
 
 def named(label: str, key: str) -> Column:
@@ -65,6 +72,19 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_raw_paths(df: DataFrame) -> DataFrame:
+    """Rows with raw_sources, the raw paths in turn: every fifth has one first that does not exist, and its source as a folder."""
+    folder = F.regexp_replace("raw_source", "/source[.]md$", "")
+    one = F.array("raw_source")
+    return df.withColumn("raw_sources", F.when(F.col("raw_source").isNull(), F.array().cast("array<string>")).when(F.col("raw_source").rlike("0/source[.]md$"), F.array(F.lit("raw/gone/source.md"), folder)).otherwise(one))
+
+
+def raw_files(sources_df: DataFrame) -> DataFrame:
+    """path of every raw file and folder of ``sources``."""
+    folder = F.concat(F.lit("raw/"), F.col("id"))
+    return sources_df.select(F.explode(F.array(folder, F.concat(folder, F.lit("/source.md")), F.concat(folder, F.lit("/meta.yaml")))).alias("path"))
+
+
 def file_order(df: DataFrame) -> DataFrame:
     """Rows with file_ord: order by path (then identifier) as one comparable string, without a global sort."""
     return df.withColumn("file_ord", F.concat_ws("\t", "path", "identifier"))
@@ -147,7 +167,3 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a change log: commit, kind, at, summary, delta."""
     e = table(spark, sf_dir, "events")
     return e.select(F.sha2(F.col("event_id").cast("string"), 256).alias("commit"), F.col("event_type").alias("kind"), F.col("ts").alias("at"), named("user", "user_id").alias("summary"), F.col("props").alias("delta"), F.col("user_id").cast("long").alias("user_id"), F.col("value").alias("value"))
-
-
-def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

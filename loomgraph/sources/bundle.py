@@ -24,9 +24,31 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     base = root.removeprefix("file://").rstrip("/")
     rel = F.expr("substring_index(file, {}, -1)".format(json.dumps(base + "/")))
-    folders = F.split(F.regexp_replace(rel, "/?[^/]*$", ""), "/")
-    skipped = F.exists(folders, lambda d: d.isin("raw", "citations") | d.startswith("."))
-    return raw.select(rel.alias("path"), "text").filter(~skipped & ~F.regexp_extract("path", "([^/]*)$", 1).isin(RESERVED))
+    return raw.select(rel.alias("path"), "text").filter(_concept(F.col("path")))
+
+
+def pages(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative to the bundle) of every Markdown page under ``knowledge``, from file names alone."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(f"{root.rstrip('/')}/knowledge")
+    return found.select(F.substring_index("path", root.removeprefix("file://").rstrip("/") + "/", -1).alias("path"))
+
+
+def read_page(spark: SparkSession, root: str, page: str) -> DataFrame:
+    """path, text of one page; the page must lie inside the bundle."""
+    if page.startswith("/") or ".." in page.split("/"):
+        raise ValueError(f"not a path inside the bundle: {page}")
+    return spark.read.text(f"{root.rstrip('/')}/{page}", wholetext=True).select(F.lit(page).alias("path"), F.col("value").alias("text"))
+
+
+def count_documents(spark: SparkSession, root: str) -> int:
+    """How many concept documents there are; no file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    return found.select(F.substring_index("path", root.removeprefix("file://").rstrip("/") + "/", -1).alias("path")).filter(_concept(F.col("path"))).count()
+
+
+def _concept(path: Column) -> Column:
+    folders = F.split(F.regexp_replace(path, "/?[^/]*$", ""), "/")
+    return ~F.exists(folders, lambda d: d.isin("raw", "citations") | d.startswith(".")) & ~F.regexp_extract(path, "([^/]*)$", 1).isin(RESERVED)
 
 
 def _loader():  # noqa: ANN202
@@ -144,6 +166,7 @@ def nodes(rows: DataFrame) -> DataFrame:
         ls("synonyms").alias("synonyms"),
         F.when(F.size(xref) > 0, F.array_join(xref, ", ")).alias("xref"),
         F.get(ls("raw_source"), 0).alias("raw_source"),
+        ls("raw_source").alias("raw_sources"),
         m("note").alias("note"),
         m("description").alias("description"),
         m("in_taxon").alias("in_taxon"),

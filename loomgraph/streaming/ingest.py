@@ -10,10 +10,12 @@ from ..functions import text as T
 from ..operators import ingest
 
 
-def prepared(files: DataFrame) -> DataFrame:
+def prepared(files: DataFrame, root: str = "") -> DataFrame:
     """binaryFile rows -> id, sha256, filename, title, markdown, format, needs_llm, ord."""
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    base = files.select(name.alias("filename"), F.lower(T.path_extension(name)).alias("ext"), "content", F.sha2("content", 256).alias("sha256"), F.col("path").alias("ord"))
+    below = F.substring_index("path", root.removeprefix("file://").rstrip("/") + "/", -1) if root else F.regexp_extract("path", "([^/]*)$", 1)
+    hidden = F.exists(F.split(below, "/"), lambda x: x.startswith("."))
+    base = files.filter(~T.junk(F.col("path")) & ~hidden).select(name.alias("filename"), F.lower(T.path_extension(name)).alias("ext"), "content", F.sha2("content", 256).alias("sha256"), F.col("path").alias("ord"))
     out = ingest.convert(base).withColumn("title", T.title_from(F.col("markdown"), F.col("filename"), F.lit(None).cast("string")))
     return out.select(T.source_id(F.col("title"), F.col("content")).alias("id"), "sha256", "filename", "title", "markdown", "format", "needs_llm", "ord")
 
@@ -25,7 +27,7 @@ def ingest_stream(spark: SparkSession, folder: str, store: str, checkpoint: str)
 
     def batch(df: DataFrame, epoch: int) -> None:
         stored = df.sparkSession.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(store)
-        fresh = ingest.deduplicate(prepared(df), stored.select("id", "sha256")).filter("action = 'stored'")
+        fresh = ingest.deduplicate(prepared(df, folder), stored.select("id", "sha256")).filter("action = 'stored'")
         fresh.select("id", "sha256", "filename", "title", "markdown", "format", "needs_llm").write.mode("append").parquet(store)
 
     spark.createDataFrame([], schema).write.mode("append").parquet(store)
