@@ -138,7 +138,7 @@ def strip_markup(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, r"<[^>]*(?:>|\z)", ""), ">", "")
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
 def path_extension(path: Column) -> Column:

@@ -345,7 +345,7 @@ def figures_unnamed(sources: DataFrame) -> DataFrame:
 def figures_undescribed(sources: DataFrame) -> DataFrame:
     """Figures without a description in brackets before a reference to them."""
     quoted = F.concat(F.lit(r"\Q"), F.col("f.file"), F.lit(r"\E"))
-    described = F.col("body").rlike(F.concat(F.lit(r"\[[^\[]*[^\s\[][^\[]*\]\("), quoted, F.lit(r"\)")))
+    described = F.regexp_like("body", F.concat(F.lit(r"\[[^\[]*[^\s\[][^\[]*\]\("), quoted, F.lit(r"\)")))
     return _out(_figures(sources).filter(~described), "id", "f.file")
 
 

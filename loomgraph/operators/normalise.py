@@ -53,5 +53,6 @@ def subtype(row: dict[str, Column]) -> Column:
 
 def first_wins(nodes: DataFrame) -> DataFrame:
     """One row per identifier, the first in file order: what a lookup sees."""
-    best = nodes.groupBy("identifier").agg(F.min(F.struct("file_ord", F.struct(*[c for c in nodes.columns if c not in ("identifier", "file_ord")]).alias("rest"))).alias("b"))
-    return best.select("identifier", "b.file_ord", "b.rest.*")
+    rest = F.struct(*[c for c in nodes.columns if c not in ("identifier", "file_ord")])
+    best = nodes.groupBy("identifier").agg(F.min("file_ord").alias("file_ord"), F.min_by(rest, "file_ord").alias("rest"))
+    return best.select("identifier", "file_ord", "rest.*")

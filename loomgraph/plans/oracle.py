@@ -180,10 +180,11 @@ SELECT page_id, source_type, CASE source_type WHEN 'preprint' THEN 'preprint' WH
   CASE WHEN source_type = 'preprint' AND host_type = 'preprint' THEN 0.9e0 WHEN source_type = 'gov_report' THEN 0.8e0 WHEN source_type = 'preprint' THEN 0.7e0 WHEN source_type = 'journal_article' THEN 0.72e0 WHEN host_type = 'web_page' THEN 0.6e0 ELSE 0.5e0 END AS confidence FROM w"""
 
 HISTORY = "h AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS commit, event_type AS kind, ts AS moment, 'user ' || user_id AS summary, props AS delta, user_id, value FROM events)"
-_strip = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*(?:>|\\z)', '', 'g'), '>', ''), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '\n{{3,}}', '\n\n', 'g'))"
+#: White space, as an expression.
+_WHITE = " || ".join(f"chr({ord(c)})" for c in T.WHITE)
+_strip = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*(?:>|\\z)', '', 'g'), '>', ''), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '\n{{3,}}', '\n\n', 'g'), " + _WHITE + ")"
 
 _RANK = "CASE a.knowledge_level " + " ".join(f"WHEN '{k}' THEN {i + 1}" for i, k in enumerate(vocab.KNOWLEDGE_LEVELS)) + f" ELSE {len(vocab.KNOWLEDGE_LEVELS) + 1} END"
-_WHITE = " || ".join(f"chr({ord(c)})" for c in T.WHITE)
 _HARD = f"CAST(NOT pred_valid AS INT) + CAST(knowledge_level IS NULL AS INT) + CAST(coalesce(knowledge_level NOT IN ({Q(vocab.KNOWLEDGE_LEVELS)}), false) AS INT) + CAST(agent_type IS NULL AS INT) + CAST(coalesce(agent_type NOT IN ({Q(vocab.AGENT_TYPES)}), false) AS INT) + CAST(primary_source IS NULL AS INT)"
 _SNIPPET = """CASE WHEN start > 1 THEN '…' ELSE '' END || regexp_replace(trim(substr(text, start, 160)), '\\s+', ' ', 'g') || CASE WHEN start + 159 < length(text) THEN '…' ELSE '' END"""
 
