@@ -8,8 +8,11 @@ and character classes agree.
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +25,44 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one round of numpy work takes (a longer document goes alone).
 CHUNK_BYTES = 1 << 20
 BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that are hashed at a time, and the longest span that is hashed by polynomial.
+BLOCK, LONG_SPAN = 1 << 18, 512
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where that setting is absent, as in local tests, a folder under the warehouse serves.
+    Where that setting is absent a folder under the warehouse serves, in local mode only.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands rows to Python tasks in batches of at most BATCH_ROWS: texts are long, and a batch is held
+    on both sides. The session's own setting holds again afterwards."""
+    before = spark.conf.get(ARROW_ROWS)
+    if int(before) <= 0 or int(before) > BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there,
     and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,16 +71,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """doc_id and text (and ``more``) only, so that no further column of the input can clash.
-
-    Rows go to Python tasks in batches of at most BATCH_ROWS: texts are long, and a batch is held on both sides.
-    """
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """doc_id and text (and ``more``) only, so that no further column of the input can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
+def slot_bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """The slots (0 to 2 ** bits - 1) in the only column of ``slots``, as 2 ** bits bits."""
+    at = F.col(slots.columns[0]) + 1
+    packed = slots.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for part, some in packed.toLocalIterator():  # at most 2 ** bits bits
+        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(some, np.uint8)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lowered, all else kept; pure ASCII takes the fast built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -102,10 +130,10 @@ _powers = _inverses = np.ones(1, dtype=np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
-    """The first n powers of the base; ``inverses`` undoes them, modulo 2 ** 64."""
+    """The first n powers of the base, n at most BLOCK + LONG_SPAN; ``inverses`` undoes them, modulo 2 ** 64."""
     global _powers, _inverses
     if len(_powers) < n:
-        p = np.full((2, max(n, 1 << 16)), BASE, dtype=np.uint64)
+        p = np.full((2, BLOCK + LONG_SPAN), BASE, dtype=np.uint64)
         p[1] = _INVERSE
         p[:, 0] = 1
         _powers, _inverses = np.multiply.accumulate(p, axis=1)
@@ -157,16 +185,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap. ``lower`` folds A-Z."""
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64)
-    n = len(data)
-    values = (LOWERED if lower else BYTE_VALUES)[data]
-    values *= powers(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverses(n)[starts]
-    return _mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap. ``lower`` folds A-Z.
+
+    Spans of up to LONG_SPAN bytes have a polynomial hash with random byte values, a block of bytes at a time, so that
+    memory does not grow with the text; longer ones, among which structured texts could share a polynomial's value
+    modulo 2 ** 64, a cryptographic one. As with any 64-bit hash, two of n spans share theirs by chance with a
+    probability of about n * n / 2 ** 65.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    long = ends - starts > LONG_SPAN
+    for i in np.flatnonzero(long).tolist():
+        raw = data[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw.lower() if lower else raw, digest_size=8).digest(), "little")
+    short = np.flatnonzero(~long) if long.any() else slice(None)
+    first_at, last_at, hashed = starts[short], ends[short], out[short]
+    table, at = LOWERED if lower else BYTE_VALUES, 0
+    while at < len(first_at):
+        first = first_at[at]
+        upto = max(at + 1, int(np.searchsorted(last_at, first + BLOCK, side="right")))
+        a, b = first_at[at:upto] - first, last_at[at:upto] - first
+        values = table[data[first : first + b[-1]]]
+        values *= powers(len(values))
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values, out=sums[1:])
+        hashed[at:upto] = _mix((sums[b] - sums[a]) * inverses(len(values))[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = upto
+    out[short] = hashed
+    return out
 
 
 _folded = np.arange(256)
