@@ -6,10 +6,9 @@ table of levels (the logarithm of document frequency, for frequent shingles only
 before the hash itself. Two sets over the threshold share a shingle within their prefixes of
 that order, and length and position bound the overlap from there.
 
-* Rare shingles (level 0) travel as packed arrays to hash buckets; a shingle's list is
-  short by definition. Per pair, the shingles that both prefixes share are counted per
-  bucket and summed; a pair is tested only if length, position and that count leave room
-  for the overlap it needs.
+* Rare shingles (level 0) meet in an equi-join of prefixes on the shingle; a shingle's list is
+  short by definition. Per pair, the shingles that both prefixes share are counted; a pair is
+  tested only if length, position and that count leave room for the overlap it needs.
 * Frequent shingles occur in a prefix only where a set consists of frequent shingles, as in
   large groups of near copies. Their lists are never collected: a few leads of each list
   come from combined minima, every other document is paired with them (stars), and once
@@ -20,6 +19,10 @@ The order is cut into fragments. The overlap of a pair is counted per fragment,
 and summed; only documents of some pair send their shingles. What is broadcast is of fixed
 size whatever the input: the level table and a bitmap of document slots, which only let too
 many rows through where they fill up (equi-joins decide), so they cannot change the result.
+Broadcasts are destroyed when the tables made with them are written.
+
+Shingles are compared by 64-bit hashes of words (see ``common.span_hashes``), not by text: two
+shingles that share a hash by chance count as one.
 
 Defined results: null and empty texts and texts without words have an empty set and are
 linked with nothing; texts of fewer words than a shingle have one shingle, the sequence
@@ -34,13 +37,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, gram_hashes, materialise, mix, powers, release, span_hashes, text_chunks, trimmed, two_columns, word_spans
+from .common import byte_class, gram_hashes, materialise, mix, powers, release, slot_bitmap, small_batches, span_hashes, text_chunks, trimmed, two_columns, word_spans
 from .components import components
 
 LEVEL_BITS = 24  # slots of the level table, one byte each
@@ -91,8 +93,9 @@ def _by_bucket(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _bucket_bits(df: DataFrame) -> int:
+    """More buckets than partitions, so that a bucket stays as large as a partition's share, however much there is."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(18, max(6, (2 * partitions - 1).bit_length()))
+    return min(LEVEL_BITS - 2, max(6, (2 * partitions - 1).bit_length()))
 
 
 def heads(docs: DataFrame, k: int) -> DataFrame:
@@ -114,6 +117,7 @@ def level_table(docs: DataFrame, k: int) -> np.ndarray:
     than a quarter of a bucket's slots would be taken, the bucket starts its levels higher.
     """
     bits = _bucket_bits(docs)
+    flush_at = max(FLUSH, 16 << bits)  # rows of a few shingles would cost more than they carry
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -133,7 +137,7 @@ def level_table(docs: DataFrame, k: int) -> np.ndarray:
                 if len(s):
                     held.append(s)
                     size += len(s)
-                if size >= FLUSH:
+                if size >= flush_at:
                     size = 0
                     yield flush()
         if held:
@@ -165,18 +169,9 @@ def level_table(docs: DataFrame, k: int) -> np.ndarray:
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, ids binary, many binary, n binary")
     out = np.zeros(1 << LEVEL_BITS, np.uint8)
     size = 1 << (LEVEL_BITS - bits)
-    for bucket, slots in sent.groupBy("bucket").applyInArrow(count, "bucket int, slots binary").toLocalIterator():  # LEVEL_BITS slots in all
-        out[bucket * size : (bucket + 1) * size] = np.frombuffer(zlib.decompress(slots), np.uint8)
-    return out
-
-
-def slot_bitmap(ids: DataFrame, slot_bits: int) -> np.ndarray:
-    """The slots of the ids in the only column of ``ids``, as 2 ** slot_bits bits."""
-    slot = _slot(F.col(ids.columns[0]), slot_bits) + 1
-    packed = ids.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(1 << (slot_bits - 3), np.uint8)
-    for part, bits in packed.toLocalIterator():  # at most 2 ** slot_bits bits
-        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bits, np.uint8)
+    with small_batches(docs.sparkSession):
+        for bucket, slots in sent.groupBy("bucket").applyInArrow(count, "bucket int, slots binary").toLocalIterator():  # LEVEL_BITS slots in all
+            out[bucket * size : (bucket + 1) * size] = np.frombuffer(zlib.decompress(slots), np.uint8)
     return out
 
 
@@ -202,10 +197,13 @@ def _prefix(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[order], level[order]
 
 
-def _close(n_a, n_b, pos_a, pos_b):  # noqa: ANN001, ANN202
-    """Whether length and position leave room for the overlap that the threshold asks for; arrays or columns."""
-    least = F.least if not isinstance(n_a, np.ndarray) else np.minimum
-    return (4 * n_a >= 3 * n_b) & (4 * n_b >= 3 * n_a) & (7 * least(n_a - pos_a, n_b - pos_b) >= 3 * (n_a + n_b))
+def _close(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column) -> Column:
+    """Whether length and position leave room for the overlap that the threshold asks for."""
+    return _similar_size(n_a, n_b) & (7 * F.least(n_a - pos_a, n_b - pos_b) >= 3 * (n_a + n_b))
+
+
+def _similar_size(n_a: Column, n_b: Column) -> Column:
+    return (4 * n_a >= 3 * n_b) & (4 * n_b >= 3 * n_a)
 
 
 def _rest(n):  # noqa: ANN001, ANN202
@@ -230,104 +228,74 @@ def _alike():  # noqa: ANN202
     return differ <= both - 2 * F.ceil(3 * both / 7)
 
 
-def rare_pairs(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast, copies: Broadcast) -> DataFrame:
-    """a, b, n_a, n_b (a < b): pairs that share rare shingles of both prefixes, as many as the bounds ask for.
-
-    What two sets share beyond their prefixes is at most the longer rest of one of them; the frequent shingles of the
-    prefixes are counted as if all of the shorter list were shared.
-    """
-    bits = _bucket_bits(sources[0][0])
+def _prefix_rows(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast, copies: Broadcast, make, schema: str) -> DataFrame:  # noqa: ANN001
+    """What ``make(doc, set, prefix, number of rare shingles in it)`` gives for every document, as columns of ``schema``."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def send(marked: bool):  # noqa: ANN202
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, ...]] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                key, doc, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
-                order = np.argsort(key, kind="stable")
-                key, doc, *rest = (x[order] for x in (key, doc, *rest))
-                rows = [(bucket, _pack(key[a:b] & np.uint64(0xFFFFFFFF)), doc[a:b].tobytes(), *(_pack(x[a:b]) for x in rest)) for bucket, a, b in _by_bucket(key, bits)]
-                held.clear()
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "ids", "docs", "ns", "pos", "more"])
-
             for batch in _kept(batches, copies, marked):
                 ids = batch.column("doc_id").to_numpy()
+                held, size = [], 0
                 for row, s in _sets(batch, k):
                     if not len(s):
                         continue
                     shingles, level = _prefix(s, levels.value)
-                    rare = int(np.searchsorted(level, 1))
-                    if rare:
-                        held.append((shingles[:rare] >> np.uint64(32 - bits), np.full(rare, ids[row]), np.full(rare, len(s), np.uint32), np.arange(rare, dtype=np.uint32), np.full(rare, len(shingles) - rare, np.uint32)))
-                        size += rare
-                    if size >= FLUSH:
-                        size = 0
-                        yield flush()
-            if held:
-                yield flush()
+                    if (columns := make(ids[row], s, shingles, int(np.searchsorted(level, 1)))) is not None:
+                        held.append(columns)
+                        size += len(columns[0])
+                    if size >= 1 << 16:
+                        yield _columns(held, names)
+                        held, size = [], 0
+                if held:
+                    yield _columns(held, names)
 
         return work
 
-    def pair(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        key = np.concatenate([_unpack(r["ids"]) for r in rows])
-        doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-        n, pos, more = (np.concatenate([_unpack(r[c]) for r in rows]).astype(np.int64) for c in ("ns", "pos", "more"))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        again = np.append(key[1:] == key[:-1], False)
-        again[1:] |= again[:-1]
-        order, key = order[again], key[again]  # shingles of one document only pair with nothing
-        doc, n, pos, more = doc[order], n[order], pos[order], more[order]
-        found: list[np.ndarray] = []
-        lag = 1
-        while lag < len(key) and (same := np.flatnonzero(key[lag:] == key[:-lag])).size:
-            other = same + lag
-            fits = (doc[same] != doc[other]) & (4 * n[same] >= 3 * n[other]) & (4 * n[other] >= 3 * n[same])
-            same, other = same[fits], other[fits]
-            swap = doc[same] > doc[other]
-            a, b = np.where(swap, other, same), np.where(swap, same, other)
-            found.append(np.stack([doc[a], doc[b], n[a], n[b], np.minimum(more[a], more[b]), _close(n[a], n[b], pos[a], pos[b])]))
-            lag += 1
-        release()
-        every = pd.DataFrame(np.concatenate(found, axis=1).T if found else np.empty((0, 6), np.int64), columns=["a", "b", "n_a", "n_b", "more", "close"])
-        return pa.Table.from_pandas(every.groupby(["a", "b", "n_a", "n_b", "more"], as_index=False).agg(close=("close", "max"), shared=("close", "size")).astype("int64"), preserve_index=False)
-
-    sent = None
+    out = None
     for docs, marked in sources:
-        part = docs.mapInArrow(send(marked), "bucket int, ids binary, docs binary, ns binary, pos binary, more binary")
-        sent = part if sent is None else sent.unionByName(part)
-    counted = sent.groupBy("bucket").applyInArrow(pair, "a long, b long, n_a long, n_b long, more long, close long, shared long")
-    summed = counted.groupBy("a", "b", "n_a", "n_b", "more").agg(F.max("close").alias("close"), F.sum("shared").alias("shared"))
+        part = docs.mapInArrow(send(marked), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _columns(held: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+
+def rare_pairs(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast, copies: Broadcast) -> DataFrame:
+    """a, b, n_a, n_b (a < b): pairs that share rare shingles of both prefixes, as many as the bounds ask for.
+
+    What two sets share beyond their prefixes is at most the longer rest of one of them; the frequent shingles of the
+    prefixes are counted as if all of the shorter list were shared.
+    """
+
+    def make(doc: int, s: np.ndarray, prefix: np.ndarray, rare: int) -> list[np.ndarray] | None:
+        if rare:
+            return [prefix[:rare].view(np.int64), np.full(rare, doc), np.full(rare, len(s), np.int32), np.arange(rare, dtype=np.int32), np.full(rare, len(prefix) - rare, np.int32)]
+        return None
+
+    rows = _prefix_rows(sources, k, levels, copies, make, "shingle long, doc long, n int, pos int, more int")
+    # Both sides are the same but for names, so that one exchange serves both.
+    side = lambda x: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "n", "pos", "more")))
+    long = lambda c: F.col(c).cast("long")
+    met = side("a").join(side("b").hint("merge"), "shingle").filter((F.col("doc_a") < F.col("doc_b")) & _similar_size(long("n_a"), long("n_b")))
+    close = _close(long("n_a"), long("n_b"), long("pos_a"), long("pos_b"))
+    pair = met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), long("n_a").alias("n_a"), long("n_b").alias("n_b"), F.least("more_a", "more_b").alias("more"), close.alias("close"))
+    summed = pair.groupBy("a", "b", "n_a", "n_b", "more").agg(F.max("close").alias("close"), F.count(F.lit(1)).alias("shared"))
     needed = F.ceil(3 * (F.col("n_a") + F.col("n_b")) / 7) - F.greatest(_rest(F.col("n_a")), _rest(F.col("n_b")))
-    return summed.filter((F.col("close") > 0) & (F.col("shared") + F.col("more") >= needed)).select("a", "b", "n_a", "n_b")
+    return summed.filter(F.col("close") & (F.col("shared") + F.col("more") >= needed)).select("a", "b", "n_a", "n_b")
 
 
 def frequent_postings(sources: list[tuple[DataFrame, bool]], k: int, levels: Broadcast, copies: Broadcast) -> DataFrame:
     """shingle, doc, n, pos, sketch: the frequent shingles of prefixes."""
 
-    def send(marked: bool):  # noqa: ANN202
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _kept(batches, copies, marked):
-                ids = batch.column("doc_id").to_numpy()
-                for row, s in _sets(batch, k):
-                    if not len(s):
-                        continue
-                    shingles, level = _prefix(s, levels.value)
-                    rare = int(np.searchsorted(level, 1))
-                    if rare < len(shingles):
-                        m = len(shingles) - rare
-                        columns = [shingles[rare:].view(np.int64), np.full(m, ids[row]), np.full(m, len(s), np.int64), np.arange(rare, rare + m), *(np.full(m, x) for x in _sketch(s))]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["shingle", "doc", "n", "pos", *SKETCH])
-
-        return work
+    def make(doc: int, s: np.ndarray, prefix: np.ndarray, rare: int) -> list[np.ndarray] | None:
+        if m := len(prefix) - rare:
+            return [prefix[rare:].view(np.int64), np.full(m, doc), np.full(m, len(s), np.int64), np.arange(rare, rare + m), *(np.full(m, x) for x in _sketch(s))]
+        return None
 
-    out = None
-    for docs, marked in sources:
-        part = docs.mapInArrow(send(marked), "shingle long, doc long, n long, pos long, " + ", ".join(f"{c} long" for c in SKETCH))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _prefix_rows(sources, k, levels, copies, make, "shingle long, doc long, n long, pos long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def star_pairs(postings: DataFrame) -> DataFrame:
@@ -358,7 +326,7 @@ def cross_pairs(postings: DataFrame, found: DataFrame) -> DataFrame:
 def links(docs: DataFrame, pairs: DataFrame, k: int, levels: Broadcast, slot_bits: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b; distinct) over the threshold: overlaps are counted per fragment of the order and summed."""
     spark = docs.sparkSession
-    involved = spark.sparkContext.broadcast(slot_bitmap(pairs.select("a").union(pairs.select("b")), slot_bits))
+    involved = spark.sparkContext.broadcast(slot_bitmap(pairs.select(_slot(F.col("a"), slot_bits)).union(pairs.select(_slot(F.col("b"), slot_bits))), slot_bits))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _kept(batches, involved, True):
@@ -376,6 +344,7 @@ def links(docs: DataFrame, pairs: DataFrame, k: int, levels: Broadcast, slot_bit
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values)))], names=["doc", "fragment", "shingles"])
 
     cuts = materialise(docs.mapInArrow(cut, "doc long, fragment int, shingles array<long>"), "fragments")
+    involved.destroy()
     wanted = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS))))
     one = cuts.select(F.col("doc").alias("a"), "fragment", F.col("shingles").alias("s_a"))
     two = cuts.select(F.col("doc").alias("b"), "fragment", F.col("shingles").alias("s_b"))
@@ -398,7 +367,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     known = thin.filter("doc_id is not null").withColumn("slot", _slot(F.col("doc_id"), slot_bits))
     levels = share(level_table(known, k))
     extra = members.filter("doc_id <> rep").select("doc_id")
-    copies = share(slot_bitmap(extra, slot_bits))
+    copies = share(slot_bitmap(extra.select(_slot(F.col("doc_id"), slot_bits)), slot_bits))
     sources = [(known, False)]
     if copies.value.any():
         reps = groups.select(F.col("rep").alias("doc_id"))
@@ -407,9 +376,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     postings = materialise(frequent_postings(sources, k, levels, copies), "frequent")
     tested = distinct(rare_pairs(sources, k, levels, copies).unionByName(star_pairs(postings)), "pairs")
     edges = materialise(links(known, tested, k, levels, slot_bits), "links")
-    found = materialise(components(edges), "components")
+    found = components(edges)
     further = distinct(cross_pairs(postings, found).join(tested, ["a", "b"], "left_anti"), "further-pairs")
     if not further.isEmpty():
         edges = edges.unionByName(materialise(links(known, further, k, levels, slot_bits), "further-links"))
-        found = materialise(components(edges), "components")
+        found = components(edges)
+    for shared in (levels, copies):
+        shared.destroy()
     return members.join(found, members.rep == found.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
