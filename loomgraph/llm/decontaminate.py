@@ -3,22 +3,24 @@
 An item's windows are its runs of ``window`` words (a shorter item is one window). A window
 as a set of shingles of ``SHINGLE`` words is contained in a text only if all of its shingles
 are, so for containment the necessary prefix is a single shingle: the rarest one, by how
-often it occurs in all documents. Documents are joined on those prefix shingles alone. The
-shingle's place in the window fixes where the window would begin in the text; the length
-bound asks for room for the whole window, and the window itself is then verified: by its
-hash first, by its words in the end.
+often it occurs in all documents. Windows and documents are joined on those prefix shingles
+alone, by an equi-join that Spark plans. The shingle's place in the window fixes where the
+window would begin in the text; the length bound asks for room for the whole window, and
+the window's words are then compared with the words that stand there.
 
-The benchmark is broadcast in blocks of at most ``block`` windows, each checked by count;
-a larger benchmark takes further passes over the documents, and hits meet per document.
+Every shingle that a document sends has passed a bitmap of the shingles asked for. The bitmap
+is what is broadcast: its size follows the benchmark up to 2 ** MAX_FILTER_BITS bits, beyond
+which it fills up and more goes through to the join, which decides. Two passes over the
+documents do, whatever the size of the benchmark.
 
 Defined results: words are runs of digits, letters and characters past ASCII, A-Z in lower
 case; a null text has none; repeated rows are answered each for itself; items that repeat
-count each; an empty benchmark hits nothing; further columns are ignored.
+count once for each id; items without an id cannot be named and are left out; ids may be of
+any type and are named as strings; an empty benchmark hits nothing; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,159 +28,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, gram_hashes, span_hashes, text_chunks, trimmed, two_columns, word_spans
+from .common import byte_class, gram_hashes, materialise, slot_bitmap, span_hashes, text_chunks, trimmed, two_columns, word_spans
 
 SHINGLE = 3
+MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 27
 WORD = byte_class("alnum")
+#: Windows of an item, and found shingles of documents, that a task holds before it sends them on.
+FLUSH = 1 << 14
 
 
-def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    raw = data.tobytes().lower()  # bytes.lower folds A-Z only
-    return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-
-
-class Windows:
-    """The distinct windows of a block of items, and the shingles in them."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        places: dict[tuple[bytes, ...], set[str]] = {}
-        for item_id, text in items:
-            data = np.frombuffer(text.encode(), np.uint8)
-            starts, ends, _ = word_spans(data, np.array([0, len(data)]), WORD)
-            words = _words(data, starts, ends)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                places.setdefault(tuple(words[i : i + window]), set()).add(str(item_id))
-        self.words = list(places)
-        self.items = [places[w] for w in self.words]
-        self.size = np.array([len(w) for w in self.words], np.int64)
-        #: Shingles of every window in order: (hash, length of the shingle); a window below SHINGLE words is one shingle.
-        self.shingles: list[np.ndarray] = []
-        self.hashes = np.zeros(len(self.words), np.uint64)
-        for k, words in enumerate(self.words):
-            flat = np.frombuffer(b" ".join(words), np.uint8)
-            starts, ends, _ = word_spans(flat, np.array([0, len(flat)]), WORD)
-            hashed = span_hashes(flat, starts, ends, True)
-            self.shingles.append(gram_hashes(hashed, min(SHINGLE, len(words))))
-            self.hashes[k] = gram_hashes(hashed, len(words))[0]
-        self.lengths = sorted({min(SHINGLE, int(n)) for n in self.size})
-        self.keys = np.unique(np.concatenate(self.shingles)) if self.words else np.empty(0, np.uint64)
-
-    def prefixes(self, frequency: np.ndarray) -> None:
-        """Choose every window's rarest shingle (first of equals); group windows by it."""
-        rarest, offset = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int64)
-        for k, s in enumerate(self.shingles):
-            at = int(np.argmin(frequency[np.searchsorted(self.keys, s)]))
-            rarest[k], offset[k] = s[at], at
-        order = np.argsort(rarest, kind="stable")
-        self.order, self.offset = order, offset
-        self.prefix, self.first, self.count = np.unique(rarest[order], return_index=True, return_counts=True)
-
-
-def _occurrences(keys: np.ndarray, hashed: np.ndarray, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(position, index in keys) of every shingle of the text that is among keys, for each shingle length."""
-    for n in lengths:
-        grams = gram_hashes(hashed, n)
-        if len(grams) and len(keys):
-            slot = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-            at = np.flatnonzero(keys[slot] == grams)
-            yield at, slot[at]
-
-
-def _frequency(docs: DataFrame, windows: Windows) -> np.ndarray:
-    """How often each shingle of the windows occurs in all documents (counted per task, then summed)."""
-    shared = docs.sparkSession.sparkContext.broadcast((windows.keys, windows.lengths))
+def item_windows(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item, words (joined by a blank), size, shingles (hashes in order): a row for each window of each item."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in trimmed(batches):
+            ids = batch.column("item").to_pylist()
+            for i, _, data, offsets in text_chunks(batch.column("text")):
+                starts, ends, first = word_spans(data, offsets, WORD)
+                hashed, raw = span_hashes(data, starts, ends, True), data.tobytes().lower()  # bytes.lower folds A-Z only
+                for d in range(len(offsets) - 1):
+                    a, b = int(first[d]), int(first[d + 1])
+                    size = min(window, b - a)
+                    grams = gram_hashes(hashed[a:b], min(SHINGLE, size)).view(np.int64) if size else []
+                    per = size - min(SHINGLE, size) + 1
+                    for lo in range(0, b - a - size + 1 if size else 0, FLUSH):
+                        hi = min(lo + FLUSH, b - a - size + 1)
+                        words = [raw[s:e].decode() for s, e in zip(starts[a + lo : a + hi + size], ends[a + lo : a + hi + size], strict=True)]
+                        rows = [" ".join(words[w : w + size]) for w in range(hi - lo)]
+                        sets = pa.array([grams[w : w + per] for w in range(lo, hi)], pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i + d]] * (hi - lo)), pa.array(rows), pa.array([size] * (hi - lo), pa.int32()), sets], names=["item", "words", "size", "shingles"])
+
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return items.filter("item is not null").mapInArrow(work, "item string, words string, size int, shingles array<long>")
+
+
+def _filter(shingles: DataFrame):  # noqa: ANN202
+    """A broadcast bitmap of the leading bits of the only column of ``shingles``, and how many bits those are."""
+    bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, (32 * shingles.count()).bit_length()))
+    slot = F.shiftrightunsigned(F.col(shingles.columns[0]), 64 - bits)
+    return shingles.sparkSession.sparkContext.broadcast((slot_bitmap(shingles.select(slot), bits), bits))
+
+
+def _wanted(grams: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """Positions of the shingles that pass the filter."""
+    slot = (grams >> np.uint64(64 - bits)).astype(np.int64)
+    return np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+
+
+def frequencies(docs: DataFrame, shingles: DataFrame, lengths: list[int]) -> DataFrame:
+    """shingle, n: how often each of ``shingles`` occurs in all documents."""
+    shared = _filter(shingles)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, lengths = shared.value
-        counts = np.zeros(len(keys), np.int64)
         for batch in trimmed(batches):
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 starts, ends, _ = word_spans(data, offsets, WORD)
-                for _, slot in _occurrences(keys, span_hashes(data, starts, ends, True), lengths):
-                    counts += np.bincount(slot, minlength=len(keys))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["slot", "n"])
-
-    out = np.zeros(len(windows.keys), np.int64)
-    for slot, n in docs.select("text").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # one row per shingle of the block at most
-        out[slot] = n
+                hashed = span_hashes(data, starts, ends, True)
+                grams = [gram_hashes(hashed, n) for n in lengths]  # those across two texts add a little to rarity, no more
+                key, n = np.unique(np.concatenate([g[_wanted(g, *shared.value)] for g in grams]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    counted = docs.select("text").mapInArrow(work, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    out = materialise(counted.join(shingles, "shingle", "left_semi"), "shingle-counts")
+    shared.destroy()
     return out
 
 
-def _hits(docs: DataFrame, windows: Windows) -> DataFrame:
-    """doc_id, row_hash, n_words, hits (begin and end word of covered stretches), items, for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-
-    def text_hits(w: Windows, hashed: np.ndarray, words, into: set[str]) -> list[tuple[int, int]]:  # noqa: ANN001
-        found: list[tuple[int, int]] = []
-        for at, slot in _occurrences(w.prefix, hashed, w.lengths):
-            for position, s in zip(at.tolist(), slot.tolist(), strict=True):
-                for k in w.order[w.first[s] : w.first[s] + w.count[s]].tolist():
-                    begin, size = position - int(w.offset[k]), int(w.size[k])
-                    if begin < 0 or begin + size > len(hashed) or gram_hashes(hashed[begin : begin + size], size)[0] != w.hashes[k]:
-                        continue
-                    if tuple(words(begin, begin + size)) == w.words[k]:
-                        found.append((begin, begin + size))
-                        into.update(w.items[k])
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged
+def occurrences(docs: DataFrame, prefixes: DataFrame, lengths: list[int], window: int) -> DataFrame:
+    """doc_id, row_hash, n_words, and pos, shingle, begin, context: a row for every document (without pos), and one for
+    every shingle in it that may be a prefix, with the words around it."""
+    shared = _filter(prefixes)
+    names = ["doc_id", "row_hash", "n_words", "pos", "shingle", "begin", "context"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for batch in trimmed(batches):
-            n_words, hits, items = [], [], []
-            for _, _, data, offsets in text_chunks(batch.column("text")):
+            for i, j, data, offsets in text_chunks(batch.column("text")):
+                ids, hashes = batch.column("doc_id")[i:j], batch.column("row_hash")[i:j]
                 starts, ends, first = word_spans(data, offsets, WORD)
-                hashed = span_hashes(data, starts, ends, True)
-                suspect = np.zeros(len(hashed) + 1, bool)
-                for at, _ in _occurrences(w.prefix, hashed, w.lengths):
-                    suspect[at] = True
-                some = np.add.reduceat(suspect, first[:-1]) * (np.diff(first) > 0) if len(first) > 1 else []
-                for d in range(len(offsets) - 1):
-                    a, b = int(first[d]), int(first[d + 1])
-                    mine: set[str] = set()
-                    n_words.append(b - a)
-                    hits.append(text_hits(w, hashed[a:b], lambda i, j, a=a: _words(data[starts[a + i] : ends[a + j - 1]], starts[a + i : a + j] - starts[a + i], ends[a + i : a + j] - starts[a + i]), mine) if some[d] else [])
-                    items.append(sorted(mine))
-            stretches = pa.array([[{"a": a, "b": b} for a, b in h] for h in hits], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(n_words, pa.int64()), stretches, pa.array(items, pa.list_(pa.string()))], names=["doc_id", "row_hash", "n_words", "hits", "items"])
-
-    return docs.mapInArrow(work, "doc_id long, row_hash long, n_words long, hits array<struct<a:long,b:long>>, items array<string>")
+                hashed, raw = span_hashes(data, starts, ends, True), data.tobytes().lower()
+                sizes = np.diff(first).astype(np.int64)
+                nothing = pa.nulls(j - i, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(sizes), nothing, nothing, nothing, pa.nulls(j - i, pa.string())], names=names)
+                for n in lengths:
+                    reach = window - SHINGLE if n == SHINGLE else 0
+                    grams = gram_hashes(hashed, n)
+                    at = _wanted(grams, *shared.value)
+                    owner = np.searchsorted(first, at, side="right") - 1
+                    within = at + n <= first[owner + 1]
+                    at, owner = at[within], owner[within]
+                    lo, hi = np.maximum(first[owner], at - reach), np.minimum(first[owner + 1], at + n + reach)
+                    for k in range(0, len(at), FLUSH):
+                        part = slice(k, k + FLUSH)
+                        words = [" ".join([raw[s:e].decode() for s, e in zip(starts[x:y].tolist(), ends[x:y].tolist(), strict=True)]) for x, y in zip(lo[part], hi[part], strict=True)]
+                        d, begin = pa.array(owner[part]), first[owner[part]]
+                        yield pa.RecordBatch.from_arrays([ids.take(d), hashes.take(d), pa.array(sizes[owner[part]]), pa.array(at[part] - begin), pa.array(grams[at[part]].view(np.int64)), pa.array(lo[part] - begin), pa.array(words, pa.string())], names=names)
+
+    found = docs.mapInArrow(work, "doc_id long, row_hash long, n_words long, pos long, shingle long, begin long, context string")
+    out = materialise(found, "occurrences")
+    shared.destroy()
+    return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, n_words, n_hit, items (ids of items with an occurring window, sorted as strings); one row per row of ``docs``."""
     thin = two_columns(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
-    items = two_columns(benchmark, "item_id", "text").filter("doc_id is not null")
-    n_blocks = max(1, -(-int(items.agg(F.sum(F.char_length("text"))).first()[0] or 0) // (2 * block)))  # a window starts with a word: two characters of text at least
-    parts = []
-    for b in range(n_blocks):
-        # The size of a block is bounded by the division above.
-        rows = items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)) == b).collect()
-        windows = Windows([(r["doc_id"], r["text"]) for r in rows], window)
-        windows.prefixes(_frequency(thin, windows))
-        parts.append(_hits(thin, windows))
-    n_hit = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    if n_blocks == 1:
-        return parts[0].select("doc_id", "n_words", n_hit("hits").alias("n_hit"), "items")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p.filter("size(hits) > 0"))
-    # Stretches of several blocks may overlap: merge them in order. A document's stretches are no more than its words.
-    merged = F.aggregate(
-        F.array_sort(F.flatten(F.collect_set("hits"))),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
-        lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["upto"]))).alias("n"), F.greatest(s["upto"], x["b"]).alias("upto")),
-    )
-    grouped = every.groupBy("doc_id", "row_hash").agg(F.max("n_words").alias("n_words"), merged["n"].alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    once = thin.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("h"))
-    return once.join(grouped, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("row_hash"))).select("doc_id", "n_words", "n_hit", "items")
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    each = materialise(item_windows(benchmark, window, item_col), "item-windows")
+    lengths = sorted(r[0] for r in each.select(F.least("size", F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]  # at most SHINGLE rows
+    shingles = materialise(each.select(F.explode("shingles").alias("shingle")).distinct(), "item-shingles")
+    counts = frequencies(thin, shingles, lengths)
+    placed = each.select("words", "size", "shingles").dropDuplicates(["words"]).select("words", "size", F.posexplode("shingles").alias("at", "shingle")).join(counts, "shingle", "left")
+    rarest = placed.groupBy("words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "shingle")).alias("r"))
+    # A window of whose shingles one occurs nowhere is in no document.
+    windows = materialise(rarest.filter("r.n > 0").select("words", "size", F.col("r.at").alias("at"), F.col("r.shingle").alias("shingle")), "windows")
+    found = occurrences(thin, windows.select("shingle").distinct(), lengths, window)
+    met = found.filter("pos is not null").join(windows, "shingle")
+    start = F.col("pos") - F.col("at")
+    there = F.array_join(F.slice(F.split("context", " "), (start - F.col("begin") + 1).cast("int"), F.col("size")), " ")
+    held = met.filter((start >= 0) & (start + F.col("size") <= F.col("n_words"))).filter(there == F.col("words")).select("doc_id", "row_hash", start.alias("a"), (start + F.col("size")).alias("b"), "words")
+    named = held.join(each.select("words", "item").distinct(), "words")
+    stretches = named.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "b")).alias("stretches"), F.sort_array(F.collect_set("item")).alias("items")).select(F.col("doc_id").alias("h_id"), F.col("row_hash").alias("h_hash"), "stretches", "items")
+    # Stretches may overlap: merge them in order. A document's stretches are no more than its words for each length.
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    grown = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["upto"]))).alias("n"), F.greatest(s["upto"], x["b"]).alias("upto"))
+    n_hit = F.aggregate(F.sort_array("stretches"), nothing, grown, lambda s: s["n"])
+    rows = found.filter("pos is null").select("doc_id", "row_hash", "n_words").join(stretches, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row_hash") == F.col("h_hash")), "left")
+    return rows.select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
