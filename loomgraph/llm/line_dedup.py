@@ -4,14 +4,16 @@ Lines are exploded, normalised and hashed; distinct documents are counted per ha
 over the threshold go, except in the last document that holds them; what stays is put
 together again by position.
 
-Shuffles carry 16-byte hashes and positions, never line texts. The count per hash is
-combined before it is shuffled, so a line that a third of all documents share costs one
-row per task; the doomed hashes are written first, so that looking them up is a plain
-equi-join whose hot hashes adaptive execution splits.
+Shuffles carry 16-byte hashes and positions, never line texts. The hashes are written once.
+Documents are made distinct by hash and doc_id together, so a line that a third of all
+documents share is spread over all tasks, and then counted per hash, combined before the
+shuffle; the doomed hashes are written first, so that looking them up is a plain equi-join
+whose hot hashes adaptive execution splits.
 
 Defined results: a null text counts as empty, an empty text is one empty line; rows that
-share a doc_id are separate documents for the count, and all rows with the largest doc_id
-keep the line; a null doc_id sorts below every other; further columns are ignored.
+share a doc_id are one document for the count, and all rows with the largest doc_id keep
+the line; rows with a null doc_id count as one document, which sorts below every other;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,19 +35,14 @@ def _dropped(base: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             lambda s: F.char_length(s["key"]) >= min_chars,
         ).alias("long_lines"),
     )
-    hashed = keyed.select("doc_id", "row_hash", F.transform("long_lines", lambda s: F.struct(s["pos"].alias("pos"), F.unhex(F.md5(s["key"])).alias("hash"))).alias("hashed"))
+    hashed = keyed.select("doc_id", "row_hash", F.explode(F.transform("long_lines", lambda s: F.struct(s["pos"].alias("pos"), F.unhex(F.md5(s["key"])).alias("hash")))).alias("h")).select("doc_id", "row_hash", "h.pos", "h.hash")
+    hashed = materialise(hashed, "line-hashes")
     doomed = materialise(
-        hashed.select("doc_id", F.explode(F.array_distinct(F.transform("hashed", lambda s: s["hash"]))).alias("hash"))
-        .groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
-        .filter(F.col("n_docs") >= min_docs)
-        .select("hash", "last_id"),
+        hashed.select("hash", "doc_id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id")).filter(F.col("n_docs") >= min_docs).select("hash", "last_id"),
         "doomed-lines",
     )
     return (
-        hashed.select("doc_id", "row_hash", F.explode("hashed").alias("h"))
-        .select("doc_id", "row_hash", F.col("h.pos").alias("pos"), F.col("h.hash").alias("hash"))
-        .join(doomed, "hash")
+        hashed.join(doomed, "hash")
         .filter(~F.col("doc_id").eqNullSafe(F.col("last_id")))
         .groupBy("doc_id", "row_hash")
         .agg(F.collect_set("pos").alias("gone"))
