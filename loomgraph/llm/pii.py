@@ -1,13 +1,17 @@
 """Personal data by bootstrapped contextual extraction (DataFrame functions only).
 
 Base spans come from fixed patterns (email, ip, card, phone). They are the seeds: the visible
-word before a seed is a lexical pattern. Candidates are other identifier-like tokens (five
-digits or more) and the word before them. Patterns and instances (values) form a bipartite
-graph whose edges are counted occurrences, and scores go round in it: a pattern's confidence
-for a kind is the share of all occurrences of its word, anywhere in the corpus, that lead to
-an instance of that kind; an unseen instance's score is the noisy-or of the patterns that
-lead to it. Patterns of high confidence and enough distinct seeds then add the candidates
-they lead to as spans of their kind. Base spans always stay.
+word before a seed, however long and however far back, is a lexical pattern. Candidates are
+other identifier-like stretches (tokens with an @, groups of digits joined by blanks, dots,
+slashes, hyphens or brackets, and tokens of letters with some digits) and the word before
+them. Patterns and instances (values) form a bipartite graph whose edges are counted
+occurrences, and scores go round in it: a pattern's confidence for a kind is the share of all
+occurrences of its word, anywhere in the corpus, that lead to an instance of that kind; an
+unseen instance's score is the noisy-or of the patterns that lead to it. In each round a
+pattern takes part if it leads to enough distinct sure instances of the kind: base seeds, and
+those that an earlier round has made sure of, so that found instances induce further patterns.
+Patterns of high confidence at the end add the candidates they lead to as spans of their
+kind. Base spans always stay.
 
 The fixed patterns are written so that no text makes them slow: a run of characters is
 entered only at its beginning, and never given back.
@@ -31,11 +35,17 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-CANDIDATE = r"(?<![0-9A-Za-z@._+/-])(?=(?:[A-Za-z@._+/-]*+[0-9]){5})[0-9A-Za-z+][0-9A-Za-z@._+/-]*+"
+#: What may be an instance: something@somewhere; groups of digits; letters and at least three digits.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9._-]++"
+    r"|(?<![0-9A-Za-z@._+/()-])[+(]?[0-9]++(?:(?:\) ?|[ ./-]\(?)[0-9]++)*+(?![0-9A-Za-z@])"
+    r"|(?<![0-9A-Za-z@._+/-])(?=(?:[A-Za-z@._+/-]*+[0-9]){3})[0-9A-Za-z+][0-9A-Za-z@._+/-]*+"
+)
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
-#: The context of a match: so many characters before it are looked at; a longer word is no pattern.
-CONTEXT_CHARS = 40
-
+#: Matches whose positions are added up in one go.
+MATCHES = 256
+#: Patterns are broadcast up to so many bytes; beyond, words are counted first and joined then.
+BROADCAST_BYTES = 8 << 20
 
 SPANS = "array<struct<start:int,kind:int,end:int,value:string,before:string>>"
 
@@ -65,21 +75,30 @@ def _checked(spans: Column, kind: str) -> Column:
 def _located(text: Column, pattern: str, kind: int) -> Column:
     """Every match in order: start, kind, end (code points, end exclusive), value, and the word before it.
 
-    A split by the same pattern gives the stretches between the matches; lengths add up to positions.
+    A split by the same pattern gives the stretches between the matches; lengths add up to positions, within blocks
+    of matches first, so that the work does not grow with the square of their number.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(found.alias("value"), F.split(text, pattern, -1).alias("gap"))
+    pairs = F.arrays_zip(found.alias("value"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
+    nothing = F.array().cast(SPANS)
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
+
     def one(state: Column, p: Column) -> Column:
-        start = state["at"] + F.char_length(p["gap"])
-        end = start + F.char_length(p["value"])
-        tail = F.rtrim(F.right(p["gap"], F.lit(CONTEXT_CHARS)), F.lit(SPACES))
-        before = F.lower(F.element_at(F.split(tail, "[ \t-\r]"), -1))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value"), before.alias("before"))
+        begin = state["at"] + F.char_length(p["gap"])
+        end = begin + F.char_length(p["value"])
+        gap = F.translate(F.rtrim(p["gap"], F.lit(SPACES)), SPACES, " " * len(SPACES))
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value"), F.lower(F.substring_index(gap, " ", -1)).alias("before"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    nothing = F.array().cast(SPANS)
-    spans = F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), F.struct(F.lit(0).alias("at"), nothing.alias("spans")), one, lambda s: s["spans"])
-    return F.when(F.size(found) > 0, spans).otherwise(nothing)
+    def joined(state: Column, block: Column) -> Column:
+        moved = F.transform(block["spans"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + state["at"]).alias("end"), s["value"].alias("value"), s["before"].alias("before")))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["spans"], moved).alias("spans"))
+
+    def whole(m: Column) -> Column:  # m: the pairs, computed once
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / MATCHES).cast("int")), lambda b: F.aggregate(F.slice(m, b * MATCHES + 1, F.lit(MATCHES)), start, one))
+        return F.when(F.size(m) > 0, F.aggregate(blocks, start, joined, lambda s: s["spans"])).otherwise(nothing)
+
+    return F.get(F.transform(F.array(pairs), whole), 0)
 
 
 def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +110,7 @@ def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = two_columns(docs, id_col, text_col).withColumn("row_hash", F.xxhash64("text"))
     for i, (kind, pattern) in enumerate(PATTERNS.items()):
         rows = rows.withColumn(kind, F.when(likely[kind], _checked(_located(text, pattern, i), kind)).otherwise(nothing))
-    rows = rows.withColumn("base", F.array_sort(F.concat(*KINDS))).withColumn("tokens", F.when(has_digit, _located(text, CANDIDATE, len(KINDS))).otherwise(nothing))
+    rows = rows.withColumn("base", F.array_sort(F.concat(*KINDS))).withColumn("tokens", F.when(has_digit | likely["email"], _located(text, CANDIDATE, len(KINDS))).otherwise(nothing))
     trimmed = F.transform(
         "tokens",
         lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.char_length(F.rtrim(t["value"], F.lit("@._+/-")))).alias("end"), F.rtrim(t["value"], F.lit("@._+/-")).alias("value"), t["before"].alias("before")),
@@ -100,34 +119,40 @@ def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.select("doc_id", "row_hash", "base", outside.alias("candidates"))
 
 
-def pattern_scores(spans: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds: int = 3, text_col: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
+    """pattern, total: how often each pattern's word stands anywhere in the corpus."""
+    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "[ \t-\r]+")).alias("pattern")).filter("pattern <> ''")
+    size = patterns.agg(F.sum(F.octet_length("pattern") + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # few patterns: other words never leave the scan
+        return words.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    return words.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(patterns, "pattern", "left_semi")
+
+
+def pattern_scores(spans: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds: int = 3, text_col: str = "text", min_confidence: float = 0.8) -> DataFrame:
     """pattern, kind, confidence, seeds: scores after ``rounds`` rounds over the pattern-instance graph."""
     seeds = spans.select(F.explode("base").alias("s")).select(F.col("s.before").alias("pattern"), F.lower("s.value").alias("value"), F.col("s.kind").alias("kind"))
     others = spans.select(F.explode("candidates").alias("s")).select(F.col("s.before").alias("pattern"), F.lower("s.value").alias("value"), F.lit(None).cast("int").alias("kind"))
-    usable = (F.char_length("pattern") > 0) & (F.char_length("pattern") < CONTEXT_CHARS)
-    edges = materialise(seeds.unionByName(others).filter(usable).groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pattern-edges")
-    known = edges.filter("kind is not null")
-    promising = known.groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= min_seeds)
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "[ \t-\r]+")).alias("pattern")).filter(usable)
-    totals = materialise(words.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(promising, "pattern"), "pattern-totals")
-    graph = materialise(edges.join(totals.select("pattern"), "pattern", "left_semi"), "pattern-graph")
-    fixed = known.select("value", "kind").distinct().withColumn("score", F.lit(1.0))
+    edges = materialise(seeds.unionByName(others).filter("pattern <> ''").groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pattern-edges")
+    fixed = materialise(edges.filter("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0)), "seeds")
+    # Only a pattern that leads to enough distinct values can ever take part.
+    enough = materialise(edges.groupBy("pattern").agg(F.count_distinct("value").alias("values")).filter(F.col("values") >= min_seeds).select("pattern"), "promising-patterns")
+    totals = materialise(occurrences(docs, enough, text_col), "pattern-totals")
+    graph = materialise(edges.join(enough, "pattern", "left_semi").groupBy("pattern", "value").agg(F.sum("n").alias("n")), "pattern-graph")
+    unseen = graph.join(fixed.select("value"), "value", "left_anti")
     scores, patterns = fixed, None
     for i in range(rounds):
-        lead = graph.select("pattern", "value", "n").groupBy("pattern", "value").agg(F.sum("n").alias("n")).join(scores, "value")
-        patterns = materialise(
-            lead.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("led")).join(totals, "pattern").select("pattern", "kind", (F.col("led") / F.greatest("total", "led")).alias("confidence"), "seeds"), f"patterns-{i}"
-        )
-        unseen = graph.filter("kind is null").join(patterns, "pattern").select(F.col("value"), patterns.kind, "confidence")
-        risen = unseen.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
-        scores = fixed.unionByName(risen.join(fixed.select("value"), "value", "left_anti"))
+        led = graph.join(scores, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("led"), F.count_if(F.col("score") >= min_confidence).alias("seeds"))
+        patterns = materialise(led.filter(F.col("seeds") >= min_seeds).join(totals, "pattern").select("pattern", "kind", (F.col("led") / F.greatest("total", "led")).alias("confidence"), "seeds"), f"patterns-{i}")
+        if i + 1 < rounds:
+            risen = unseen.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
+            scores = materialise(fixed.unionByName(risen), f"scores-{i}")
     return patterns
 
 
 def personal_data(docs: DataFrame, min_confidence: float = 0.8, min_seeds: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added (arrays of start, kind, end), one row per row of ``docs``."""
     spans = materialise(extracted(docs, id_col, text_col), "spans")
-    sure = pattern_scores(spans, docs, rounds, min_seeds, text_col).filter(F.col("confidence") >= min_confidence)
+    sure = pattern_scores(spans, docs, rounds, min_seeds, text_col, min_confidence).filter(F.col("confidence") >= min_confidence)
     best = sure.groupBy("pattern").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "kind")).alias("b")).select("pattern", F.col("b.kind").alias("kind"))
     led = spans.select("doc_id", "row_hash", F.explode("candidates").alias("c")).select("doc_id", "row_hash", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.before").alias("pattern")).join(best, "pattern")
     added = led.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")).withColumnsRenamed({"doc_id": "a_id", "row_hash": "a_hash"})
