@@ -8,20 +8,25 @@ own lines, of its paragraphs, of its whole text without quotes, and of every run
 sentences as long as some quotation of its conversation; the original of a quotation is the
 earliest message of the conversation that has the passage. So any run of whole lines or
 sentences is found, and a paragraph or message also where its lines are broken anew; less than
-a sentence is not looked for. A message replies to the
-original of its outermost linked quotation. Threads and depths come from pointer doubling
-along replies; messages ordered by (conv_id, thread, depth, turn) read in reply order.
+a sentence is not looked for. A message replies to the original of its outermost linked
+quotation (of the first of several).
+
+Threads and depths come from pointer doubling along replies. The place of a message in its
+thread is its place in reply order: a message, then its replies by turn, each followed by what
+replies to it in turn. It comes from ranking the list of steps down and up the thread, again
+by doubling, so no thread, however long, is ever gathered; messages by (conv_id, thread,
+position) are the conversation in reply order, without quotes.
 
 Defined results: null text counts as empty; a message that quotes nothing, or only what is
 in no earlier message, begins a thread of its own; a quotation that stands in several
 earlier messages links to the earliest; rows that repeat (conv_id, turn) share one reply
-link, the smallest; rows with a null conv_id or turn link to nothing; further columns are
-ignored.
+link, the smallest, and one position; rows with a null conv_id or turn link to nothing;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -50,14 +55,16 @@ def own_text(lines: Column) -> Column:
 
 def passages(lines: Column) -> Column:
     """Runs of quoted lines of one level: array of (level, text), in order."""
-    empty = F.array().cast("array<struct<level:int,text:string>>")
+    level = lambda i: F.get(lines, i)["level"]
+    begins = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
 
-    def step(runs: Column, x: Column) -> Column:
-        last = F.element_at(runs, -1)
-        grown = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(last["level"].alias("level"), F.concat_ws("\n", last["text"], x["text"]).alias("text"))))
-        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["level"] == x["level"]), grown).otherwise(F.concat(runs, F.array(F.struct(x["level"].alias("level"), x["text"].alias("text")))))
+    def runs(at: Column) -> Column:  # at: where runs begin, computed once
+        upto = lambda j: F.coalesce(F.get(at, j + 1), F.size(lines))
+        run = lambda i, j: F.array_join(F.transform(F.slice(lines, i + 1, upto(j) - i), lambda x: x["text"]), "\n")
+        return F.transform(at, lambda i, j: F.struct(level(i).alias("level"), F.when(level(i) > 0, run(i, j)).otherwise("").alias("text")))
 
-    return F.filter(F.aggregate(lines, empty, lambda r, x: step(r, F.struct(x["level"].cast("int").alias("level"), x["text"].alias("text")))), lambda p: (p["level"] > 0) & (F.char_length(folded(p["text"])) > 0))
+    every = F.get(F.transform(F.array(begins), runs), 0)
+    return F.filter(every, lambda p: (p["level"] > 0) & (F.char_length(folded(p["text"])) > 0))
 
 
 def _hash(text: Column) -> Column:
@@ -73,43 +80,95 @@ def _run_hash(run: Column) -> Column:
     return F.unhex(F.md5(F.array_join(run, "\n")))
 
 
-def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, content (no quotes), reply_to, thread, depth, n_quotes, n_linked; one row per message."""
-    rows = materialise(parsed(messages), "messages")
+def quotations(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, level, pos, original: every passage, with the earliest earlier message that has it (null: none)."""
     own = own_text(F.col("lines"))
     units = F.array_distinct(F.concat(F.array(own), F.split(own, r"\n\s*\n"), F.split(own, "\n")))
-    quoted = rows.select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("pos", "p")).select("conv_id", "turn", "pos", F.col("p.level").alias("level"), _hash(F.col("p.text")).alias("hash"), sentences(F.col("p.text")).alias("run"))
+    quoted = rows.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("pos", "p")).select("conv_id", "turn", "pos", F.col("p.level").alias("level"), _hash(F.col("p.text")).alias("hash"), sentences(F.col("p.text")).alias("run"))
     quoted = materialise(quoted.select("conv_id", "turn", "pos", "level", "hash", F.size("run").alias("length"), _run_hash(F.col("run")).alias("run_hash")), "passages")
-    lengths = materialise(quoted.filter("conv_id is not null").groupBy(F.col("conv_id").alias("l_conv")).agg(F.collect_set("length").alias("lengths")), "passage-lengths")
+    lengths = materialise(quoted.groupBy(F.col("conv_id").alias("l_conv")).agg(F.collect_set("length").alias("lengths")), "passage-lengths")
     asked = rows.filter("turn is not null").join(lengths, rows.conv_id == lengths.l_conv)  # only conversations with quotations
     runs = F.flatten(F.transform("lengths", lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("own") - k + 1, F.lit(1))), lambda i: i + k - 1 <= F.size("own")), lambda i: _run_hash(F.slice("own", i, k)))))
     whole = asked.select("conv_id", "turn", F.explode(units).alias("unit")).filter(F.char_length(folded(F.col("unit"))) > 0).groupBy("conv_id", _hash(F.col("unit")).alias("hash")).agg(F.min("turn").alias("by_whole"))
     in_runs = asked.select("conv_id", "turn", "lengths", sentences(own).alias("own")).select("conv_id", "turn", F.explode(F.array_distinct(runs)).alias("run_hash")).groupBy("conv_id", "run_hash").agg(F.min("turn").alias("by_run"))
     original = F.least("by_whole", "by_run")
-    links = materialise(quoted.join(whole, ["conv_id", "hash"], "left").join(in_runs, ["conv_id", "run_hash"], "left").select("conv_id", "turn", "level", "pos", F.when(original < F.col("turn"), original).alias("original")), "quotations")
+    # The indices are written first, so that the join can split passages that many messages quote.
+    found = quoted.join(materialise(whole, "whole-units"), ["conv_id", "hash"], "left").join(materialise(in_runs, "sentence-runs"), ["conv_id", "run_hash"], "left")
+    return found.select("conv_id", "turn", "level", "pos", F.when(original < F.col("turn"), original).alias("original"))
+
+
+def linked(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, content (no quotes), reply_to, thread, depth, position, n_quotes, n_linked; one row per message."""
+    rows = materialise(parsed(messages), "messages")
+    links = materialise(quotations(rows), "quotations")
     replies = (
         links.groupBy("conv_id", "turn")
         .agg(F.min(F.when(F.col("original").isNotNull(), F.struct("level", "pos", "original"))).alias("first"), F.count(F.lit(1)).alias("n_quotes"), F.count("original").alias("n_linked"))
         .select("conv_id", "turn", F.col("first.original").alias("reply_to"), "n_quotes", "n_linked")
     )
-    placed = threads(materialise(replies, "replies"))
-    out = rows.join(placed, (rows.conv_id == placed.p_conv) & (rows.turn == placed.p_turn), "left")
-    return out.select("conv_id", "turn", "role", own.alias("content"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_quotes", "n_linked")))
-
-
-def threads(replies: DataFrame) -> DataFrame:
-    """Root and depth of every message with quotations, by pointer doubling: as many rounds as the logarithm of the depth."""
-    at = replies.select("conv_id", "turn", F.col("reply_to").alias("up"), F.when(F.col("reply_to").isNotNull(), 1).otherwise(0).cast("long").alias("steps"))
-    while True:
-        over = at.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.col("up").alias("o_up"), F.col("steps").alias("o_steps")).filter("o_up is not null")
-        further = materialise(
-            at.join(over, (at.conv_id == F.col("o_conv")) & (at.up == F.col("o_turn")), "left").select("conv_id", "turn", F.coalesce("o_up", "up").alias("up"), (F.col("steps") + F.coalesce("o_steps", F.lit(0))).alias("steps"), F.col("o_up").isNotNull().alias("moved")), "threads"
-        )
-        at = further.drop("moved")
-        if further.filter("moved").isEmpty():
-            break
-    roots = at.select(F.col("conv_id").alias("p_conv"), F.col("turn").alias("p_turn"), F.coalesce("up", "turn").alias("thread"), F.col("steps").alias("depth"))
-    return roots.join(replies, (F.col("p_conv") == replies.conv_id) & (F.col("p_turn") == replies.turn)).drop("conv_id", "turn")
+    replies = materialise(replies, "replies")
+    placed = placed_in_threads(replies.select("conv_id", "turn", "reply_to").filter("reply_to is not null"))
+    by_turn = lambda df, of: (rows.conv_id == df[f"{of}_conv"]) & (rows.turn == df[f"{of}_turn"])
+    named = replies.select(F.col("conv_id").alias("r_conv"), F.col("turn").alias("r_turn"), "reply_to", "n_quotes", "n_linked")
+    out = rows.join(named, by_turn(named, "r"), "left").join(placed, by_turn(placed, "p"), "left")
+    none = F.lit(0).cast("long")
+    return out.select("conv_id", "turn", "role", own_text(F.col("lines")).alias("content"), "reply_to", F.coalesce("thread", "turn").alias("thread"), *(F.coalesce(c, none).alias(c) for c in ("depth", "position", "n_quotes", "n_linked")))
+
+
+def placed_in_threads(replies: DataFrame) -> DataFrame:
+    """p_conv, p_turn, thread, depth, position of every message that replies or is replied to; replies: conv_id, turn, reply_to (no nulls)."""
+    if replies.isEmpty():
+        return replies.sparkSession.createDataFrame([], "p_conv long, p_turn long, thread long, depth long, position long")
+    at = replies.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("steps"))
+    moving = True
+    while moving:  # as many rounds as the logarithm of the depth
+        over = at.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.col("up").alias("o_up"), F.col("steps").alias("o_steps"))
+        up = at.join(over, (at.conv_id == over.o_conv) & (at.up == over.o_turn), "left")
+        further = materialise(up.select("conv_id", "turn", F.coalesce("o_up", "up").alias("up"), (F.col("steps") + F.coalesce("o_steps", F.lit(0))).alias("steps"), F.col("o_up").isNotNull().alias("moved")), "threads")
+        at, moving = further.drop("moved"), not further.filter("moved").isEmpty()
+    roots = at.select("conv_id", F.col("up").alias("turn")).distinct().select("conv_id", "turn", F.col("turn").alias("up"), F.lit(0).cast("long").alias("steps"))
+    members = materialise(at.unionByName(roots), "thread-members")
+    rank = ranks(replies)
+    named = lambda of: rank.select(F.col("conv_id").alias(f"{of}_conv"), F.col("turn").alias(f"{of}_turn"), F.col("rank").alias(f"{of}_rank"))
+    own, top = named("own"), named("top")
+    out = members.join(own, (members.conv_id == own.own_conv) & (members.turn == own.own_turn)).join(top, (members.conv_id == top.top_conv) & (members.up == top.top_turn))
+    return out.select(F.col("conv_id").alias("p_conv"), F.col("turn").alias("p_turn"), F.col("up").alias("thread"), F.col("steps").alias("depth"), (F.col("top_rank") - F.col("own_rank")).alias("position"))
+
+
+def ranks(replies: DataFrame) -> DataFrame:
+    """conv_id, turn, rank: how many messages of its thread come from a message on, in reply order.
+
+    Every message has two steps, down to it and back up from it, each followed by one other. The rank of a step is the
+    number of steps down from it to the end of its thread; doubling adds them up along the list.
+    """
+    step = lambda turn, up: F.struct(turn.alias("turn"), F.lit(up).alias("up"))
+    turn, parent, none = F.col("turn"), F.col("reply_to"), F.lit(None).cast("struct<turn:bigint,up:int>")
+    weight = lambda n: F.lit(n).cast("long").alias("rank")
+    first = materialise(replies.groupBy("conv_id", parent.alias("turn")).agg(F.min("turn").alias("child")), "first-replies")
+    nodes = replies.select("conv_id", "turn").union(first.select("conv_id", "turn")).distinct()
+    down = nodes.join(first, ["conv_id", "turn"], "left").select("conv_id", step(turn, 0).alias("step"), F.when(F.col("child").isNotNull(), step(F.col("child"), 0)).otherwise(step(turn, 1)).alias("next"), weight(1))
+    up = next_sibling(replies).select("conv_id", step(turn, 1).alias("step"), F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), 0)).otherwise(step(parent, 1)).alias("next"), weight(0))
+    ends = first.join(replies.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").select("conv_id", step(turn, 1).alias("step"), none.alias("next"), weight(0))
+    at = materialise(down.unionByName(up).unionByName(ends), "steps")
+    while not at.filter("next is not null").isEmpty():
+        over = at.select(F.col("conv_id").alias("o_conv"), F.col("step").alias("o_step"), F.col("next").alias("o_next"), F.col("rank").alias("o_rank"))
+        further = at.join(over, (at.conv_id == over.o_conv) & (at.next == over.o_step), "left")
+        at = materialise(further.select("conv_id", "step", F.col("o_next").alias("next"), (F.col("rank") + F.coalesce("o_rank", F.lit(0))).alias("rank")), "steps")
+    return at.filter("step.up = 0").select("conv_id", F.col("step.turn").alias("turn"), "rank")
+
+
+def next_sibling(replies: DataFrame) -> DataFrame:
+    """replies with sibling: the next reply, by turn, to the same message.
+
+    Replies are dealt out by range, so that those to one message may lie in many partitions; what follows the last of
+    a partition is the first of the next that holds a reply to the same message.
+    """
+    n = int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(replies.select("conv_id", "turn", "reply_to").repartitionByRange(n, "conv_id", "reply_to", "turn").withColumn("part", F.spark_partition_id()), "ranged-replies")
+    of_message = Window.partitionBy("conv_id", "reply_to").orderBy("part")
+    firsts = ranged.groupBy("conv_id", "reply_to", "part").agg(F.min("turn").alias("first")).withColumn("later", F.lead("first").over(of_message)).drop("first")  # a row for each partition at most
+    within = ranged.withColumn("sibling", F.lead("turn").over(Window.partitionBy("conv_id", "reply_to", "part").orderBy("turn")))
+    return within.join(firsts, ["conv_id", "reply_to", "part"]).select("conv_id", "turn", "reply_to", F.coalesce("sibling", "later").alias("sibling"))
 
 
 def chat_rows(messages: DataFrame, id_open: str = "<|", id_close: str = "|>") -> DataFrame:
