@@ -32,9 +32,9 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def convert(sources: DataFrame, marker: str = MARKER, row_cap: int | None = ROW_CAP, char_cap: int | None = CHAR_CAP) -> DataFrame:
-    """ext, filename, content (binary) -> markdown, format, needs_llm. ``office.convert`` does the same and decodes office
-    files as well; here they are left with a note."""
+def convert(sources: DataFrame, marker: str | None = MARKER, row_cap: int | None = ROW_CAP, char_cap: int | None = CHAR_CAP) -> DataFrame:
+    """ext, filename, content (binary) -> markdown, format, needs_llm; without a marker, no banner. ``office.convert`` does the
+    same and decodes office files as well; here they are left with a note."""
     text = decoded(F.col("content"))
     ext = F.lower("ext")
     shown = text if char_cap is None else F.left(text, F.lit(char_cap))
@@ -51,7 +51,8 @@ def convert(sources: DataFrame, marker: str = MARKER, row_cap: int | None = ROW_
     read = TEXT_FORMATS + ["json", "csv", "tsv", "html", "htm"]
     needs = ~ext.isin(read)
     kind = F.when(ext.isin(TEXT_FORMATS), "text").when(ext.isin("tsv"), "csv").when(ext == "htm", "html").when(ext.isin(IMAGE_FORMATS), "image").otherwise(ext)
-    return with_banner(sources.withColumn("markdown", markdown).withColumn("format", kind).withColumn("needs_llm", needs), marker)
+    out = sources.withColumn("markdown", markdown).withColumn("format", kind).withColumn("needs_llm", needs)
+    return out if marker is None else with_banner(out, marker)
 
 
 def with_banner(sources: DataFrame, marker: str = MARKER) -> DataFrame:

@@ -209,16 +209,30 @@ def html_markdown(text: pd.Series) -> pd.Series:
     return text.map(_page)
 
 
-def convert(sources: DataFrame, marker: str = ingest.MARKER, row_cap: int | None = ingest.ROW_CAP, char_cap: int | None = ingest.CHAR_CAP) -> DataFrame:
+def convert(sources: DataFrame, marker: str | None = ingest.MARKER, row_cap: int | None = ingest.ROW_CAP, char_cap: int | None = ingest.CHAR_CAP) -> DataFrame:
     """``ingest.convert`` for path, ext, filename, content, with office files decoded and web pages in their structure."""
     of = lambda *kinds: sources.filter(F.lower("ext").isin(*kinds)).select("path", "content")
     read = documents(of("docx")).unionByName(slides(of("pptx"))).unionByName(sheets(of("xlsx", "xls", "ods"), row_cap))
     read = read.select(F.col("path").alias("_path"), F.col("markdown").alias("_read"), F.col("error").alias("_error"))
-    base = ingest.convert(sources, marker, row_cap, char_cap).join(read, F.col("path") == F.col("_path"), "left")
+    base = ingest.convert(sources, None, row_cap, char_cap).join(read, F.col("path") == F.col("_path"), "left")
     ext, is_page = F.lower("ext"), F.lower("ext").isin("html", "htm")
     note = F.concat(F.lit("> "), F.when(ext.isin("docx", "pptx"), ext).otherwise("spreadsheet"), F.lit(" conversion failed: "), "_error", F.lit("\n"))
     office = ext.isin(OFFICE)
     page = html_markdown(F.when(is_page, ingest.decoded(F.col("content"))))
     out = base.withColumn("markdown", F.when(office & F.col("_error").isNull(), F.col("_read")).when(office, note).when(is_page, page).otherwise(F.col("markdown")))
     out = out.withColumn("needs_llm", F.when(office, F.col("_error").isNotNull()).otherwise(F.col("needs_llm"))).withColumn("format", F.when(ext.isin("xlsx", "xls", "ods"), "spreadsheet").otherwise(F.col("format")))
-    return ingest.with_banner(out.drop("_path", "_read", "_error"), marker)
+    out = out.drop("_path", "_read", "_error")
+    return out if marker is None else ingest.with_banner(out, marker)
+
+
+def with_figures(sources: DataFrame, marker: str = ingest.MARKER) -> DataFrame:
+    """Converted sources (without banner) with figures (array of file, provisional, described, origin), found (array of ext,
+    bytes, origin, in the same order), references to them in the markdown, and the banner where it is due: images inside a
+    web page or Markdown text, and the media of office files."""
+    inside = F.lower("ext").isin("html", "htm", "md", "markdown")
+    apart = ingest.figures_apart(sources.withColumn("_whole", F.col("markdown")).withColumn("body", F.when(inside, F.col("markdown")).otherwise("")))
+    each = media(sources.filter(F.lower("ext").isin(OFFICE))).groupBy(F.col("path").alias("_path")).agg(F.array_sort(F.collect_list(F.struct("n", "ext", "bytes", "origin"))).alias("_media"))
+    kept = F.transform("_media", lambda x: F.struct(x["ext"].alias("ext"), x["bytes"].alias("bytes"), x["origin"].alias("origin")))
+    joined = apart.join(each, F.col("path") == F.col("_path"), "left").withColumn("found", F.coalesce(kept, F.col("found"))).withColumn("body", F.when(inside, F.col("body")).otherwise(F.col("_whole")))
+    out = ingest.figures_written(joined).withColumn("markdown", F.col("body"))
+    return ingest.with_banner(out.drop("_path", "_media", "_whole", "body"), marker)

@@ -7,28 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..operators import ingest
+from ..operators import ingest, office
 
+#: A stored source, with the metadata that raw folders of a bundle have.
+STORED = (
+    "id string, sha256 string, filename string, title string, markdown string, format string, needs_llm boolean, ingested_at string, "
+    "figures array<struct<file:string,provisional:boolean,described:boolean,origin:string>>, found array<struct<ext:string,bytes:binary,origin:string>>"
+)
+COLUMNS = [c.split()[0] for c in STORED.split(", ")]
 
-def prepared(files: DataFrame, root: str = "") -> DataFrame:
-    """binaryFile rows -> id, sha256, filename, title, markdown, format, needs_llm, ord."""
+
+def prepared(files: DataFrame, root: str = "", marker: str = ingest.MARKER) -> DataFrame:
+    """binaryFile rows -> the columns of STORED, and ord. What operating systems leave, and hidden files below ``root``, go."""
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    below = F.substring_index("path", root.removeprefix("file://").rstrip("/") + "/", -1) if root else F.regexp_extract("path", "([^/]*)$", 1)
+    below = F.substring_index("path", root.removeprefix("file://").rstrip("/") + "/", -1) if root else name
     hidden = F.exists(F.split(below, "/"), lambda x: x.startswith("."))
-    base = files.filter(~T.junk(F.col("path")) & ~hidden).select(name.alias("filename"), F.lower(T.path_extension(name)).alias("ext"), "content", F.sha2("content", 256).alias("sha256"), F.col("path").alias("ord"))
-    out = ingest.convert(base).withColumn("title", T.title_from(F.col("markdown"), F.col("filename"), F.lit(None).cast("string")))
-    return out.select(T.source_id(F.col("title"), F.col("content")).alias("id"), "sha256", "filename", "title", "markdown", "format", "needs_llm", "ord")
+    base = files.filter(~T.junk(F.col("path")) & ~hidden).select("path", name.alias("filename"), F.lower(T.path_extension(name)).alias("ext"), "content", F.sha2("content", 256).alias("sha256"))
+    out = office.convert(base, None).withColumn("title", T.title_from(F.col("markdown"), F.col("filename"), F.lit(None).cast("string")))
+    whole = office.with_figures(out, marker).withColumn("id", T.source_id(F.col("title"), F.col("content"))).withColumn("ingested_at", T.today())
+    return whole.select(*COLUMNS, F.col("path").alias("ord"))
 
 
 def ingest_stream(spark: SparkSession, folder: str, store: str, checkpoint: str) -> StreamingQuery:
     """Append each new content under ``folder`` to the Parquet table at ``store`` once."""
-    schema = "id string, sha256 string, filename string, title string, markdown string, format string, needs_llm boolean"
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        stored = df.sparkSession.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(store)
+        stored = df.sparkSession.read.schema(STORED).option("pathGlobFilter", "*.parquet").parquet(store)
         fresh = ingest.deduplicate(prepared(df, folder), stored.select("id", "sha256")).filter("action = 'stored'")
-        fresh.select("id", "sha256", "filename", "title", "markdown", "format", "needs_llm").write.mode("append").parquet(store)
+        fresh.select(*COLUMNS).write.mode("append").parquet(store)
 
-    spark.createDataFrame([], schema).write.mode("append").parquet(store)
+    spark.createDataFrame([], STORED).write.mode("append").parquet(store)
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

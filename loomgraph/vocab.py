@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Node types by family, in the order of the vocabulary.
+# Node types by family.
 FAMILIES = {
     "genomic": ["Gene", "Variant", "SequenceFeature", "Structure"],
     "molecular": ["Molecule", "MolecularClass", "BiologicalPathway", "BiologicalFunction"],
@@ -31,11 +31,14 @@ TYPE_ALIASES = {
     "ExposureOrFactor": "Exposure",
 }
 # Predicates.
-PREDICATES = (
-    "is_a part_of member_of derives_from located_in expressed_in encodes interacts_with binds regulates catalyzes converts_to participates_in "
-    "causes predisposes_to treats prevents contraindicated_in affects_response_to has_phenotype measures associated_with used_to_study reported_in"
-).split()
-NEGATABLE = "binds interacts_with causes predisposes_to prevents treats affects_response_to associated_with expressed_in regulates has_phenotype".split()
+PREDICATES = [
+    "is_a", "part_of", "member_of", "derives_from", "located_in", "expressed_in", "encodes", "interacts_with", "binds", "regulates", "catalyzes", "converts_to",
+    "participates_in", "causes", "predisposes_to", "treats", "prevents", "contraindicated_in", "affects_response_to", "has_phenotype", "measures", "associated_with",
+    "used_to_study", "reported_in",
+]
+NEGATABLE = [
+    "binds", "interacts_with", "causes", "predisposes_to", "prevents", "treats", "affects_response_to", "associated_with", "expressed_in", "regulates", "has_phenotype",
+]
 SYMMETRIC = ["interacts_with", "associated_with"]
 INVERSES = {"encoded_by": "encodes", "caused_by": "causes", "treated_by": "treats", "produces": "catalyzes"}
 KNOWLEDGE_LEVELS = ["knowledge_assertion", "statistical_association", "prediction", "observation", "not_provided"]

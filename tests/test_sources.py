@@ -283,13 +283,29 @@ def test_stream_stores_each_content_once(spark, tmp_path):
     (folder / "sub" / ".git").mkdir(parents=True)
     for name, data in {"a.md": b"# One\ntext", "b.md": b"# One\ntext", "sub/c.txt": b"caf\xe9 au lait", ".DS_Store": b"x", "sub/.git/d.md": b"hidden"}.items():
         (folder / name).write_bytes(data)
+    (folder / "g.xlsx").write_bytes(XLSX)
+    (folder / "h.md").write_bytes(b"# Pictured\n![x](data:image/png;base64," + base64.b64encode(b"pic") + b")")
     run = lambda: streaming.ingest_stream(spark, f"file://{folder}", f"file://{tmp_path}/store", f"file://{tmp_path}/ck").awaitTermination()
     run()
     (folder / "e.md").write_bytes(b"# Two\nmore")
     (folder / "f.md").write_bytes(b"# One\ntext")
     run()
     got = spark.read.parquet(f"file://{tmp_path}/store")
-    assert column(got, "title") == ["One", "Two", "caf� au lait"]
+    assert column(got, "title") == ["One", "One", "Pictured", "Two", "caf� au lait"]
+    rows = {r["filename"]: r for r in got.collect()}
+    assert [f["origin"] for f in rows["g.xlsx"]["figures"]] == ["xl/media/a.jpg", "xl/media/b.png"]
+    assert rows["g.xlsx"]["markdown"].endswith("![fig-001.jpg](figures/fig-001.jpg)\n\n![fig-002.png](figures/fig-002.png)\n")
+    assert rows["h.md"]["markdown"] == ingest.MARKER + "\n\n# Pictured\n![x](figures/fig-001.png)"
+    assert (rows["h.md"]["needs_llm"], rows["e.md"]["needs_llm"], rows["e.md"]["figures"]) == (True, False, [])
+    assert bytes(rows["h.md"]["found"][0]["bytes"]) == b"pic"
+
+
+def test_vocabulary_tables(spark):
+    from loomgraph import vocab
+
+    types, predicates = vocab.dim_node_type(spark), vocab.dim_predicate(spark)
+    assert (types.count(), types.filter("is_provenance").count(), predicates.count()) == (28, 4, 35)
+    assert column(predicates.filter("symmetric"), "name") == ["associated_with", "interacts_with", "not_associated_with", "not_interacts_with"]
 
 
 def test_best_level_by_rank(spark):
