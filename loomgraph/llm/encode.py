@@ -5,7 +5,8 @@ every line break of that kind, and between an ASCII letter and ASCII punctuation
 an apostrophe. Both vocabularies in use start a new pre-token there (one glues the space to
 the word that follows, the other drops it), so the ids of a text are the ids of its pieces
 in a row; a test holds this against encoding whole texts. Each piece is looked up in a bounded
-per-process cache and goes through the library only when it is new.
+per-task cache and goes through the library only when it is new. The tokenizer and its cache
+go at the end of a task (``forget``): Python workers live on, and other stages need their memory.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from .common import span_hashes, text_chunks
+from .common import release, span_hashes, text_chunks
 
-#: Pieces kept per process before the cache starts anew.
-CACHE_PIECES = 1_500_000
+#: Pieces kept per task before the cache starts anew.
+CACHE_PIECES = 400_000
 VISIBLE, LATIN, SPACE, BREAK, LETTER, PUNCTUATION = 1, 2, 4, 8, 16, 32
 _byte = np.arange(256)
 _letter = (_byte >= 65) & (_byte <= 90) | (_byte >= 97) & (_byte <= 122)
@@ -108,6 +109,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    _encoders.clear()
+    release()
+
+
 def encoded(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids with ``end_id`` after them) for every text of a string column without nulls."""
     enc = encoder(path)

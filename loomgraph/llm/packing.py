@@ -11,7 +11,9 @@ that is left and into new sequences, on counts rather than on pieces.
 
 Every piece then finds its place by rank among the pieces of its length. Ranks come from
 counts per (length, task) and prefix sums over the tasks, so that a length that a third of
-all pieces share is never one task's work. The plan that is broadcast holds one entry per
+all pieces share is never one task's work. The prefix sums have a row for each length and
+task, which grows with the data, so they meet the pieces in a shuffled join, by the keys that
+ranking has dealt the pieces by already. The plan that is broadcast holds one entry per
 slot of a configuration; its size depends on capacity and rounds, not on the data.
 
 Defined results: null text counts as empty and gives the end id alone; repeated rows are
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, trimmed, two_columns
-from .encode import encoded
+from .encode import encoded, forget
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int"
@@ -51,6 +53,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
                     rows.append((keys[row], p, s, len(part), zlib.crc32(part.tobytes()), task))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)
+        forget()
 
     return two_columns(docs, id_col, text_col).mapInArrow(work, PIECES_SQL)
 
@@ -202,5 +205,5 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, i
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "task").orderBy("doc_id", "piece")))
-    ranked = ranked.join(bases, ["length", "task"]).select(*PIECES.names[:5], (F.col("base") + F.col("nth") - 1).alias("rank"))
+    ranked = ranked.join(bases.hint("merge"), ["length", "task"]).select(*PIECES.names[:5], (F.col("base") + F.col("nth") - 1).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, trimmed, two_columns
-from .encode import encoded
+from .common import shared_path, small_batches, trimmed, two_columns
+from .encode import encoded, forget
 
 NO_ID = -(2**63)
 
@@ -65,6 +65,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
                 total += len(ids)
                 sizes.append(total)
         out.close()
+        forget()
         if total:
             with files.open_output_stream(f"{path}/.{name}.idx") as index:
                 index.write(np.concatenate(ids_of).astype("<i8").tobytes())
@@ -77,7 +78,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
 
     thin = two_columns(docs, id_col, text_col)
     ranged = thin.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.mapInArrow(work, "shard int, name string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
+    with small_batches(spark):
+        ranged.mapInArrow(work, "shard int, name string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema("shard int, name string, n_docs long, n_ids long").parquet(f"{folder}/manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
