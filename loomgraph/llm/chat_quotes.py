@@ -118,7 +118,7 @@ def linked(messages: DataFrame) -> DataFrame:
 def placed_in_threads(replies: DataFrame) -> DataFrame:
     """p_conv, p_turn, thread, depth, position of every message that replies or is replied to; replies: conv_id, turn, reply_to (no nulls)."""
     if replies.isEmpty():
-        return replies.sparkSession.createDataFrame([], "p_conv long, p_turn long, thread long, depth long, position long")
+        return replies.select(F.col("conv_id").alias("p_conv"), F.col("turn").alias("p_turn"), F.col("turn").alias("thread"), *(F.lit(0).cast("long").alias(c) for c in ("depth", "position")))
     at = replies.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("steps"))
     moving = True
     while moving:  # as many rounds as the logarithm of the depth
