@@ -7,7 +7,13 @@ bytes of visible tokens; a model holds how often each bucket occurs (pairs have
 their own). A document's score is the sum of the log ratios target to raw over all its
 n-grams, as often as they occur, where
 
-* a ratio is smoothed by ``prior`` occurrences on either side,
+* a text counts as at most ``span`` n-grams: each occurrence in a longer one counts less, so that
+  no long document decides what the models hold,
+* a ratio is smoothed by ``prior`` occurrences on either side, and its logarithm is drawn towards
+  nothing by d ** 2 / (d ** 2 + ``doubt`` ** 2), where d is the square of the difference to what
+  is due over the variance of that (``cluster`` times its square is added, as occurrences come in
+  clusters): which of a text's copies happen to be labelled, or how often a rare word happens to
+  be, tells nothing about the text,
 * the document's own occurrences are taken out of both counts first, so that labelled rows
   are not scored by themselves, and
 * the raw count of a document is weighted by the target's share of text in its language
@@ -27,8 +33,9 @@ covers all rows. Counts are made per task in a fixed number of buckets and summe
 
 Defined results: a null or empty text has weight 1; rows without a label serve as raw text
 only; n-grams of a language without labels of the target count for nothing unless another
-language has them; repeated rows share key and decision; an empty table gives no rows; without labels of the target nothing can be learned and every document
-stays; columns but ``lang`` are ignored.
+language has them; repeated rows share key and decision; an empty table gives no rows;
+without labels of the target nothing can be learned and every document stays; columns but
+``lang`` are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +52,8 @@ from .common import byte_class, gram_hashes, materialise, mix, span_hashes, text
 #: Words and their parts have 2 ** BUCKET_BITS buckets, pairs of words as many again.
 BUCKET_BITS = 20
 BUCKETS = 2 << BUCKET_BITS
+#: Characters that hold about one n-gram, of all kinds taken together.
+GRAM_CHARS = 1.2
 #: Steps per unit of key, when keys become integers for the threshold.
 KEY_STEPS = 1 << 20
 
@@ -73,20 +82,25 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([single, pairs]).astype(np.int64), np.concatenate([*owners, pair_owners])
 
 
-def marked(docs: DataFrame, labels: DataFrame, max_labels: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def marked(docs: DataFrame, labels: DataFrame, max_labels: int, span: float, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """doc_id, text, target (labelled good), share (of the text in the row's language that is the target's)."""
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     thin = two_columns(docs, id_col, text_col, lang.alias("_lang"))
     sample = labels.select(F.col("doc_id").cast("long").alias("l_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("l_target")).filter("l_id is not null").orderBy(F.xxhash64("l_id"), "l_id").limit(max_labels)
     good = F.broadcast(sample.filter("l_target").select("l_id").distinct())  # at most max_labels rows
     rows = thin.join(good, thin.doc_id == good.l_id, "left").select("doc_id", "text", "_lang", F.col("l_id").isNotNull().alias("target"))
-    chars = F.char_length("text")
+    chars = F.least(F.char_length("text").cast("double"), F.lit(span * GRAM_CHARS))
     shares = rows.groupBy(F.col("_lang").alias("s_lang")).agg(F.coalesce(F.sum(F.when(F.col("target"), chars)) / F.nullif(F.sum(chars), F.lit(0)), F.lit(0.0)).alias("share"))
-    shares = F.broadcast(materialise(shares, "language-shares"))  # a row for each language
+    shares = materialise(shares, "language-shares")  # a row for each language
     return rows.join(shares, F.col("_lang").eqNullSafe(F.col("s_lang"))).select("doc_id", "text", "target", "share")
 
 
-def feature_counts(rows: DataFrame) -> DataFrame:
+def _share_of(doc: np.ndarray, n: int, span: float) -> np.ndarray:
+    """What one occurrence counts in each of n documents, from the document of every occurrence."""
+    return np.minimum(1.0, span / np.maximum(1, np.bincount(doc, minlength=n)))
+
+
+def feature_counts(rows: DataFrame, span: float) -> DataFrame:
     """bucket, expected (occurrences, each as its row's share), target (occurrences in target rows) over ``marked`` rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,30 +109,31 @@ def feature_counts(rows: DataFrame) -> DataFrame:
             good, share = np.asarray(batch.column("target"), dtype=bool), np.asarray(batch.column("share"))
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 bucket, doc = _features(data, offsets)
-                expected += np.bincount(bucket, weights=share[i:j][doc], minlength=BUCKETS)
-                target += np.bincount(bucket[good[i:j][doc]], minlength=BUCKETS)
+                counts = _share_of(doc, j - i, span)
+                expected += np.bincount(bucket, weights=(counts * share[i:j])[doc], minlength=BUCKETS)
+                target += np.bincount(bucket, weights=(counts * good[i:j])[doc], minlength=BUCKETS)
         some = np.flatnonzero(expected)
         for part in np.array_split(some, -(-len(some) // (1 << 16)) or 1):
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(expected[part]), pa.array(target[part].astype(np.int64))], names=["bucket", "expected", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(expected[part]), pa.array(target[part])], names=["bucket", "expected", "target"])
 
-    return rows.mapInArrow(work, "bucket int, expected double, target long").groupBy("bucket").agg(F.sum("expected").alias("expected"), F.sum("target").alias("target"))
+    return rows.mapInArrow(work, "bucket int, expected double, target double").groupBy("bucket").agg(F.sum("expected").alias("expected"), F.sum("target").alias("target"))
 
 
 def model(counts: DataFrame) -> np.ndarray:
     """expected and target of every bucket."""
-    out = np.zeros((2, BUCKETS))
+    out = np.zeros((2, BUCKETS), np.float32)
     table = counts.toArrow()  # at most BUCKETS rows
     out[:, table["bucket"].to_numpy()] = table["expected"].to_numpy(), table["target"].to_numpy()
     return out
 
 
 def weights(
-    docs: DataFrame, labels: DataFrame, prior: float = 2.0, margin: float = 3.0, length: float = 150.0, neutral: float = 100.0, max_labels: int = 50_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, labels: DataFrame, prior: float = 2.0, doubt: float = 9.0, cluster: float = 0.015, span: float = 1000.0, margin: float = 1.5, length: float = 150.0, neutral: float = 100.0, max_labels: int = 50_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """doc_id, log_weight for every row of ``docs``; labels: doc_id, quality, toxic."""
-    rows = marked(docs, labels, max_labels, id_col, text_col, lang_col)
-    counts = model(materialise(feature_counts(rows), "ngram-counts"))
-    scale = counts[1].sum() / max(counts[0].sum(), 1e-9)  # lengths in characters give shares, and this what they are in n-grams
+    rows = marked(docs, labels, max_labels, span, id_col, text_col, lang_col)
+    counts = model(materialise(feature_counts(rows, span), "ngram-counts"))
+    scale = counts[1].sum(dtype=float) / max(counts[0].sum(dtype=float), 1e-9)  # lengths in characters give shares, and this what they are in n-grams
     table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +143,21 @@ def weights(
             good, share = np.asarray(batch.column("target"), dtype=float), np.asarray(batch.column("share"))
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 bucket, doc = _features(data, offsets)
+                counts = _share_of(doc, j - i, span)
                 held, times = np.unique(doc * BUCKETS + bucket, return_counts=True)
                 bucket, doc = held % BUCKETS, held // BUCKETS
-                others = target[bucket] - times * good[i:j][doc], np.maximum(0.0, expected[bucket] - times * share[i:j][doc])
-                ratio = np.log((others[0] + prior) / (others[1] * scale + prior))
+                own = times * counts[doc]
+                seen = np.maximum(0.0, target[bucket].astype(float) - own * good[i:j][doc])
+                due = np.maximum(0.0, expected[bucket].astype(float) - own * share[i:j][doc]) * scale
+                sure = 1 / (1 + (doubt * (due + prior + cluster * due**2) / np.maximum((seen - due) ** 2, 1e-9)) ** 2)
+                ratio = np.log((seen + prior) / (due + prior)) * sure
                 total, n = (np.bincount(doc, weights=w, minlength=j - i) for w in (times * ratio, times))
                 score[i:j] = length * total / (n + neutral)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.minimum(0.0, score + margin))], names=["doc_id", "log_weight"])
 
-    return rows.mapInArrow(work, "doc_id long, log_weight double")
+    out = materialise(rows.mapInArrow(work, "doc_id long, log_weight double"), "weights")
+    table.destroy()
+    return out
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> int:
@@ -158,7 +179,7 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> int:
 def classified(docs: DataFrame, labels: DataFrame, sharpness: float = 8.0, seed: int = 17, **options: object) -> DataFrame:
     """doc_id, log_weight, key, kept for every row of ``docs``."""
     noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
-    scored = materialise(weights(docs, labels, **options).withColumn("key", F.floor((F.lit(sharpness) * F.col("log_weight") + noise) * KEY_STEPS)), "weights")
+    scored = weights(docs, labels, **options).withColumn("key", F.floor((F.lit(sharpness) * F.col("log_weight") + noise) * KEY_STEPS))
     n, k = scored.agg(F.count(F.lit(1)), F.sum(F.exp("log_weight"))).first()
     k = min(n, round(k or 0.0))
     threshold = kth_largest(scored, k) if k else None

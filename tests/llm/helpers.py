@@ -37,8 +37,21 @@ def rows(seed: int = 1, n: int = 120) -> list[tuple]:
     return out
 
 
+#: Names that operators use for columns of their own.
+CLASHES = ["slot", "rep", "node", "row_hash", "norm", "digest", "shingle", "pattern", "value", "gone", "lines", "row", "at", "_lang", "l_id", "part", "component", "item", "words", "total", "rank", "task", "piece"]
+
+
 def frame(spark, data: list[tuple] | None = None):
-    return spark.createDataFrame(rows() if data is None else data, SCHEMA)
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame(rows() if data is None else data, SCHEMA).withColumns({c: F.lit("x") for c in CLASHES})
+
+
+def repeated(seed: int) -> list[tuple]:
+    """``rows`` with the first of them once or twice more, and rows without an id, two of them alike."""
+    data = rows(seed, 60)
+    nameless = [(None, *r[1:]) for r in (data[12], data[12], data[0], data[20])]
+    return data + data[:30] + data[:15] + nameless
 
 
 def find(parent: dict, x):

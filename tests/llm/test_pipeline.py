@@ -8,7 +8,8 @@ import corpus_pipeline
 import pytest
 
 from . import helpers
-from .test_operators import ids_of
+from .test_operators import ids_of, plain_quality
+from .test_operators import lines_kept as plain_lines
 
 
 @pytest.fixture(scope="module")
@@ -24,18 +25,7 @@ def inputs(spark, tmp_path_factory):
 
 
 def lines_kept(data):
-    strip = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(helpers.LOWER)
-    holders: dict = {}
-    for doc_id, text, *_ in data:
-        for line in (text or "").split("\n"):
-            holders.setdefault(strip(line), set()).add(doc_id)
-    largest = lambda ids: max((i for i in ids if i is not None), default=None)
-    out = []
-    for doc_id, text, *rest in data:
-        lines = (text or "").split("\n")
-        kept = [x for x in lines if len(strip(x)) < 40 or len(holders[strip(x)]) < 5 or largest(holders[strip(x)]) == doc_id]
-        out.append((doc_id, text if len(kept) == len(lines) else "\n".join(kept), *rest))
-    return out
+    return [(r[0], r[1] if not dropped else kept, *r[2:]) for r, (_, kept, _, dropped) in zip(data, plain_lines(data), strict=True)]
 
 
 def test_stages(spark, inputs):
@@ -80,6 +70,24 @@ def test_run(spark, inputs):
     assert lengths == {r[0]: len(ids_of("word_bpe_49k.json", 1, r[1])) for r in rows}
 
 
+def test_quality_stage_rejects(spark, tmp_path):
+    """Repeated rows among them; what stays is what the plain version keeps."""
+    import random
+
+    rng = random.Random(4)
+    words, bad = ["alpha", "beta", "gamma", "delta", "zeta"], ["rotten", "vile"]
+    data = [(i, " ".join(rng.choice(bad if i % 4 == 0 and rng.random() < 0.4 else words) for _ in range(40)), "en", "s", i) for i in range(200)]
+    labels = [(i, int(i % 4 > 0), 0) for i in range(1, 200, 2)] + [(i, 0, 1) for i in range(0, 40, 4)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["quality_classifier"](spark, docs, f"file://{tmp_path}")
+    stay = plain_quality(data, labels)[1]
+    assert {r[0] for r in kept.collect()} == stay
+    assert not any(i % 4 for i in set(range(200)) - stay)
+    assert len(stay) <= 160
+    assert kept.columns == docs.columns
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
