@@ -15,7 +15,7 @@ representative first.
 * The joint likelihood of both registers (how many are larger, smaller and equal, given the
   sizes of the sets, which are known) says how alike the sets of a pair are. A pair goes only
   where the likelihood of the threshold itself is lower than that of the best estimate by a
-  factor of e ** SLACK. Of what stays, each document's best pair is verified on full sets.
+  factor of e ** SLACK. Of what stays, each document's best few pairs are verified on full sets.
 * Once components are known, buckets that still hold several of them are joined again, across
   components only, behind a coarse form of the same likelihood (one bit of each register, held
   in a few numbers within the join condition), and what stays is estimated and verified alike.
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, release, slot_bitmap, text_chunks, trimmed, two_columns
@@ -49,7 +49,7 @@ BANDS, ROWS = 72, 7
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.2, 20.0  # step of the registers' scale, and rate of the exponential hashes
 SLACK = 20.0
-LEADS = 3
+LEADS, BEST = 4, 4  # of a bucket, and pairs with leads that a document is verified in
 COARSE = [f"coarse_{i}" for i in range(-(-REGISTERS // 64))]
 #: Bytes of text that are hashed together: their shingles stay in a core's cache.
 SKETCH_BYTES = 1 << 18
@@ -240,8 +240,9 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, id_col: str
     listed = materialise(postings(reps).join(leads.select("bucket"), "bucket", "left_semi"), "shared-postings")
     stars = materialise(star_pairs(listed, leads, percent), "stars")
     rated = likely(stars.select("a", "b").distinct(), reps, percent)
-    best = stars.join(rated, ["a", "b"]).groupBy("doc").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("p"))
-    tested = materialise(best.select("p.*").distinct(), "best-pairs")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("estimate"), "a", "b"))  # a document has at most BANDS * LEADS rows
+    best = stars.join(rated, ["a", "b"]).withColumn("place", place).filter(F.col("place") <= BEST)
+    tested = materialise(best.select("a", "b").distinct(), "best-pairs")
     edges = materialise(verified(known, tested, k, percent, slot_bits), "links")
     found = components(edges)
     further = materialise(likely(cross_pairs(listed, reps, found, percent).join(tested, ["a", "b"], "left_anti"), reps, percent).select("a", "b"), "further-pairs")
