@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_quotes, decontaminate, exact_dedup, line_dedup, ngram_join, packing, pii, quality, set_sketch, token_counts, token_files
+from . import chat_quotes, decontaminate, exact_dedup, line_dedup, ngram_join, packing, phrases, pii, quality, set_sketch, spelling, token_counts, token_files
 from .common import documents
 
 
@@ -60,6 +60,14 @@ def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_sketch.near_duplicates(documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir), plant=True)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -72,13 +80,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
     "op11_minhash_near_dedup": op11_minhash_near_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 #: Characters that count as white space, and the alphabet, as SQL expressions.
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _components(k: int, percent: int, more: str = "") -> str:
+    """Documents linked by the Jaccard similarity of their k-word shingles, and the smallest doc_id that each reaches."""
+    words = _LOWER.format("coalesce(text, '')")
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({words}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+                                  ELSE list_distinct(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i : i + {k - 1}], ' '))) END AS grams FROM w),
+        e AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+        u AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+        r AS (SELECT doc_id, doc_id AS seen FROM s UNION SELECT r.doc_id, u.y FROM r JOIN u ON r.seen = u.x),
+        c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id{more} FROM s JOIN c USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": _components(5, 75),
+    "op11_minhash_near_dedup": _components(2, 80, ", doc_id = component_id AS kept"),
+    "op13_phrase_collocations": f"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM d),
+        g AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i : i + size - 1], ' '))) AS phrase FROM w, range(1, 4) AS z(size)),
+        f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM g GROUP BY lang, phrase),
+        t AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+        o AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+        k AS (SELECT o.lang, o.phrase, o.f AS a, i.k, l.f AS l, r.f AS r, CAST(o.f AS HUGEINT) * o.f * 1000000 // (CAST(l.f AS HUGEINT) * r.f) AS score
+              FROM o JOIN range(1, 3) AS i(k) ON i.k < o.size JOIN f l ON l.lang = o.lang AND l.phrase = array_to_string(o.ws[1 : i.k], ' ')
+                     JOIN f r ON r.lang = o.lang AND r.phrase = array_to_string(o.ws[i.k + 1 :], ' ')),
+        b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        x AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, f FROM o WHERE size = 3),
+        m AS (SELECT lang, phrase, max(f) AS longer FROM x GROUP BY lang, phrase),
+        q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase
+              WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT q.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000""",
     "op3_exact_dedup": f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), {_SPACES}, '') AS norm FROM documents),
         g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS n FROM t)

@@ -17,9 +17,9 @@ representative first.
   where the likelihood of the threshold itself is lower than that of the best estimate by a
   factor of e ** SLACK. Of what stays, each document's best few pairs are verified on full sets.
 * Once components are known, buckets that still hold several of them are joined again, across
-  components only, behind a coarse form of the same likelihood (one bit of each register, held
-  in a few numbers within the join condition), and what stays is estimated and verified alike.
-  No pair within one component is made there, so a group of copies costs no square.
+  components only, behind bounds within the join condition: a coarse form of the same likelihood
+  (one bit of each register, held in a few numbers), and how many shingles of each commonness
+  both have. What stays is estimated and verified alike. Copies of one component make no pairs.
 
 Shingles are compared by 64-bit hashes of words (see ``common.span_hashes``), not by text.
 
@@ -51,6 +51,7 @@ BASE, RATE = 1.2, 20.0  # step of the registers' scale, and rate of the exponent
 SLACK = 20.0
 LEADS, BEST = 4, 4  # of a bucket, and pairs with leads that a document is verified in
 COARSE = [f"coarse_{i}" for i in range(-(-REGISTERS // 64))]
+LEVELS = [f"level_{i}" for i in range(1, 10)]
 #: Bytes of text that are hashed together: their shingles stay in a core's cache.
 SKETCH_BYTES = 1 << 18
 MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -150,11 +151,18 @@ def postings(reps: DataFrame) -> DataFrame:
     return reps.select(F.explode(F.array(*map(band, range(BANDS)))).alias("bucket"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
 
 
-def shared_buckets(reps: DataFrame) -> DataFrame:
-    """bucket, leads (doc, n) of the buckets with more than one document."""
+def shared_postings(reps: DataFrame) -> DataFrame:
+    """The postings of buckets with more than one document, which are few. Buckets are only counted before that: all of
+    them are shuffled for it, in one number each."""
+    several = materialise(postings(reps).groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("bucket"), "shared-buckets")
+    return materialise(postings(reps).join(several, "bucket", "left_semi"), "shared-postings")
+
+
+def bucket_leads(listed: DataFrame) -> DataFrame:
+    """bucket, leads (doc, n)."""
     row = F.struct("doc", "n")
     orders = [F.min_by(row, F.xxhash64("doc", F.lit(i)) if i else F.col("doc")) for i in range(LEADS)]
-    return postings(reps).groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.array(*orders).alias("leads")).filter("lo < hi").select("bucket", F.array_distinct("leads").alias("leads"))
+    return materialise(listed.groupBy("bucket").agg(F.array_distinct(F.array(*orders)).alias("leads")), "leads")
 
 
 def star_pairs(listed: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
@@ -164,15 +172,39 @@ def star_pairs(listed: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     return each.distinct().select("doc", F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"))
 
 
-def cross_pairs(listed: DataFrame, reps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """a, b (a < b): pairs of one bucket that are in different components."""
+def mixed_postings(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, doc, component of buckets that hold several components."""
     named = listed.join(found, listed.doc == found.node, "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
     named = materialise(named, "bucket-components")
     mixed = materialise(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket"), "mixed-buckets")
-    left = materialise(named.join(mixed, "bucket", "left_semi").join(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *COARSE), "doc"), "mixed-postings")
-    right = left.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", *COARSE)))
+    return materialise(named.join(mixed, "bucket", "left_semi"), "mixed-postings")
+
+
+def common_shingles(sets: DataFrame) -> DataFrame:
+    """doc and LEVELS: how many shingles of a document occur in 2 or 3 of ``sets`` (doc, shingles), in 4 to 7, and so on; the
+    last level has no upper end. What only one document has is in none."""
+    each = sets.select("doc", F.explode("shingles").alias("shingle"))
+    counts = materialise(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "shingle-counts")
+    level = F.least(F.floor(F.log2("many")), F.lit(len(LEVELS)))
+    return each.join(counts, "shingle").select("doc", level.alias("level")).groupBy("doc").agg(*(F.count_if(F.col("level") == i).alias(c) for i, c in enumerate(LEVELS, 1)))
+
+
+def cross_pairs(mixed: DataFrame, reps: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """a, b (a < b): pairs of one bucket that are in different components.
+
+    A shingle that two documents share is as common for the one as for the other, so they share at most the smaller number
+    of each level, added up. A copy of a large group that is too far from the group's text for a link has too many
+    shingles that are rare, and so makes no pairs with the copies that are close to it.
+    """
+    sized = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *COARSE).join(common, "doc")
+    every = sum((F.col(c) for c in LEVELS), F.lit(0))
+    left = materialise(mixed.join(sized.filter(100 * every >= percent * F.col("n")), "doc"), "sized-postings")
+    right = left.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", *LEVELS, *COARSE)))
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in COARSE), F.lit(0))
-    met = left.join(right, "bucket").filter((F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & _similar_size(F.col("n"), F.col("n_b"), percent) & (differ <= coarse_bits(percent / 100)))
+    most = sum((F.least(c, f"{c}_b") for c in LEVELS), F.lit(0))
+    enough = (100 + percent) * most >= percent * (F.col("n") + F.col("n_b"))
+    apart = (F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b"))
+    met = left.join(right, "bucket").filter(apart & _similar_size(F.col("n"), F.col("n_b"), percent) & (differ <= coarse_bits(percent / 100)) & enough)
     return met.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
 
 
@@ -197,13 +229,11 @@ def _slot(c: Column, slot_bits: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(1 << slot_bits))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, slot_bits: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as alike as ``percent`` asks for.
-
-    Only documents of some pair send their sets: a bitmap of fixed size lets them through, and the join decides.
-    """
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, slot_bits: int) -> DataFrame:
+    """doc, shingles of the documents whose ids are in the only column of ``wanted``, and a few more: a bitmap of fixed size
+    lets them through, and joins decide."""
     spark = docs.sparkSession
-    involved = spark.sparkContext.broadcast(slot_bitmap(pairs.select(_slot(F.col("a"), slot_bits)).union(pairs.select(_slot(F.col("b"), slot_bits))), slot_bits))
+    involved = spark.sparkContext.broadcast(slot_bitmap(wanted.select(_slot(F.col(wanted.columns[0]), slot_bits)), slot_bits))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
@@ -216,8 +246,13 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, slot_bits:
         release()
 
     with_slot = docs.withColumn("slot", _slot(F.col("doc_id"), slot_bits))
-    sets = materialise(with_slot.mapInArrow(work, "doc long, shingles array<long>"), "pair-sets")
+    out = materialise(with_slot.mapInArrow(work, "doc long, shingles array<long>"), "sets")
     involved.destroy()
+    return out
+
+
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are as alike as ``percent`` asks for."""
     one = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s_a"))
     two = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("s_b"))
     counted = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("s_a").cast("long").alias("m_a"), F.size("s_b").cast("long").alias("m_b"), F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("n"))
@@ -236,18 +271,21 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, id_col: str
     reps = materialise(with_coarse(first), "representatives")
     slot_bits = min(MAX_SLOT_BITS, max(16, (32 * head.count()).bit_length()))
     known = thin.filter("doc_id is not null")
-    leads = materialise(shared_buckets(reps), "leads")
-    listed = materialise(postings(reps).join(leads.select("bucket"), "bucket", "left_semi"), "shared-postings")
-    stars = materialise(star_pairs(listed, leads, percent), "stars")
+    listed = shared_postings(reps)
+    stars = materialise(star_pairs(listed, bucket_leads(listed), percent), "stars")
     rated = likely(stars.select("a", "b").distinct(), reps, percent)
     place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("estimate"), "a", "b"))  # a document has at most BANDS * LEADS rows
     best = stars.join(rated, ["a", "b"]).withColumn("place", place).filter(F.col("place") <= BEST)
     tested = materialise(best.select("a", "b").distinct(), "best-pairs")
-    edges = materialise(verified(known, tested, k, percent, slot_bits), "links")
+    ends = tested.select(F.explode(F.array("a", "b")))
+    edges = materialise(verified(sets_of(known, ends, k, slot_bits), tested, percent), "links")
     found = components(edges)
-    further = materialise(likely(cross_pairs(listed, reps, found, percent).join(tested, ["a", "b"], "left_anti"), reps, percent).select("a", "b"), "further-pairs")
+    mixed = mixed_postings(listed, found)
+    sets = sets_of(known, mixed.select("doc"), k, slot_bits)
+    common = materialise(common_shingles(sets), "common-shingles")
+    further = materialise(likely(cross_pairs(mixed, reps, common, percent).join(tested, ["a", "b"], "left_anti"), reps, percent).select("a", "b"), "further-pairs")
     if not further.isEmpty():
-        edges = edges.unionByName(materialise(verified(known, further, k, percent, slot_bits), "further-links"))
+        edges = edges.unionByName(materialise(verified(sets, further, percent), "further-links"))
         found = components(edges)
     out = members.join(found, members.rep == found.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
