@@ -101,33 +101,32 @@ def node_panel(edges: DataFrame, identifier: str) -> DataFrame:
 
 def two_hop(edges: DataFrame, first: str, second: str) -> DataFrame:
     """start, finish, n_paths over two predicates in a row, with the best knowledge level of the first, by rank: levels
-    rank in the order of the vocabulary, and one outside it, or none, last."""
-    a = edges.filter(F.col("predicate") == first).select(F.col("subject").alias("start"), F.col("object").alias("middle"), F.col("knowledge_level").alias("level"))
-    b = edges.filter(F.col("predicate") == second).select(F.col("subject").alias("middle"), F.col("object").alias("finish"))
-    return a.join(b, "middle").groupBy("start", "finish").agg(F.count(F.lit(1)).alias("n_paths"), F.min_by("level", _rank("level")).alias("level"))
+    rank in the order of the vocabulary, and one outside it, or none, last. Steps are counted by their ends before they
+    meet, so a hot middle joins counts, not edges."""
+    hop = lambda predicate: edges.filter(F.col("predicate") == predicate)
+    a = hop(first).groupBy(F.col("subject").alias("start"), F.col("object").alias("middle")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(level_rank("knowledge_level").alias("rank"), "knowledge_level")).alias("best"))
+    b = hop(second).groupBy(F.col("subject").alias("middle"), F.col("object").alias("finish")).agg(F.count(F.lit(1)).alias("m"))
+    return a.join(b, "middle").groupBy("start", "finish").agg(F.sum(F.col("n") * F.col("m")).alias("n_paths"), F.min("best")["knowledge_level"].alias("level"))
 
 
-def _rank(level: str) -> Column:
+def level_rank(level: str) -> Column:
     """Place of a knowledge level in the vocabulary."""
     place = F.array_position(F.array(*map(F.lit, vocab.KNOWLEDGE_LEVELS)), F.col(level))
     return F.when(place > 0, place).otherwise(F.lit(len(vocab.KNOWLEDGE_LEVELS) + 1)).cast("long")
 
 
-def reachable(edges: DataFrame, start: str, max_hops: int = 6) -> DataFrame:
-    """identifier, hops: breadth first from one node along authored edges, a written frontier per hop."""
-    o = oriented(edges).select("source", "target").distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "identifier string, hops int")
-    frontier = seen
-    for hop in range(1, max_hops + 1):
-        step = o.join(frontier, o.source == frontier.identifier).select(F.col("target").alias("identifier")).distinct()
-        frontier = materialise(step.join(seen.select("identifier"), "identifier", "left_anti").withColumn("hops", F.lit(hop)), "frontier")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def edge_ordinals(edges: DataFrame) -> DataFrame:
-    """edge_ord within each subject, over all columns, so that the order is total."""
-    order = ["raw_predicate", "object", "primary_source", "knowledge_level", "agent_type", "direction", "ci_lower", "ci_upper", "p_value", "negated_flag"]
-    return edges.withColumn("edge_ord", F.row_number().over(Window.partitionBy("subject").orderBy(*[F.col(c).asc_nulls_first() for c in order])))
+    """edge_ord within each subject, over all columns, so that the order is total.
+
+    Edges are dealt out by ranges of that order, so that a hub's edges lie in several parts, and are written; each part
+    numbers its own, and what a subject has in earlier parts is added.
+    """
+    keys = ["raw_predicate", "object", "primary_source", "knowledge_level", "agent_type", "direction", "ci_lower", "ci_upper", "p_value", "negated_flag"]
+    order = [F.col(c).asc_nulls_first() for c in keys]
+    parts = materialise(edges.repartitionByRange("subject", *order).withColumn("_part", F.spark_partition_id()), "edge-parts")
+    sizes = parts.groupBy("subject", "_part").agg(F.count(F.lit(1)).alias("_n"))  # few rows for each subject: one for each part
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("subject").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = materialise(sizes.withColumn("_before", earlier).filter("_before > 0").select(F.col("subject").alias("_of"), F.col("_part").alias("_in"), "_before"), "earlier-edges")
+    numbered = parts.withColumn("_nth", F.row_number().over(Window.partitionBy("subject", "_part").orderBy(*order)))
+    out = numbered.join(before, (F.col("subject") == F.col("_of")) & (F.col("_part") == F.col("_in")), "left")
+    return out.withColumn("edge_ord", F.coalesce("_before", F.lit(0)) + F.col("_nth")).drop("_part", "_of", "_in", "_before", "_nth")

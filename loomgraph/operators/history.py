@@ -20,17 +20,19 @@ def as_of(history: DataFrame, key: str, until: str) -> DataFrame:
 def restore(history: DataFrame, key: str, until: str, commit: str = "restore", at: str | None = None) -> DataFrame:
     """Rows to append so that every key is again as it was: restoring only ever moves forward.
 
-    A key that has changed since gets its old values once more, as kind ``restore``; one that was born since gets none,
-    as kind ``remove``. All carry the commit and moment (now, if none is given) of the restore.
+    A key that has changed since gets its old values once more, as kind ``restore``; one that was born since, or that was
+    removed at that moment, gets none, as kind ``remove``, unless it is removed now. All carry the commit and moment (now,
+    if none is given) of the restore.
     """
     old = as_of(history, key, until)
     now = as_of(history, key, "9999-12-31")
     rest = [c for c in history.columns if c not in (key, "at", "commit", "kind")]
     changed = now.alias("n").join(old.alias("o"), key, "left").filter(~F.col("n.commit").eqNullSafe(F.col("o.commit")))
-    born = F.col("o.commit").isNull()
-    gone = F.when(born, "remove").otherwise("restore")
+    absent = F.col("o.commit").isNull() | (F.col("o.kind") == "remove")
+    kind = F.when(absent, "remove").otherwise("restore")
     moment = F.lit(at).cast("timestamp") if at else F.current_timestamp()
-    return changed.filter(~born | (F.col("n.kind") != "remove")).select(key, F.lit(commit).alias("commit"), moment.alias("at"), gone.alias("kind"), *[F.col(f"o.{c}").alias(c) for c in rest]).select(*history.columns)
+    values = [F.when(~absent, F.col(f"o.{c}")).alias(c) for c in rest]
+    return changed.filter(~absent | (F.col("n.kind") != "remove")).select(key, F.lit(commit).alias("commit"), moment.alias("at"), kind.alias("kind"), *values).select(*history.columns)
 
 
 def living(history: DataFrame, key: str, until: str) -> DataFrame:

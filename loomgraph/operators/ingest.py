@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import materialise
 
 #: What stands before a text that still waits to be rendered; knowledge bases may use another (a parameter).
 MARKER = "<!-- needs conversion -->"
@@ -113,18 +114,19 @@ def data_uri_figures(sources: DataFrame) -> DataFrame:
 def deduplicate(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """incoming: ord, sha256; existing: id, sha256. Adds existing_id, first_ord and action: reused, repeated or stored.
 
-    The first of equal content in a batch is a combined minimum per hash, so copies meet as one row.
+    The first of equal content in a batch is a combined minimum per hash, so copies meet as one row. What is known of a
+    hash is written before it is looked up, so that adaptive execution splits the rows of a hot one.
     """
     first = incoming.groupBy("sha256").agg(F.min("ord").alias("first_ord"))
     old = existing.groupBy("sha256").agg(F.min("id").alias("existing_id"))
-    known = first.join(old, "sha256", "left")
+    known = materialise(first.join(old, "sha256", "left"), "known")
     return incoming.join(known, "sha256").withColumn("action", F.when(F.col("existing_id").isNotNull(), "reused").when(F.col("ord") > F.col("first_ord"), "repeated").otherwise("stored"))
 
 
 def url_then_content(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """incoming: url, sha256; existing: id, url, sha256. reused_id by URL first, then by content."""
-    by_url = existing.filter("url is not null").groupBy("url").agg(F.min("id").alias("by_url"))
-    by_sha = existing.groupBy("sha256").agg(F.min("id").alias("by_sha"))
+    by_url = materialise(existing.filter("url is not null").groupBy("url").agg(F.min("id").alias("by_url")), "known-urls")
+    by_sha = materialise(existing.groupBy("sha256").agg(F.min("id").alias("by_sha")), "known-hashes")
     return incoming.join(by_url, "url", "left").join(by_sha, "sha256", "left").withColumn("reused_id", F.coalesce("by_url", "by_sha")).drop("by_url", "by_sha")
 
 

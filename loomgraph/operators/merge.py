@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def merge_raw(main: DataFrame, other: DataFrame) -> DataFrame:
     """main, other: id, sha256 -> id, final_id, action of every source of ``other``: dropped (same content), renamed or moved.
@@ -17,15 +21,25 @@ def merge_raw(main: DataFrame, other: DataFrame) -> DataFrame:
     clash = F.col("taken").isNotNull()
     renamed = placed.filter(F.col("same_id").isNull() & clash).select("id").distinct()
     ids = main.select("id").union(placed.filter(F.col("same_id").isNull() & ~clash).select("id"))
-    numbered = r"^([\s\S]*)-([2-9]|[1-9][0-9]{1,17})$"
-    used = ids.filter(F.col("id").rlike(numbered)).select(F.regexp_extract("id", numbered, 1).alias("id"), F.regexp_extract("id", numbered, 2).cast("long").alias("n")).join(renamed, "id", "left_semi").distinct()
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("n"))
-    free = used.withColumn("unbroken", F.col("n") == nth + 1).groupBy("id").agg((F.count_if("unbroken") + 2).alias("free"))
-    final = F.when(F.col("same_id").isNotNull(), F.col("same_id")).when(clash, F.concat_ws("-", "id", F.coalesce("free", F.lit(2)).cast("string"))).otherwise(F.col("id"))
+    free = free_names(renamed.select(F.col("id").alias("identifier")), ids.select(F.col("id").alias("identifier")), "-", "").select(F.col("identifier").alias("id"), "name")
+    final = F.when(F.col("same_id").isNotNull(), F.col("same_id")).when(clash, F.col("name")).otherwise(F.col("id"))
     action = F.when(F.col("same_id").isNotNull(), "dropped").when(clash, "renamed").otherwise("moved")
     return placed.join(free, "id", "left").select("id", final.alias("final_id"), action.alias("action"))
 
 
+def free_names(wanted: DataFrame, taken: DataFrame, before: str, after: str) -> DataFrame:
+    """identifier, name for every identifier of ``wanted``: it, ``before``, the smallest number from 2 with which no
+    identifier of ``taken`` ends so, and ``after``."""
+    wanted = wanted.select("identifier").distinct()
+    numbered = rf"^([\s\S]*){re.escape(before)}([2-9]|[1-9][0-9]{{1,17}}){re.escape(after)}$"
+    of = lambda group: F.regexp_extract("identifier", numbered, group)
+    used = taken.filter(F.col("identifier").rlike(numbered)).select(of(1).alias("identifier"), of(2).cast("long").alias("n")).join(wanted, "identifier", "left_semi").distinct()
+    # The first number k places on that is not k + 1 has a gap before it.
+    nth = F.row_number().over(Window.partitionBy("identifier").orderBy("n"))
+    free = used.withColumn("unbroken", F.col("n") == nth + 1).groupBy("identifier").agg((F.count_if("unbroken") + 2).alias("free"))
+    return wanted.join(free, "identifier", "left").select("identifier", F.concat("identifier", F.lit(before), F.coalesce("free", F.lit(2)).cast("string"), F.lit(after)).alias("name"))
+
+
 def rewrite_raw_source(nodes: DataFrame, id_map: DataFrame) -> DataFrame:
     """raw_source paths of nodes follow the id map (id, final_id)."""
     old = F.regexp_extract("raw_source", "^raw/([^/]+)/", 1)
@@ -34,9 +48,8 @@ def rewrite_raw_source(nodes: DataFrame, id_map: DataFrame) -> DataFrame:
 
 
 def snapshot(nodes: DataFrame) -> DataFrame:
-    """identifier, path; of rows that share an identifier the last in file order."""
-    order = F.col("file_ord") if "file_ord" in nodes.columns else F.col("path")
-    return nodes.groupBy("identifier").agg(F.max_by("path", order).alias("path"))
+    """identifier, path; of rows that share an identifier the last in file order, which follows from the paths as they are."""
+    return nodes.groupBy("identifier").agg(F.max_by("path", T.file_order(F.col("path"))).alias("path"))
 
 
 def write_snapshot(nodes: DataFrame, folder: str) -> None:
@@ -79,10 +92,12 @@ def unite_sources(main: DataFrame, other: DataFrame, matches: DataFrame) -> Data
     return joined.select(*(c for c in main.columns if c not in ("raw_sources", "xrefs")), both("raw_sources", "_raw"), both("xrefs", "_xrefs"))
 
 
-def renamed(main: DataFrame, other: DataFrame, matches: DataFrame, suffix: str = " (2)") -> DataFrame:
-    """old, new: identifiers of ``other`` that ``main`` uses for something else (no match), with the name they get."""
+def renamed(main: DataFrame, other: DataFrame, matches: DataFrame, before: str = " (", after: str = ")") -> DataFrame:
+    """old, new: identifiers of ``other`` that ``main`` uses for something else (no match), with the name they get: the
+    first number from 2 that gives one that neither base uses."""
     clash = other.select("identifier").distinct().join(main.select("identifier"), "identifier", "left_semi").join(matches.select(F.col("old").alias("identifier")), "identifier", "left_anti")
-    return clash.select(F.col("identifier").alias("old"), F.concat("identifier", F.lit(suffix)).alias("new"))
+    free = free_names(clash, main.select("identifier").union(other.select("identifier")), before, after)
+    return free.select(F.col("identifier").alias("old"), F.col("name").alias("new"))
 
 
 def harmonised(nodes: DataFrame) -> DataFrame:

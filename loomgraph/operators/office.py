@@ -117,27 +117,37 @@ def media(files: DataFrame) -> DataFrame:
 
 
 class _Markdown(html.parser.HTMLParser):
-    """Headings, paragraphs, emphasis, links, images, lists, quotes, code and tables."""
+    """Headings, paragraphs, emphasis, links, images, lists, quotes, code and tables.
 
+    What stands in HIDDEN elements is held apart until they end, and comes out after all if one of them never does. The
+    head needs no element of its own here: apart from HIDDEN ones, nothing in it has text.
+    """
+
+    HIDDEN = {"script", "style", "template", "title"}
     BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "ul", "ol", "table", "blockquote", "pre", "figure"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.hidden = self.verbatim = 0
+        self.hiding: list[tuple[str, int]] = []  # open hidden elements, and how much was held when they began
+        self.held: list[str] = []
+        self.verbatim = 0
         self.lists: list[int | None] = []
         self.links: list[str] = []
         self.row: list[str] | None = None
         self.headed = False
 
     def put(self, text: str) -> None:
-        if not self.hidden:
-            self.out.append(text)
+        (self.held if self.hiding else self.out).append(text)
+
+    def close(self) -> None:
+        super().close()
+        self.out += self.held
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
-        if tag in ("script", "style", "head", "template"):
-            self.hidden += 1
+        if tag in self.HIDDEN:
+            self.hiding.append((tag, len(self.held)))
         elif re.fullmatch("h[1-6]", tag):
             self.put("\n\n" + "#" * int(tag[1]) + " ")
         elif tag in self.BLOCKS:
@@ -169,8 +179,12 @@ class _Markdown(html.parser.HTMLParser):
             self.put("| " if len(self.row) == 1 else " | ")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style", "head", "template"):
-            self.hidden = max(0, self.hidden - 1)
+        if tag in self.HIDDEN:
+            while any(tag == open_tag for open_tag, _ in self.hiding):
+                open_tag, began = self.hiding.pop()
+                del self.held[began:]
+                if open_tag == tag:
+                    break
         elif re.fullmatch("h[1-6]", tag):
             self.put("\n\n")
         elif tag in self.BLOCKS:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import credibility, export, graph, history, ingest, lint, merge, normalise, search, stats
+from ..operators import credibility, export, graph, history, ingest, lint, matching, merge, normalise, paths, search, semantic, stats
 from ..sources import adapter, tables
 from . import oracle
 
@@ -125,6 +125,63 @@ def collapse(edges: DataFrame) -> DataFrame:
     return merge.collapse(edges, matches).groupBy("object", "primary_source").agg(n_rows())
 
 
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """From a node whose reach takes many hops."""
+    found = paths.shortest_paths(edges, edges.sparkSession.createDataFrame([("Order 7",)], "identifier string"))
+    return found.select("identifier", "hops", F.array_join("predicates", " > ").alias("predicates"), F.array_join("nodes", " > ").alias("nodes"))
+
+
+def three_hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Studies that treat a clinical part, with assertions only, whose supplier is somewhere."""
+    hops = [
+        paths.Hop(("treats", "not_treats"), ("Disease", "Phenotype", "MethodOrProcedure"), levels=("knowledge_assertion",), sourced=True),
+        paths.Hop(("reported_in",), ("Agent",)),
+        paths.Hop(("located_in",)),
+    ]
+    return paths.pattern(edges, hops, nodes, ("Study",))
+
+
+def similar_names(docs: DataFrame) -> DataFrame:
+    """The first two words of documents, those of even against those of odd number."""
+    words = F.slice(F.split(matching.name_key(F.col("text")), " "), 1, 2)
+    named = docs.select(F.col("doc_id").alias("identifier"), F.array_join(words, " ").alias("name"))
+    return matching.similar_names(named.filter("identifier % 2 = 0"), named.filter("identifier % 2 = 1"))
+
+
+def _merge_map(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The base of all but studies, that of studies and clinical nodes, and how the second merges onto the first: every
+    third clinical part is the part itself, and most of these also the third one after it, so that matches chain."""
+    main, other = nodes.filter("node_type <> 'Study'"), nodes.filter("family = 'clinical' or node_type = 'Study'")
+    k = F.regexp_extract("identifier", "^Part ([0-9]+)$", 1)
+    numbered = other.filter(k != "").select(F.col("identifier").alias("old"), k.cast("long").alias("k")).filter("k % 3 = 0")
+    new = F.explode(F.when(F.col("k") % 30 <= 21, F.array("k", F.col("k") + 3)).otherwise(F.array("k")))
+    return main, other, semantic.merge_map(main, other, numbered.select("old", new.alias("k")).select("old", F.concat(F.lit("Part "), F.col("k").cast("string")).alias("new")))
+
+
+def merge_nodes(nodes: DataFrame) -> DataFrame:
+    out = semantic.merged_nodes(*_merge_map(nodes), ["node_type", "subtype", "note", "description"])
+    return out.select("identifier", "node_type", "subtype", "note", "description", F.array_join("also_known", ",").alias("also_known"), F.array_join("origins", ",").alias("origins"), "path")
+
+
+def merge_conflicts(nodes: DataFrame) -> DataFrame:
+    return semantic.scalar_conflicts(*_merge_map(nodes), ["subtype", "description"])
+
+
+def _merged_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    studies = F.startswith(F.col("subject"), F.lit("Order "))
+    return semantic.merged_edges(edges.filter(~studies), edges.filter(studies), _merge_map(nodes)[2])
+
+
+def merge_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return _merged_edges(nodes, edges).groupBy("origin", "predicate", "object").agg(n_rows())
+
+
+def merge_contradictions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of what is said of an object by any subject of its first letter."""
+    found = semantic.contradictions(_merged_edges(nodes, edges).withColumn("subject", F.left("subject", F.lit(1))))
+    return found.select("subject", "predicate", "object", F.array_join("positive", ",").alias("positive"), F.array_join("negative", ",").alias("negative"))
+
+
 def knowledge_rank(edges: DataFrame) -> DataFrame:
     ranks = F.array(*map(F.lit, vocab.KNOWLEDGE_LEVELS))
     return edges.groupBy("knowledge_level").agg(n_rows()).withColumn("rank", F.coalesce(F.array_position(ranks, F.col("knowledge_level")), F.lit(0)).cast("long"))
@@ -237,7 +294,11 @@ QUERIES: dict[str, Query] = {
     "neighbors": _edges(lambda e: graph.neighbors(e, "Part 7")),
     "node_panel": _edges(lambda e: graph.node_panel(e, "Supplier 3")),
     "two_hop_pattern": _edges(lambda e: graph.two_hop(e, "located_in", "part_of")),
-    "reachability": _edges(lambda e: graph.reachable(e, "Customer 5", 4)),
+    "reachability": _edges(lambda e: paths.reachable(e, "Customer 5", 4)),
+    "reachability_unbounded": _edges(lambda e: paths.reachable(e, "Customer 5")),
+    "shortest_paths": _edges(shortest_paths),
+    "pattern_three_hops": _both(three_hops),
+    "similar_names": _table("documents", similar_names),
     "edge_ordinals": _edges(ordinals),
     "knowledge_rank": _edges(knowledge_rank),
     "tokenize": _table("documents", tokenize),
@@ -271,9 +332,15 @@ QUERIES: dict[str, Query] = {
     "snapshot_diff": _nodes(snapshot_diff),
     "carry_over": _nodes(carry_over),
     "collapse_references": _edges(collapse),
+    "merge_map": _nodes(lambda n: _merge_map(n)[2]),
+    "merge_nodes": _nodes(merge_nodes),
+    "merge_conflicts": _nodes(merge_conflicts),
+    "merge_edges": _both(merge_edges),
+    "merge_contradictions": _both(merge_contradictions),
     "log_newest": _history(lambda h: history.newest(h).select("commit", "kind", "summary")),
     "restore_asof": _history(lambda h: history.as_of(h, "user_id", "2024-01-15").select("user_id", "commit", "kind", "value")),
     "restore_forward": _history(_restored),
+    "restore_removed": _history(lambda h: _restored(h.withColumn("kind", F.when(F.col("kind") == "error", "remove").otherwise(F.col("kind"))))),
     "change_log_by_day": _history(history.by_day),
     "squash": _history(lambda h: history.squash(h, "kind")),
     "graph_json": _both(export.graph_json),

@@ -26,7 +26,7 @@ raw_nodes AS (
   UNION ALL SELECT CASE WHEN p_partkey % 101 = 0 THEN 'PT:' || p_partkey WHEN p_partkey % 103 = 0 THEN p_partkey || ' mg' WHEN p_partkey % 97 = 0 THEN 'Part ' || (p_partkey - 1) ELSE 'Part ' || p_partkey END,
     CASE WHEN p_partkey % 61 = 0 THEN 'Other' ELSE CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 'Molecule' WHEN 'SMALL' THEN 'Disease' WHEN 'LARGE' THEN 'Phenotype' WHEN 'MEDIUM' THEN 'Gene' WHEN 'STANDARD' THEN 'Procedure' ELSE 'Promotion' END END,
     p_brand, CASE WHEN p_partkey % 122 = 0 THEN p_name END, p_name, NULL, NULL, CASE WHEN p_partkey % 13 = 0 THEN 'knowledge/disease/' ELSE 'knowledge/part/' END || {_PAD.format("p_partkey")} FROM part),
-n0 AS (SELECT *, path || chr(9) || identifier AS file_ord, {_case("trim(raw_type)", vocab.TYPE_ALIASES, "trim(raw_type)")} AS node_type FROM raw_nodes),
+n0 AS (SELECT *, replace(path, '/', chr(1)) || chr(9) || identifier AS file_ord, {_case("trim(raw_type)", vocab.TYPE_ALIASES, "trim(raw_type)")} AS node_type FROM raw_nodes),
 n AS (SELECT *, node_type IN ({Q(vocab.NODE_TYPES)}) AS type_valid, node_type IN ({Q(vocab.PROVENANCE_TYPES)}) AS is_provenance, {_case("node_type", _FAMILY, "'unknown'")} AS family FROM n0)"""
 
 _Q = "(CAST(l_quantity AS BIGINT) % {})"
@@ -255,9 +255,12 @@ SQL: dict[str, str] = {
     "primary_doc": "SELECT source AS folder, doc_id AS ord, n_chars AS length FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents) WHERE r = 1",
     "combined_concat": "SELECT conv_id AS batch, string_agg('# ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown, bool_or(role = 'system') AS needs_llm FROM conversations GROUP BY conv_id",
     "merge_raw": f"""WITH {SOURCES}, main AS (SELECT DISTINCT id, sha256 FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'doc-' || (doc_id + 1) || '-2' ELSE 'doc-' || (doc_id + 1) END AS id, sha256 FROM src WHERE doc_id % 2 = 0)), other AS (SELECT id, sha256 FROM src WHERE doc_id % 2 = 1),
-      b AS (SELECT sha256, max(id) AS same_id FROM main GROUP BY sha256)
-      SELECT o.id, CASE WHEN same_id IS NOT NULL THEN same_id WHEN o.id IN (SELECT id FROM main) THEN o.id || CASE WHEN o.id || '-2' IN (SELECT id FROM main) THEN '-3' ELSE '-2' END ELSE o.id END AS final_id,
-        CASE WHEN same_id IS NOT NULL THEN 'dropped' WHEN o.id IN (SELECT id FROM main) THEN 'renamed' ELSE 'moved' END AS action FROM other o LEFT JOIN b USING (sha256)""",
+      b AS (SELECT sha256, max(id) AS same_id FROM main GROUP BY sha256),
+      p AS (SELECT o.id, same_id, CASE WHEN same_id IS NOT NULL THEN 'dropped' WHEN o.id IN (SELECT id FROM main) THEN 'renamed' ELSE 'moved' END AS action FROM other o LEFT JOIN b USING (sha256)),
+      taken AS (SELECT regexp_extract(id, '^(.*)-[0-9]+$', 1) AS id, CAST(regexp_extract(id, '-([0-9]+)$', 1) AS BIGINT) AS n FROM (SELECT id FROM main UNION SELECT id FROM p WHERE action = 'moved') WHERE regexp_full_match(id, '.*-[0-9]+')),
+      tried AS (SELECT id, 2 AS n FROM p WHERE action = 'renamed' UNION SELECT id, n + 1 FROM taken WHERE n >= 2),
+      free AS (SELECT id, min(n) AS n FROM tried t WHERE NOT EXISTS (SELECT 1 FROM taken x WHERE x.id = t.id AND x.n = t.n) GROUP BY id)
+      SELECT p.id, CASE action WHEN 'dropped' THEN same_id WHEN 'renamed' THEN p.id || '-' || free.n ELSE p.id END AS final_id, action FROM p LEFT JOIN free ON free.id = p.id""",
     "snapshot_diff": nodes_sql("""SELECT identifier, CASE WHEN p2 IS NULL THEN 'removed' ELSE 'moved' END AS issue FROM (SELECT identifier, max(path) AS path FROM n GROUP BY identifier) a LEFT JOIN
       (SELECT identifier, max(CASE WHEN node_type = 'Gene' THEN 'moved/' || path ELSE path END) AS p2 FROM n WHERE node_type <> 'Disease' GROUP BY identifier) b USING (identifier) WHERE p2 IS NULL OR p2 <> path"""),
     "carry_over": nodes_sql("SELECT identifier, 'main' AS base FROM n WHERE family = 'clinical' UNION ALL SELECT identifier, 'other' FROM n WHERE node_type <> 'Study' AND identifier NOT IN (SELECT identifier FROM n WHERE family = 'clinical')"),
@@ -282,6 +285,9 @@ SQL: dict[str, str] = {
       SELECT ord, CASE WHEN image AND has_doc THEN 'figure' WHEN image THEN 'image' WHEN nth = 1 THEN 'primary' ELSE 'document' END AS role FROM r""",
     "restore_forward": f"""WITH {HISTORY}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment DESC, commit DESC) AS k FROM h WHERE moment <= TIMESTAMP '2024-01-15 00:00:00'), w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment DESC, commit DESC) AS k FROM h)
       SELECT w.user_id, 'back' AS commit, CASE WHEN o.commit IS NULL THEN 'remove' ELSE 'restore' END AS kind, o.value, o.summary FROM w LEFT JOIN o ON o.user_id = w.user_id AND o.k = 1 WHERE w.k = 1 AND w.commit IS DISTINCT FROM o.commit""",
+    "restore_removed": f"""WITH {HISTORY}, v AS (SELECT * REPLACE (CASE kind WHEN 'error' THEN 'remove' ELSE kind END AS kind) FROM h), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment DESC, commit DESC) AS k FROM v WHERE moment <= TIMESTAMP '2024-01-15 00:00:00'), w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment DESC, commit DESC) AS k FROM v),
+      b AS (SELECT w.user_id, w.kind AS now, o.commit IS NULL OR o.kind = 'remove' AS absent, o.value, o.summary FROM w LEFT JOIN o ON o.user_id = w.user_id AND o.k = 1 WHERE w.k = 1 AND w.commit IS DISTINCT FROM o.commit)
+      SELECT user_id, 'back' AS commit, CASE WHEN absent THEN 'remove' ELSE 'restore' END AS kind, CASE WHEN NOT absent THEN value END AS value, CASE WHEN NOT absent THEN summary END AS summary FROM b WHERE NOT (absent AND now = 'remove')""",
     "harmonised_subtypes": nodes_sql("""SELECT node_type, CASE WHEN subtype IS NOT NULL THEN best END AS subtype, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, first_value(subtype) OVER (PARTITION BY node_type, lower(regexp_replace(subtype, '[^A-Za-z0-9]', '', 'g')) ORDER BY many DESC, subtype) AS best FROM (SELECT *, count(*) OVER (PARTITION BY node_type, subtype) AS many FROM n)) GROUP BY ALL"""),
     "index_rows": nodes_sql("""SELECT 1 AS section, identifier || chr(9) || file_ord AS ord, '| ' || replace(identifier, '|', '\\|') || ' | ' || node_type || ' | ' || replace(coalesce(subtype, ''), '|', '\\|') || ' | ' || trim(substr(translate(coalesce(description, note, ''), chr(10) || '|', '  '), 1, 80)) || ' |' AS line FROM n
       UNION ALL SELECT 2, node_type, '- **' || node_type || '** (' || count(*) || '): ' || string_agg(identifier, ', ' ORDER BY identifier) FROM n GROUP BY node_type
@@ -291,3 +297,54 @@ SQL: dict[str, str] = {
 }
 SQL["reachability"] = f"""WITH RECURSIVE {EDGES}, o AS (SELECT DISTINCT CASE WHEN reversed THEN object ELSE subject END AS s, CASE WHEN reversed THEN subject ELSE object END AS t FROM e),
   r AS (SELECT 'Customer 5' AS identifier, 0 AS hops UNION SELECT o.t, r.hops + 1 FROM r JOIN o ON o.s = r.identifier WHERE r.hops < 4) SELECT identifier, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY identifier"""
+
+#: Distances from a node over links o (s, t), without a bound.
+_DISTANCES = """o AS (SELECT DISTINCT CASE WHEN reversed THEN object ELSE subject END AS s, CASE WHEN reversed THEN subject ELSE object END AS t, predicate FROM e),
+  r(identifier, hops) USING KEY (identifier) AS (SELECT '{start}', 0 UNION SELECT o.t, min(r.hops + 1) FROM r JOIN o ON o.s = r.identifier LEFT JOIN recurring.r q ON q.identifier = o.t WHERE q.identifier IS NULL GROUP BY o.t)"""
+SQL["reachability_unbounded"] = f"WITH RECURSIVE {EDGES}, {_DISTANCES.format(start='Customer 5')} SELECT identifier, CAST(hops AS INTEGER) AS hops FROM r"
+SQL["shortest_paths"] = f"""WITH RECURSIVE {EDGES}, {_DISTANCES.format(start="Order 7")},
+  p AS (SELECT b.identifier, b.hops, a.identifier AS parent, o.predicate, row_number() OVER (PARTITION BY b.identifier ORDER BY a.identifier, o.predicate) AS nth FROM o JOIN r a ON a.identifier = o.s JOIN r b ON b.identifier = o.t AND b.hops = a.hops + 1),
+  w AS (SELECT 'Order 7' AS identifier, 0 AS hops, '' AS predicates, 'Order 7' AS nodes UNION ALL SELECT p.identifier, p.hops, w.predicates || CASE WHEN p.hops > 1 THEN ' > ' ELSE '' END || p.predicate, w.nodes || ' > ' || p.identifier FROM w JOIN p ON p.parent = w.identifier AND p.nth = 1)
+  SELECT identifier, CAST(hops AS BIGINT) AS hops, predicates, nodes FROM w"""
+_rank_of = "CASE {} " + " ".join(f"WHEN '{k}' THEN {i + 1}" for i, k in enumerate(vocab.KNOWLEDGE_LEVELS)) + f" ELSE {len(vocab.KNOWLEDGE_LEVELS) + 1} END"
+SQL["pattern_three_hops"] = both_sql(
+    f"""SELECT start, finish, CAST(count(*) AS BIGINT) AS n_paths, [{Q(vocab.KNOWLEDGE_LEVELS)}][min(rank)] AS level FROM (
+  SELECT a.s AS start, c.t AS finish, greatest({", ".join(_rank_of.format(f"{x}.knowledge_level") for x in "abc")}) AS rank
+  FROM d a JOIN d b ON b.s = a.t JOIN d c ON c.s = b.t JOIN types ta ON ta.identifier = a.s JOIN types tb ON tb.identifier = a.t JOIN types tc ON tc.identifier = b.t
+  WHERE a.predicate IN ('treats', 'not_treats') AND a.knowledge_level = 'knowledge_assertion' AND a.{_named} AND ta.node_type = 'Study' AND tb.node_type IN ('Disease', 'Phenotype', 'MethodOrProcedure')
+    AND b.predicate = 'reported_in' AND tc.node_type = 'Agent' AND c.predicate = 'located_in') GROUP BY start, finish""".replace("a.primary_source IS NOT NULL AND primary_source", "a.primary_source IS NOT NULL AND a.primary_source"),
+    TYPES,
+    "d AS (SELECT CASE WHEN reversed THEN object ELSE subject END AS s, CASE WHEN reversed THEN subject ELSE object END AS t, predicate, knowledge_level, primary_source FROM e)",
+)
+#: Letters past ASCII as capitals, which keys lack: the engine counts edits in bytes.
+_single = "translate({}, 'àâäçéèêëîïôöùûüñßáíóúœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+SQL["similar_names"] = """WITH k AS (SELECT doc_id, array_to_string(string_split(trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')), ' ')[1:2], ' ') AS key FROM documents WHERE text IS NOT NULL),
+  a AS (SELECT key, CAST(count(*) AS BIGINT) AS n FROM k WHERE doc_id % 2 = 0 AND key <> '' GROUP BY key), b AS (SELECT key, CAST(count(*) AS BIGINT) AS n FROM k WHERE doc_id % 2 = 1 AND key <> '' GROUP BY key),
+  c AS (SELECT a.key AS main_key, b.key AS other_key, a.n AS n_main, b.n AS n_other, {distance} AS distance FROM a JOIN b ON a.key <> b.key AND abs(length(a.key) - length(b.key)) <= 2)
+  SELECT main_key, other_key, CAST(distance AS INTEGER) AS distance, n_main, n_other FROM c WHERE distance <= 2""".replace("{distance}", f"levenshtein({_single.format('a.key')}, {_single.format('b.key')})")
+
+MERGE = f"""{NODES},
+mn AS (SELECT * FROM n WHERE node_type <> 'Study'), ot0 AS (SELECT * FROM n WHERE family = 'clinical' OR node_type = 'Study'),
+mt AS (SELECT identifier, arg_min(node_type, file_ord) AS t FROM mn GROUP BY identifier), ot AS (SELECT identifier, arg_min(node_type, file_ord) AS t FROM ot0 GROUP BY identifier),
+k AS (SELECT identifier, CAST(regexp_extract(identifier, '^Part ([0-9]+)$', 1) AS BIGINT) AS k FROM ot WHERE regexp_full_match(identifier, 'Part [0-9]+')),
+matched AS (SELECT identifier AS old, 'Part ' || (k + d) AS new FROM k, (VALUES (0), (3)) v(d) WHERE k % 3 = 0 AND (d = 0 OR k % 30 <= 21)),
+typed AS (SELECT DISTINCT 'a' || new AS a, 'b' || old AS b FROM matched JOIN mt ON mt.identifier = new JOIN ot ON ot.identifier = old WHERE mt.t = ot.t),
+ways AS (SELECT a, b FROM typed UNION ALL SELECT b, a FROM typed),
+reach AS (SELECT a AS node, a AS seen FROM ways UNION SELECT r.node, w.b FROM reach r JOIN ways w ON w.a = r.seen),
+comp AS (SELECT node, substr(min(seen), 2) AS final FROM reach GROUP BY node),
+mm AS (SELECT 'main' AS origin, identifier, coalesce(final, identifier) AS final, CASE WHEN final <> identifier THEN 'collapsed' ELSE 'kept' END AS action FROM mt LEFT JOIN comp ON node = 'a' || identifier
+  UNION ALL SELECT 'other', identifier, coalesce(final, CASE WHEN identifier IN (SELECT identifier FROM mt) THEN identifier || ' (2)' ELSE identifier END), CASE WHEN final IS NOT NULL THEN 'collapsed' WHEN identifier IN (SELECT identifier FROM mt) THEN 'renamed' ELSE 'carried' END
+  FROM ot LEFT JOIN comp ON node = 'b' || identifier),
+mboth AS (SELECT u.*, mm.final FROM (SELECT 'main' AS origin, * FROM mn UNION ALL SELECT 'other', * FROM ot0) u JOIN mm ON mm.origin = u.origin AND mm.identifier = u.identifier)"""
+_order = "(identifier <> final, origin, file_ord)"
+_first = lambda c: f"arg_min({c}, {_order}) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+SQL["merge_map"] = f"WITH RECURSIVE {MERGE} SELECT * FROM mm"
+SQL["merge_nodes"] = f"""WITH RECURSIVE {MERGE} SELECT final AS identifier, {", ".join(map(_first, ["node_type", "subtype", "note", "description"]))}, coalesce(string_agg(DISTINCT identifier, ',' ORDER BY identifier) FILTER (WHERE identifier <> final), '') AS also_known,
+  string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, arg_min(path, {_order}) AS path FROM mboth GROUP BY final"""
+SQL["merge_conflicts"] = f"""WITH RECURSIVE {MERGE}, v AS (SELECT DISTINCT final, origin, identifier, 'subtype' AS field, subtype AS value FROM mboth WHERE subtype IS NOT NULL UNION SELECT DISTINCT final, origin, identifier, 'description', description FROM mboth WHERE description IS NOT NULL)
+  SELECT final AS identifier, field, value, origin, identifier AS source FROM v WHERE (final, field) IN (SELECT (final, field) FROM v GROUP BY final, field HAVING count(DISTINCT value) > 1)"""
+_MERGED = f"""{MERGE}, {EDGES}, me AS (SELECT x.origin, coalesce(s.final, x.subject) AS subject, x.predicate, x.base, x.negative, coalesce(o.final, x.object) AS object FROM (SELECT CASE WHEN starts_with(subject, 'Order ') THEN 'other' ELSE 'main' END AS origin, * FROM e) x
+  LEFT JOIN mm s ON s.origin = x.origin AND s.identifier = x.subject LEFT JOIN mm o ON o.origin = x.origin AND o.identifier = x.object)"""
+SQL["merge_edges"] = f"WITH RECURSIVE {_MERGED} SELECT origin, predicate, object, CAST(count(*) AS BIGINT) AS n FROM me GROUP BY ALL"
+_said = lambda negative, name: f"string_agg(DISTINCT origin, ',' ORDER BY origin) FILTER (WHERE {negative}) AS {name}"
+SQL["merge_contradictions"] = f"WITH RECURSIVE {_MERGED} SELECT substr(subject, 1, 1) AS subject, base AS predicate, object, {_said('NOT negative', 'positive')}, {_said('negative', 'negative')} FROM me GROUP BY substr(subject, 1, 1), base, object HAVING bool_or(negative) AND bool_or(NOT negative)"

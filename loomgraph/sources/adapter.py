@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .tables import spread
 
 NODE_COLUMNS = ["identifier", "raw_type", "subtype", "note", "description", "xref", "raw_source", "path"]
@@ -87,7 +88,7 @@ def raw_files(sources_df: DataFrame) -> DataFrame:
 
 def file_order(df: DataFrame) -> DataFrame:
     """Rows with file_ord: order by path (then identifier) as one comparable string, without a global sort."""
-    return df.withColumn("file_ord", F.concat_ws("\t", "path", "identifier"))
+    return df.withColumn("file_ord", F.concat_ws("\t", T.file_order(F.col("path")), "identifier"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

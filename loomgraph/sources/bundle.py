@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 RESERVED = ["index.md", "log.md", "SCHEMA.md", "README.md"]
 NODE_KEYS = ["type", "identifier", "title", "id", "subtype", "class_basis", "method", "synonyms", "xref", "tags", "raw_source", "in_taxon", "note", "description", "timestamp", "edges", "provided_by", "kind"]
 EDGE_SCHEMA = "array<struct<predicate:string,object:string,knowledge_level:string,agent_type:string,primary_source:string,direction:string,note:string,negated:boolean,publications:array<string>,qualifiers:map<string,string>,stats:map<string,string>>>"
@@ -174,15 +176,10 @@ def nodes(rows: DataFrame) -> DataFrame:
         "extra",
         "body",
         "path",
-        file_order(F.col("path")).alias("file_ord"),
+        T.file_order(F.col("path")).alias("file_ord"),
     )
 
 
-def file_order(path: Column) -> Column:
-    """Folders before what follows them: component by component, as one comparable string."""
-    return F.replace(path, F.lit("/"), F.lit("\x01"))
-
-
 def edges(rows: DataFrame) -> DataFrame:
     """Raw edges in document order, with the synthetic ones for provided_by after them."""
     subject = F.coalesce(*(F.try_element_at("meta", F.lit(k)) for k in ("identifier", "title", "id")))
