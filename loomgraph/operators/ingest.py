@@ -94,7 +94,7 @@ def figures_apart(sources: DataFrame) -> DataFrame:
     return rows.withColumn("found", found).withColumn("body", F.concat(F.array_join(shown, ""), F.element_at("_gaps", -1))).drop("_images", "_gaps")
 
 
-def figures_written(sources: DataFrame, start: int = 0) -> DataFrame:
+def figures_written(sources: DataFrame, start: int | Column = 0) -> DataFrame:
     """body and found (ext, bytes, origin) -> figures: array of (file, provisional, described, origin), numbered on from
     ``start``; a figure that the body does not name yet is shown at its end."""
     named = F.transform("found", lambda x, i: F.struct(_figure_name(i + 1 + start, F.lower(x["ext"])).alias("name"), x["origin"].alias("origin")))

@@ -143,13 +143,13 @@ def objects_resolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(types, "object", "left")
 
 
-def references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def references(nodes: DataFrame, edges: DataFrame, roles: tuple[str, ...] = ("object", "source")) -> DataFrame:
     """subject, predicate, base, role (object or source), identifier, node_type, is_provenance: what edges point to, in one
     join. Both of the last are null where no node bears the identifier."""
     types = materialise(node_types(nodes), "node-types").withColumnsRenamed({"identifier": "named"})
     named = F.expr("primary_source is not null and primary_source <> 'not_provided'")
-    to = F.array(F.struct(F.lit("object").alias("role"), F.col("object").alias("identifier")), F.when(named, F.struct(F.lit("source").alias("role"), F.col("primary_source").alias("identifier"))))
-    each = edges.select("subject", "predicate", "base", F.explode(to).alias("to")).filter("to is not null").select("subject", "predicate", "base", "to.role", "to.identifier")
+    to = {"object": F.struct(F.lit("object").alias("role"), F.col("object").alias("identifier")), "source": F.when(named, F.struct(F.lit("source").alias("role"), F.col("primary_source").alias("identifier")))}
+    each = edges.select("subject", "predicate", "base", F.explode(F.array(*(to[r] for r in roles))).alias("to")).filter("to is not null").select("subject", "predicate", "base", "to.role", "to.identifier")
     return each.join(types, each.identifier == types.named, "left")
 
 
@@ -178,7 +178,10 @@ def _of_edges(name: str) -> Rule:
 
 
 def _of_references(name: str) -> Rule:
-    return lambda nodes, edges: _only(references(nodes, edges), reference_rows()[name], "subject")
+    """By itself, a rule makes references of its own kind only, and ranges concern few predicates."""
+    roles = ("object",) if name in ("edge.object_unresolved", "edge.range") else ("source",)
+    mine = lambda edges: edges.filter(F.col("base").isin(list(vocab.RANGES))) if name == "edge.range" else edges
+    return lambda nodes, edges: _only(references(nodes, mine(edges), roles), reference_rows()[name], "subject")
 
 
 def _only(df: DataFrame, rule: tuple[Column, Column], subject: str) -> DataFrame:

@@ -141,6 +141,9 @@ class _Markdown(html.parser.HTMLParser):
         (self.held if self.hiding else self.out).append(text)
 
     def close(self) -> None:
+        if self.cdata_elem:  # a script or style that never ends
+            self.handle_data(self.rawdata)
+            self.rawdata = ""
         super().close()
         self.out += self.held
 

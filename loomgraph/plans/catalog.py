@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import credibility, export, graph, history, ingest, lint, matching, merge, normalise, paths, search, semantic, stats
+from ..operators import credibility, export, graph, history, ingest, lint, matching, merge, normalise, paths, relint, search, semantic, stats, trees, versions
 from ..sources import adapter, tables
 from . import oracle
 
@@ -115,6 +115,19 @@ def snapshot_diff(nodes: DataFrame) -> DataFrame:
     return merge.verify_snapshot(merge.snapshot(nodes), changed)
 
 
+def tree_diff(nodes: DataFrame) -> DataFrame:
+    """Genes move, phenotypes get new names, diseases go, procedures change."""
+    spark, kind = nodes.sparkSession, F.col("node_type")
+    sha = F.sha2(F.concat_ws("|", "node_type", F.coalesce("subtype", F.lit("")), F.coalesce("description", F.lit("")), F.when(F.col("subtype").isNull(), F.col("path")).otherwise("")), 256)
+    before = nodes.withColumn("sha256", sha).select("path", "identifier", "sha256", "node_type")
+    prefixed = lambda c, kinds: F.coalesce(*(F.when(kind == k, F.concat(F.lit(p), c)) for k, p in kinds.items()), F.col(c)).alias(c)
+    after = before.filter(kind != "Disease").select(prefixed("path", {"Gene": "moved/", "Phenotype": "renamed/"}), prefixed("identifier", {"Phenotype": "New "}), prefixed("sha256", {"MethodOrProcedure": "other "}))
+    roots = [tables.scratch(spark, name) for name in ("tree-before", "tree-after")]
+    for df, root in zip((before, after), roots, strict=True):
+        trees.write_tree(df, root)
+    return trees.tree_diff(spark, *roots)
+
+
 def carry_over(nodes: DataFrame) -> DataFrame:
     main = nodes.filter("family = 'clinical'").select("identifier", F.lit("main").alias("base"))
     return merge.carry_over(main, nodes.filter("node_type <> 'Study'").select("identifier", F.lit("other").alias("base")))
@@ -197,6 +210,38 @@ def lint_all(spark: SparkSession, d: str) -> DataFrame:
     return _lint(spark, d).groupBy("severity", "rule").agg(n_rows())
 
 
+def lint_incremental(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Findings after two edits: agents and what they say come to a base without them, and its fifth part of studies goes."""
+    late, leaving = F.col("node_type") == "Agent", F.col("identifier").rlike("^Order [0-9]*[05]$")
+    says, left = F.startswith("subject", F.lit("Supplier ")), F.col("subject").rlike("^Order [0-9]*[05]$")
+    n0, e0 = nodes.filter(~late), edges.filter(~says)
+    n1, e1 = nodes, edges
+    n2, e2 = nodes.filter(~leaving), edges.filter(~left)
+    found = relint.findings(n0, e0)
+    found = relint.updated(found, n1, e1, relint.Change(nodes.limit(0), edges.limit(0), nodes.filter(late), edges.filter(says)))
+    found = relint.updated(found, n2, e2, relint.Change(nodes.filter(leaving), edges.filter(left), nodes.limit(0), edges.limit(0)))
+    return found.groupBy("severity", "rule").agg(n_rows(), F.min("subject").alias("first_subject"), F.max(F.concat_ws(" ", "subject", "detail")).alias("last_finding"))
+
+
+def _versions(spark: SparkSession, d: str) -> versions.VersionedTable:
+    """The change log in versions: its first half, all of it in two writes, errors left out, and all of it again."""
+    h = adapter.history(spark, d).select("commit", "kind", "user_id", "value", "at")
+    early = F.col("at") <= F.lit("2024-01-15").cast("timestamp")
+    table = versions.VersionedTable(spark, tables.scratch(spark, "versions"))
+    table.commit(h.filter(early), "ingest", "first half")
+    staged = table.begin()
+    staged.append(h.filter(~early & (F.col("kind") == "error")))
+    staged.append(h.filter(~early & (F.col("kind") != "error")))
+    staged.commit("edit", "second half")
+    table.commit(h, "edit", "the same")
+    table.commit(h.filter("kind <> 'error'"), "edit", "no errors")
+    lost = table.begin()
+    lost.append(h.filter(early))
+    lost.abort()
+    table.restore(2)
+    return table
+
+
 def url_extensions(df: DataFrame) -> DataFrame:
     kind = F.when(F.col("page_id") % 3 == 0, "application/json").when(F.col("page_id") % 3 == 1, "text/plain").otherwise("")
     return df.select("page_id", T.url_extension(F.col("url"), kind, F.left("html", F.lit(256))).alias("ext"))
@@ -330,6 +375,7 @@ QUERIES: dict[str, Query] = {
     "folder_groups": _table("documents", _members),
     "merge_raw": merge_raw,
     "snapshot_diff": _nodes(snapshot_diff),
+    "tree_diff": _nodes(tree_diff),
     "carry_over": _nodes(carry_over),
     "collapse_references": _edges(collapse),
     "merge_map": _nodes(lambda n: _merge_map(n)[2]),
@@ -342,6 +388,8 @@ QUERIES: dict[str, Query] = {
     "restore_forward": _history(_restored),
     "restore_removed": _history(lambda h: _restored(h.withColumn("kind", F.when(F.col("kind") == "error", "remove").otherwise(F.col("kind"))))),
     "change_log_by_day": _history(history.by_day),
+    "version_log": lambda spark, d: _versions(spark, d).log().select("version", "parent", "kind", "summary", "added", "removed"),
+    "version_restored": lambda spark, d: _versions(spark, d).read().groupBy("kind").agg(n_rows(), F.max("value").alias("largest")),
     "squash": _history(lambda h: history.squash(h, "kind")),
     "graph_json": _both(export.graph_json),
     "index_rows": _nodes(export.index_rows),
@@ -349,6 +397,7 @@ QUERIES: dict[str, Query] = {
     "validate": _both(lint.validate),
     "lint_summary": lambda spark, d: lint.verify(_lint(spark, d)),
     "lint_all": lint_all,
+    "lint_incremental": _both(lint_incremental),
     "lint_source_not_scholarly": lambda spark, d: lint.source_not_scholarly(N(spark, d), E(spark, d), adapter.sources(spark, d)),
     "lint_source_retracted": lambda spark, d: lint.source_retracted(N(spark, d), E(spark, d), adapter.sources(spark, d)),
     "lint_source_raw_missing_file": lambda spark, d: lint.raw_missing(N(spark, d), adapter.raw_files(adapter.sources(spark, d))),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import vocab
 from ..functions import text as T
+from ..operators.lint import SEVERITY
 
 Q = lambda values: ", ".join(f"'{v}'" for v in values)
 
@@ -348,3 +349,28 @@ _MERGED = f"""{MERGE}, {EDGES}, me AS (SELECT x.origin, coalesce(s.final, x.subj
 SQL["merge_edges"] = f"WITH RECURSIVE {_MERGED} SELECT origin, predicate, object, CAST(count(*) AS BIGINT) AS n FROM me GROUP BY ALL"
 _said = lambda negative, name: f"string_agg(DISTINCT origin, ',' ORDER BY origin) FILTER (WHERE {negative}) AS {name}"
 SQL["merge_contradictions"] = f"WITH RECURSIVE {_MERGED} SELECT substr(subject, 1, 1) AS subject, base AS predicate, object, {_said('NOT negative', 'positive')}, {_said('negative', 'negative')} FROM me GROUP BY substr(subject, 1, 1), base, object HAVING bool_or(negative) AND bool_or(NOT negative)"
+_early = "moment <= TIMESTAMP '2024-01-15 00:00:00'"
+SQL["version_log"] = f"""WITH {HISTORY} SELECT CAST(version AS BIGINT) AS version, CAST(version - 1 AS BIGINT) AS parent, kind, summary, CAST(added AS BIGINT) AS added, CAST(removed AS BIGINT) AS removed FROM (
+  SELECT 1 AS version, 'ingest' AS kind, 'first half' AS summary, count(*) AS added, 0 AS removed FROM h WHERE {_early} UNION ALL SELECT 2, 'edit', 'second half', count(*), 0 FROM h WHERE NOT {_early}
+  UNION ALL SELECT 3, 'edit', 'no errors', 0, count(*) FROM h WHERE kind = 'error' UNION ALL SELECT 4, 'restore', 'version 2', NULL, NULL)"""
+SQL["version_restored"] = f"WITH {HISTORY} SELECT kind, CAST(count(*) AS BIGINT) AS n, max(value) AS largest FROM h GROUP BY kind"
+
+
+def _after_edits(sql: str) -> str:
+    """A rule's SQL over the base without every fifth study, and what it says."""
+    gone = "regexp_full_match({}, 'Order [0-9]*[05]')"
+    kept = sql.replace("FROM raw_nodes)", f"FROM raw_nodes WHERE NOT {gone.format('identifier')})").replace("FROM raw_edges)", f"FROM raw_edges WHERE NOT {gone.format('subject')})")
+    assert kept != sql
+    return kept
+
+
+SQL["lint_incremental"] = "SELECT severity, rule, CAST(count(*) AS BIGINT) AS n, min(subject) AS first_subject, max(concat_ws(' ', subject, detail)) AS last_finding FROM (" + " UNION ALL ".join(
+    f"SELECT '{SEVERITY[name]}' AS severity, '{name}' AS rule, subject, CAST(detail AS VARCHAR) AS detail FROM ({_after_edits(sql)})" for name, sql in LINT.items()
+) + ") GROUP BY severity, rule"
+SQL["tree_diff"] = nodes_sql(""", b AS (SELECT path, identifier, sha256(concat_ws('|', node_type, coalesce(subtype, ''), coalesce(description, ''), CASE WHEN subtype IS NULL THEN path ELSE '' END)) AS sha, node_type FROM n),
+  a AS (SELECT CASE node_type WHEN 'Gene' THEN 'moved/' WHEN 'Phenotype' THEN 'renamed/' ELSE '' END || path AS path, CASE node_type WHEN 'Phenotype' THEN 'New ' ELSE '' END || identifier AS identifier, CASE node_type WHEN 'MethodOrProcedure' THEN 'other ' ELSE '' END || sha AS sha FROM b WHERE node_type <> 'Disease'),
+  gone AS (SELECT * FROM b WHERE path NOT IN (SELECT path FROM a)), came AS (SELECT * FROM a WHERE path NOT IN (SELECT path FROM b)),
+  i AS (SELECT identifier, min(path) AS moved FROM came GROUP BY identifier), c AS (SELECT sha, min(path) AS renamed FROM came GROUP BY sha)
+  SELECT path, CASE WHEN moved IS NOT NULL THEN 'moved' WHEN renamed IS NOT NULL THEN 'renamed' ELSE 'removed' END AS issue, coalesce(moved, renamed) AS new_path FROM gone LEFT JOIN i USING (identifier) LEFT JOIN c USING (sha)
+  UNION ALL SELECT path, 'added', NULL FROM came WHERE identifier NOT IN (SELECT identifier FROM gone) AND sha NOT IN (SELECT sha FROM gone)
+  UNION ALL SELECT a.path, 'changed', NULL FROM a JOIN b USING (path) WHERE a.sha <> b.sha OR a.identifier IS DISTINCT FROM b.identifier""")

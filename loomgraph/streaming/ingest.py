@@ -1,4 +1,4 @@
-"""Raw files as a stream: each micro-batch is converted, deduplicated against what is stored, and appended."""
+"""Raw files as a stream: rows are deduplicated by URL and content in keyed state, then converted and appended."""
 
 from __future__ import annotations
 
@@ -28,14 +28,59 @@ def prepared(files: DataFrame, root: str = "", marker: str = ingest.MARKER) -> D
     return whole.select(*COLUMNS, F.col("path").alias("ord"))
 
 
+#: Settings of the state store while a stream runs: on disk, with bounded memory per executor.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no disk reserved ahead of use
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def first_seen(rows: DataFrame) -> DataFrame:
+    """The rows (url, sha256, ...) of a stream whose URL, where they have one, and then whose content has not been seen.
+
+    Both are keyed state without expiry: what a batch costs follows its own rows, not what is stored already.
+    """
+    address = F.coalesce(F.concat(F.lit("url "), F.col("url")), F.concat(F.lit("content "), F.col("sha256")))
+    return rows.withColumn("_address", address).dropDuplicates(["_address"]).drop("_address").dropDuplicates(["sha256"])
+
+
+def stored_once(rows: DataFrame, store: str, checkpoint: str, root: str = "") -> StreamingQuery:
+    """Append each new content of a stream (path, content, url) to the Parquet table at ``store`` once.
+
+    A batch writes a folder of its own, so one that is run again after a failure replaces what it wrote.
+    """
+    spark = rows.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    fresh = first_seen(rows.select("path", "content", "url", F.sha2("content", 256).alias("sha256")))
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        urls = df.select(F.col("path").alias("ord"), "url")
+        out = prepared(df, root).join(urls, "ord").select(*COLUMNS, "url")
+        out.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+
+    spark.createDataFrame([], STORED + ", url string").write.mode("overwrite").parquet(f"{store}/epoch=-1")
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:  # a stream has its settings from when it began
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def ingest_stream(spark: SparkSession, folder: str, store: str, checkpoint: str) -> StreamingQuery:
     """Append each new content under ``folder`` to the Parquet table at ``store`` once."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    return stored_once(files.select("path", "content", F.lit(None).cast("string").alias("url")), store, checkpoint, folder)
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        stored = df.sparkSession.read.schema(STORED).option("pathGlobFilter", "*.parquet").parquet(store)
-        fresh = ingest.deduplicate(prepared(df, folder), stored.select("id", "sha256")).filter("action = 'stored'")
-        fresh.select(*COLUMNS).write.mode("append").parquet(store)
 
-    spark.createDataFrame([], STORED).write.mode("append").parquet(store)
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def seen(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """sha256 of every content that a stream has seen, from its state."""
+    for row in spark.read.format("state-metadata").load(checkpoint).select("operatorId").collect():  # two rows
+        state = spark.read.format("statestore").option("operatorId", row["operatorId"]).load(checkpoint)
+        if "sha256" in state.schema["key"].dataType.names:
+            return state.select("key.sha256")
+    raise ValueError(f"no stream has kept contents at {checkpoint}")

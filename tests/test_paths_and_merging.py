@@ -9,7 +9,7 @@ from collections import Counter, defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import components, graph, history, matching, merge, normalise, office, paths, semantic
+from loomgraph.operators import components, graph, history, matching, merge, normalise, office, paths, semantic, trees, versions
 
 EDGE = "subject string, raw_predicate string, object string, knowledge_level string, agent_type string, primary_source string, negated_flag boolean, direction string, ci_lower double, ci_upper double, p_value double"
 
@@ -239,3 +239,94 @@ def test_restore_leaves_removed_keys_removed(spark):
 )
 def test_pages_keep_their_text(page, want):
     assert office._page(page) == want
+
+
+# --- versions ----------------------------------------------------------------------------------
+
+
+def test_versions_of_two_writers(spark, tmp_path):
+    """One commits, one is told of the conflict, one aborts; restoring copies a manifest, and old versions stay as they were."""
+    table = versions.VersionedTable(spark, f"file://{tmp_path}/table")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    frame = lambda *pairs: spark.createDataFrame(pairs, "k long, v string")
+    assert table.latest() == 0 and table.log().count() == 0
+    assert table.commit(frame((1, "a"), (2, "b"), (2, "b")), "ingest", "first") == 1
+    assert table.commit(frame((2, "b"), (2, "b"), (1, "a")), "ingest", "the same") == 1
+    one, two, three = table.begin(), table.begin(), table.begin()
+    one.append(frame((3, "c")))
+    one.append(frame((4, "d")).select("v", "k"))
+    two.replace(frame((9, "z")))
+    three.append(frame((5, "e")))
+    assert rows(table.read()) == [(1, "a"), (2, "b"), (2, "b")]  # nothing staged shows
+    three.abort()
+    with pytest.raises(ValueError, match="aborted"):
+        three.commit("edit", "too late")
+    assert one.commit("edit", "two writes") == 2
+    with pytest.raises(versions.Conflict):
+        two.commit("edit", "lost")
+    again = table.begin()
+    again.replace(frame((9, "z"), (2, "b")))
+    assert rows(again.read()) == [(2, "b"), (9, "z")]
+    assert again.commit("edit", "after all") == 3
+    before = sorted(p.name for p in (tmp_path / "table" / "data").iterdir())
+    assert table.restore(1) == 4
+    assert sorted(p.name for p in (tmp_path / "table" / "data").iterdir()) == before
+    assert rows(table.read()) == rows(table.read(1)) == [(1, "a"), (2, "b"), (2, "b")]
+    assert rows(table.read(2)) == [(1, "a"), (2, "b"), (2, "b"), (3, "c"), (4, "d")] and rows(table.read(3)) == [(2, "b"), (9, "z")]
+    log = [(r["version"], r["parent"], r["kind"], r["summary"], r["added"], r["removed"]) for r in table.log().orderBy("version").collect()]
+    assert log == [(1, 0, "ingest", "first", 3, 0), (2, 1, "edit", "two writes", 2, 0), (3, 2, "edit", "after all", 1, 4), (4, 3, "restore", "version 1", None, None)]
+    assert table.begin().commit("edit", "nothing") == 4
+    with pytest.raises(ValueError, match="no version"):
+        table.read(7)
+
+
+# --- trees -------------------------------------------------------------------------------------
+
+
+def plain_diff(before, after):
+    old, new = {p: (i, h) for p, i, h in before}, {p: (i, h) for p, i, h in after}
+    gone, came = {p: v for p, v in old.items() if p not in new}, {p: v for p, v in new.items() if p not in old}
+    out = {}
+    for p, (name, sha) in gone.items():
+        moved, renamed = [q for q, v in came.items() if v[0] == name], [q for q, v in came.items() if v[1] == sha]
+        out[p] = ("moved", min(moved)) if moved else ("renamed", min(renamed)) if renamed else ("removed", None)
+    for p, (name, sha) in came.items():
+        if not any(v[0] == name or v[1] == sha for v in gone.values()):
+            out[p] = ("added", None)
+    return out | {p: ("changed", None) for p in old.keys() & new.keys() if old[p] != new[p]}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_tree_diff(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    folder = lambda: "/".join(rng.choice(["a", "b", "long name", "12", "1e5"]) for _ in range(rng.randrange(4)))
+    files = {f"{folder()}/f{i}.md".lstrip("/"): (f"n{i % 30}", f"h{rng.randrange(25)}") for i in range(40)}
+    after = dict(files)
+    for p in rng.sample(sorted(files), 12):
+        what, (name, sha) = rng.randrange(4), after.pop(p)
+        if what:
+            after[p if what == 1 else f"{folder()}/new{len(after)}.md".lstrip("/")] = (name if what == 2 else f"other{len(after)}", sha if what != 1 else "h99")
+    after["added/x.md"] = ("fresh", "fresh")
+    rows = [[(p, *v) for p, v in f.items()] for f in (files, after)]
+    roots = [f"file://{tmp_path}/{name}" for name in ("before", "after")]
+    for r, root in zip(rows, roots, strict=True):
+        trees.write_tree(spark.createDataFrame(r, "path string, identifier string, sha256 string").repartition(3), root)
+    assert {r["path"]: (r["issue"], r["new_path"]) for r in trees.tree_diff(spark, *roots).collect()} == plain_diff(*rows)
+    assert trees.tree_diff(spark, roots[0], roots[0]).count() == 0
+    touched = {p.rpartition("/")[0] for p in files.keys() | after.keys() if files.get(p) != after.get(p)}
+    assert {r["folder"] for r in trees.changed_folders(spark, *roots).collect()} == touched
+
+
+def test_folders_that_are_alike_are_not_read(spark, tmp_path):
+    """Their files are gone from storage, and the comparison does not miss them."""
+    rows = [(f"k/{x}/{i}.md", f"{x}{i}", "h") for x in ("same", "other") for i in range(3)]
+    roots = [f"file://{tmp_path}/{name}" for name in ("before", "after")]
+    for root, more in zip(roots, ([], [("k/other/9.md", "x", "y")]), strict=True):
+        trees.write_tree(spark.createDataFrame(rows + more, "path string, identifier string, sha256 string").coalesce(1), root)
+    for root in ("before", "after"):
+        for p in (tmp_path / root / "files").rglob("*.parquet"):
+            if "k/same/0.md" in str(p) or any("k/same" in r["path"] for r in spark.read.parquet(f"file://{p}").collect()):
+                p.write_bytes(b"no longer readable")
+                for c in p.parent.glob(f".{p.name}.crc"):
+                    c.unlink()
+    assert [tuple(r) for r in trees.tree_diff(spark, *roots).collect()] == [("k/other/9.md", "added", None)]

