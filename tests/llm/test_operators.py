@@ -590,6 +590,7 @@ def plain_chat(data):
         lines = {t: [((m := re.match(r"[ \t]*(?:>[ \t]*)+", x)) and m[0].count(">") or 0, x[len(m[0]) if m else 0 :]) for x in text.split("\n")] for t, text in turns.items()}
         own = {t: "\n".join(x for n, x in ls if not n).strip(" ") for t, ls in lines.items()}
         units = {t: {fold(x) for x in [o, *re.split(r"\n\s*\n", o), *o.split("\n")]} - {""} for t, o in own.items()}
+        parts = {t: cut(o) for t, o in own.items()}
         reply = {}
         for t, ls in lines.items():
             passages = []
@@ -602,7 +603,7 @@ def plain_chat(data):
             links = []
             for pos, (n, p) in enumerate(passages):
                 run = cut(p)
-                earlier = [u for u in turns if u < t and (fold(p) in units[u] or any(cut(own[u])[i : i + len(run)] == run for i in range(len(cut(own[u])))))]
+                earlier = [u for u in turns if u < t and (fold(p) in units[u] or any(parts[u][i : i + len(run)] == run for i in range(len(parts[u]))))]
                 links.append((n, pos, min(earlier)) if earlier else None)
             found = [x for x in links if x]
             reply[t] = (min(found)[2] if found else None, len(passages), len(found))
@@ -647,7 +648,12 @@ def test_chat_quotes_against_a_plain_version(spark):
     data += [(100, t, "user", (f"> step {t - 1}\n" if t else "") + f"step {t}", 1) for t in range(60)]
     data += [(101, t, "user", f"> first one\nreply {t}" if t else "first one", 1) for t in range(200)]
     data += [(102, 0, "user", "\n".join(f"line {i}" for i in range(3000)), 1), (102, 1, "user", "\n".join(f"> line {i}" for i in range(1000, 2500)) + "\nyes", 1), (102, 2, "user", "\n".join(("> " if i % 2 else ">> ") + f"line {i}" for i in range(900)), 1)]
+    many = [f"This is sentence {i % 1700} of it." for i in range(4000)]
+    cuts = [(rng.randrange(3800), n) for n in range(1, 61)]
+    data += [(103, 0, "user", " ".join(many), 1), (103, 1, "user", "\nno\n".join("> " + " ".join(many[i : i + n]) for i, n in cuts), 1), (103, 2, "user", "> " + " ".join([*many[:30], *many[31:50]]), 1)]
+    data += [(104, 0, "user", "ok. ok. ok. ok. well. ok. ok.", 1), (104, 1, "user", "> ok. ok. well. ok.", 1), (104, 2, "user", "> ok. ok. ok. ok. ok.", 1), (104, 3, "user", "> ok. ok.\n> ok. ok.", 1)]
     want = plain_chat(data)
+    assert want[103, 1][5] == 60 and want[103, 2][5] == 0 and [want[104, t][0] for t in (1, 2, 3)] == [0, None, 0]
     frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, depth int").repartition(5)
     got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"], r["position"], r["n_quotes"], r["n_linked"]) for r in chat_quotes.linked(frame).collect()}
     assert got == want

@@ -233,6 +233,7 @@ def test_phrases_against_counting(spark, monkeypatch, max_n, top):
     want = plain_phrases(data, max_n, top=top)
     assert len(want) > 10
     monkeypatch.setattr(phrases, "FLUSH", 50)
+    monkeypatch.setattr(phrases, "PAIRS_FLUSH", 200)
     monkeypatch.setattr(phrases, "SPREAD", 3)
     assert sorted(map(tuple, phrases.collocations(frame(spark, data).repartition(5), max_n, top=top).collect())) == want
 
