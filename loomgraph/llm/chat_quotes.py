@@ -3,13 +3,15 @@
 Quote levels are the number of ``>`` marks that begin a line, at any nesting. Consecutive
 lines of one level are a passage; its text, with marks gone, white space collapsed and case
 folded, is hashed whole and sentence by sentence (a sentence ends with its line, or where
-``.``, ``!`` or ``?`` stands before white space). Every message is indexed by the hashes of its
-own lines, of its paragraphs, of its whole text without quotes, and of every run of its
-sentences as long as some quotation of its conversation; the original of a quotation is the
-earliest message of the conversation that has the passage. So any run of whole lines or
-sentences is found, and a paragraph or message also where its lines are broken anew; less than
-a sentence is not looked for. A message replies to the original of its outermost linked
-quotation (of the first of several).
+``.``, ``!`` or ``?`` stands before white space). Every message of a conversation with
+quotations is indexed by the hashes of its own lines, of its paragraphs, of its whole text
+without quotes, and of its sentences with their positions. Of each distinct passage the sentence
+that is rarest in the conversation is looked up first; where it stands, the others must follow
+and precede it at the same distances. The original of a quotation is the earliest message of the
+conversation that has the passage. So any run of whole lines or sentences is found, at a cost
+that follows the length of messages and of passages, not their product, and a paragraph or
+message also where its lines are broken anew; less than a sentence is not looked for. A message
+replies to the original of its outermost linked quotation (of the first of several).
 
 Threads and depths come from pointer doubling along replies. The place of a message in its
 thread is its place in reply order: a message, then its replies by turn, each followed by what
@@ -76,21 +78,39 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r?\n|(?<=[.!?])[ \t]+|(?<=[。！？])"), folded), lambda x: F.char_length(x) > 0)
 
 
-def _run_hash(run: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(run, "\n")))
+def _marks(run: Column) -> Column:
+    """The hash of every sentence."""
+    return F.transform(run, lambda x: F.unhex(F.md5(x)))
+
+
+def runs_found(runs: DataFrame, index: DataFrame) -> DataFrame:
+    """conv_id, run_hash, by_run: the earliest message that holds the run of sentences.
+
+    runs: conv_id, run_hash (distinct), marks; index: conv_id, turn, row (rows that share a turn are told apart), i, mark.
+    """
+    counts = materialise(index.groupBy("conv_id", "mark").agg(F.count(F.lit(1)).alias("times")), "sentence-counts")
+    steps = materialise(runs.select("conv_id", "run_hash", F.size("marks").alias("k"), F.posexplode("marks").alias("j", "mark")), "run-sentences")
+    rarest = steps.join(counts, ["conv_id", "mark"]).groupBy("conv_id", "run_hash", "k").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("times", "j", "mark")).alias("rarest"))
+    anchors = materialise(rarest.filter("known = k").select("conv_id", "run_hash", "k", "rarest.j", "rarest.mark"), "anchors")
+    near = materialise(anchors.join(index, ["conv_id", "mark"]).select("conv_id", "run_hash", "k", "turn", "row", (F.col("i") - F.col("j")).alias("start")).filter("start >= 0"), "run-starts")
+    place = near.filter("k > 1").join(steps.drop("k"), ["conv_id", "run_hash"]).withColumn("i", F.col("start") + F.col("j"))
+    met = place.join(index, ["conv_id", "turn", "row", "i", "mark"]).groupBy("conv_id", "run_hash", "k", "turn", "row", "start").agg(F.count_distinct("j").alias("met")).filter("met = k")
+    whole = near.filter("k = 1").select("conv_id", "run_hash", "turn").unionByName(met.select("conv_id", "run_hash", "turn"))
+    return whole.groupBy("conv_id", "run_hash").agg(F.min("turn").alias("by_run"))
 
 
 def quotations(rows: DataFrame) -> DataFrame:
     """conv_id, turn, level, pos, original: every passage, with the earliest earlier message that has it (null: none)."""
     own = own_text(F.col("lines"))
     units = F.array_distinct(F.concat(F.array(own), F.split(own, r"\n\s*\n"), F.split(own, "\n")))
-    quoted = rows.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("pos", "p")).select("conv_id", "turn", "pos", F.col("p.level").alias("level"), _hash(F.col("p.text")).alias("hash"), sentences(F.col("p.text")).alias("run"))
-    quoted = materialise(quoted.select("conv_id", "turn", "pos", "level", "hash", F.size("run").alias("length"), _run_hash(F.col("run")).alias("run_hash")), "passages")
-    lengths = materialise(quoted.groupBy(F.col("conv_id").alias("l_conv")).agg(F.collect_set("length").alias("lengths")), "passage-lengths")
-    asked = rows.filter("turn is not null").join(lengths, rows.conv_id == lengths.l_conv)  # only conversations with quotations
-    runs = F.flatten(F.transform("lengths", lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("own") - k + 1, F.lit(1))), lambda i: i + k - 1 <= F.size("own")), lambda i: _run_hash(F.slice("own", i, k)))))
+    quoted = rows.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("pos", "p"))
+    quoted = quoted.select("conv_id", "turn", "pos", F.col("p.level").alias("level"), _hash(F.col("p.text")).alias("hash"), _marks(sentences(F.col("p.text"))).alias("marks"))
+    quoted = materialise(quoted.withColumn("run_hash", F.unhex(F.md5(F.array_join(F.transform("marks", F.hex), "")))), "passages")
+    quoting = materialise(quoted.select(F.col("conv_id").alias("q_conv")).distinct(), "quoting")
+    asked = rows.filter("turn is not null").join(quoting, rows.conv_id == quoting.q_conv, "left_semi")  # only conversations with quotations
     whole = asked.select("conv_id", "turn", F.explode(units).alias("unit")).filter(F.char_length(folded(F.col("unit"))) > 0).groupBy("conv_id", _hash(F.col("unit")).alias("hash")).agg(F.min("turn").alias("by_whole"))
-    in_runs = asked.select("conv_id", "turn", "lengths", sentences(own).alias("own")).select("conv_id", "turn", F.explode(F.array_distinct(runs)).alias("run_hash")).groupBy("conv_id", "run_hash").agg(F.min("turn").alias("by_run"))
+    index = materialise(asked.select("conv_id", "turn", F.xxhash64("text").alias("row"), F.posexplode(_marks(sentences(own))).alias("i", "mark")), "sentences")
+    in_runs = runs_found(quoted.groupBy("conv_id", "run_hash").agg(F.any_value("marks").alias("marks")).filter("size(marks) > 0"), index)
     original = F.least("by_whole", "by_run")
     # The indices are written first, so that the join can split passages that many messages quote.
     found = quoted.join(materialise(whole, "whole-units"), ["conv_id", "hash"], "left").join(materialise(in_runs, "sentence-runs"), ["conv_id", "run_hash"], "left")
