@@ -5,9 +5,10 @@ out by language and first word and sorted in reverse order; all prefixes of equa
 then neighbours, and one pass with a stack of open prefixes (one for each length) counts every
 phrase of up to ``max_n`` words. The counts of a phrase's parts are joined to it afterwards.
 
-* A phrase with a word that is rarer than ``min_count`` is itself rarer. Words are counted
-  first; a bitmap of fixed size of the frequent ones ends suffixes at rare words, before the
-  shuffle. Where it fills up it lets too much through, never too little.
+* A phrase with a word, or a pair of words, that is rarer than ``min_count`` is itself rarer.
+  Words are counted first, then pairs by slots of a hash; bitmaps of fixed size of the frequent
+  ones end suffixes there, before the shuffle. Where they fill up they let too much through,
+  never too little.
 * Equal suffixes are counted per task before they are shuffled. First words that make up more
   than one in HOT_SHARE of all words (so at most HOT_SHARE words) are spread over partitions by
   the rest of the suffix too; the partial counts of their shorter prefixes are summed up after.
@@ -33,13 +34,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release, slot_bitmap, trimmed
+from .common import materialise, mix, release, slot_bitmap, trimmed
 
 BREAK = "\n"
 #: A-Z lowered, tab as space, and whatever ends a piece as BREAK; bytes past ASCII stay.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 #: Distinct suffixes or words that a task holds before it sends their counts on.
 FLUSH = 1 << 18
+#: Pairs of words that a task holds before it sends their counts on.
+PAIRS_FLUSH = 1 << 22
+PAIR_BITS = 27
 MAX_SLOT_BITS = 27
 HOT_SHARE = 512
 SPREAD = 64
@@ -81,57 +85,136 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-class _Frequent(dict):
-    """Words as they are, rare ones as BREAK; what has been looked up is kept (``clear`` forgets it)."""
+class _Words(dict):
+    """Words of one language in a task: numbers for those that are frequent (others are -1, as is BREAK), and a hash of each."""
 
     def __init__(self, lang: str, bitmap: np.ndarray) -> None:
+        super().__init__({BREAK: -1})
         self.start, self.bitmap, self.slots = zlib.crc32(f"{lang}\t".encode()), bitmap, 8 * len(bitmap) - 1
+        self.words: list[str] = []
+        self.room = np.empty(1 << 12, np.uint64)  # hashes, with room for more
 
-    def __missing__(self, word: str) -> str:
-        slot = zlib.crc32(word.encode(), self.start) & self.slots
-        self[word] = out = word if self.bitmap[slot >> 3] >> (slot & 7) & 1 else BREAK
-        return out
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.room[: len(self.words)]
 
+    def __missing__(self, word: str) -> int:
+        raw = word.encode()
+        h = zlib.crc32(raw, self.start)
+        self[word] = number = len(self.words) if self.bitmap[(h & self.slots) >> 3] >> (h & 7) & 1 else -1
+        if number >= 0:
+            if number == len(self.room):
+                self.room = np.concatenate([self.room, np.empty_like(self.room)])
+            self.room[number] = h << 32 | zlib.crc32(raw, h)
+            self.words.append(word)
+        return number
 
-def _columns(max_n: int) -> list[str]:
-    return [f"w{i}" for i in range(1, max_n + 1)]
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def suffixes(texts: DataFrame, frequent: Broadcast, max_n: int) -> DataFrame:
-    """lang, w1 to w<max_n> (empty past a suffix's end), n: suffixes that begin with a frequent word, counted per task."""
-    names = ["lang", *_columns(max_n), "n"]
+def _pair_slots(numbers: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """For each word but the last, the slot of it and the word after it; -1 where either is not frequent."""
+    a, b = numbers[:-1], numbers[1:]
+    slot = mix(mix(hashes[a]) + hashes[b]) >> np.uint64(64 - bits)
+    return np.where((a >= 0) & (b >= 0), slot.astype(np.int64), -1)
+
+
+def frequent_pairs(texts: DataFrame, frequent: Broadcast, min_count: int, bits: int) -> DataFrame:
+    """slot of the pairs of neighbouring words that occur ``min_count`` times or more; pairs that share a slot count together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = defaultdict(Counter)
-        known: dict[str, _Frequent] = {}
+        known: dict[str, _Words] = {}
+        held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            langs, words, n = [], [], []
-            for lang, counts in held.items():
-                for gram, many in counts.items():
-                    if gram[0] != BREAK:
-                        end = gram.index(BREAK) if BREAK in gram else max_n
-                        langs.append(lang)
-                        words.append(gram[:end] + ("",) * (max_n - end))
-                        n.append(many)
+            slots, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             known.clear()
-            columns = zip(*words, strict=True) if words else [()] * max_n
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *(pa.array(c, pa.string()) for c in columns), pa.array(n, pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(n, pa.int64())], names=["slot", "n"])
 
         for batch in trimmed(batches):
             for lang, words in _each(batch):
                 if lang not in known:
-                    known[lang] = _Frequent(lang, frequent.value)
-                row = [known[lang][w] for w in words] + [BREAK] * (max_n - 1)
-                held[lang].update(zip(*(row[i : len(row) - max_n + 1 + i] for i in range(max_n)), strict=True))
-                if sum(map(len, held.values())) >= FLUSH:
+                    known[lang] = _Words(lang, frequent.value)
+                of = known[lang]
+                numbers = of.numbers(words)
+                if len(numbers) > 1 and of.words:
+                    slots = _pair_slots(numbers, of.hashes, bits)
+                    held.append(slots[slots >= 0])
+                    size += len(slots)
+                if size >= PAIRS_FLUSH:
+                    size = 0
                     yield flush()
         if held:
             yield flush()
         release()
 
-    # BREAK is looked up like a word: no word holds it, so it stays what it is.
+    counted = texts.mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= min_count).select("slot")
+
+
+def _columns(max_n: int) -> list[str]:
+    return [f"w{i}" for i in range(1, max_n + 1)]
+
+
+def _counted(rows: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of numbers from -1 to base - 2, and how often each occurs; as one number each, where that has room."""
+    width = rows.shape[1]
+    if base**width >= 1 << 63:
+        return np.unique(rows, axis=0, return_counts=True)
+    powers = base ** np.arange(width - 1, -1, -1, dtype=np.int64)
+    keys, n = np.unique((rows + 1) @ powers, return_counts=True)
+    return keys[:, None] // powers % base - 1, n
+
+
+def suffixes(texts: DataFrame, frequent: Broadcast, pairs: Broadcast, bits: int, max_n: int) -> DataFrame:
+    """lang, w1 to w<max_n> (empty past a suffix's end), n: suffixes of two words or more, counted per task. A suffix ends
+    before a rare word, and before a word that makes a rare pair with the one before it."""
+    names = ["lang", *_columns(max_n), "n"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, _Words] = {}
+        held: dict[str, list[np.ndarray]] = defaultdict(list)
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                grams, n = _counted(np.concatenate(parts), len(known[lang].words) + 1)
+                words = pa.array([*known[lang].words, ""], pa.string())
+                columns = [words.take(pa.array(np.where(grams[:, i] < 0, len(words) - 1, grams[:, i]))) for i in range(max_n)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, pa.array(n, pa.int64())], names=names)
+            held.clear()
+            known.clear()
+
+        for batch in trimmed(batches):
+            for lang, words in _each(batch):
+                if lang not in known:
+                    known[lang] = _Words(lang, frequent.value)
+                of = known[lang]
+                numbers = of.numbers(words)
+                if len(numbers) < 2 or not of.words:
+                    continue
+                slots = _pair_slots(numbers, of.hashes, bits)
+                joined = np.zeros(len(numbers), bool)  # whether a word goes on to the next
+                joined[:-1] = (slots >= 0) & (pairs.value[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+                first = np.flatnonzero(joined)
+                grams = np.full((len(first), max_n), -1, np.int64)
+                goes = np.ones(len(first), bool)
+                for i in range(max_n):
+                    at = first + i
+                    if i:
+                        goes = goes & (at < len(numbers)) & joined[np.minimum(at - 1, len(numbers) - 1)]
+                    grams[goes, i] = numbers[at[goes]]
+                held[lang].append(grams)
+                size += len(first)
+                if size >= PAIRS_FLUSH // 4:
+                    size = 0
+                    yield from flush()
+        yield from flush()
+        release()
+
     return texts.mapInArrow(work, ", ".join(f"{c} {'long' if c == 'n' else 'string'}" for c in names))
 
 
@@ -160,6 +243,8 @@ def count_prefixes(rows: DataFrame, max_n: int, min_count: int) -> DataFrame:
             for depth in range(1, max_n + 1):
                 for c in columns[:2] if depth == 1 else columns[depth : depth + 1]:
                     new[1:] |= pc.not_equal(c.slice(1), c.slice(0, size - 1)).to_numpy(zero_copy_only=False)
+                if depth == 1:  # words have been counted
+                    continue
                 new[0] = True
                 starts = np.flatnonzero(new)
                 sums = np.add.reduceat(n, starts)
@@ -202,15 +287,19 @@ def phrase_counts(docs: DataFrame, max_n: int = 3, min_count: int = 10, lang_col
     shared = spark.sparkContext.broadcast(slot_bitmap(frequent.select(_slot(F.col("lang"), F.col("word"), bits)), bits))
     every = totals.agg(F.sum("n")).first()[0] or 0
     hot = frequent.filter(HOT_SHARE * F.col("n") > F.lit(every)).select("lang", F.col("word").alias("w1"), F.lit(True).alias("hot"))  # HOT_SHARE rows at most
-    rows = suffixes(texts, shared, max_n).join(F.broadcast(hot), ["lang", "w1"], "left").withColumn("hot", F.col("hot").isNotNull())
+    pairs = materialise(frequent_pairs(texts, shared, min_count, PAIR_BITS), "frequent-pairs")
+    shared_pairs = spark.sparkContext.broadcast(slot_bitmap(pairs, PAIR_BITS))
+    rows = suffixes(texts, shared, shared_pairs, PAIR_BITS, max_n).join(F.broadcast(hot), ["lang", "w1"], "left").withColumn("hot", F.col("hot").isNotNull())
     salt = F.when(F.col("hot"), F.xxhash64(*_columns(max_n)[1:])).otherwise(0)
     order = [F.desc(c) for c in ("w1", "lang", *_columns(max_n)[1:])]
     dealt = rows.repartition("lang", "w1", salt).sortWithinPartitions(*order)
     parts = count_prefixes(dealt, max_n, min_count)
     summed = parts.groupBy("lang", *_columns(max_n)).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
     spelled = F.filter(F.array(*_columns(max_n)), lambda w: w != "")
-    out = materialise(summed.select("lang", F.array_join(spelled, " ").alias("phrase"), F.size(spelled).alias("size"), "f"), "phrases")
-    shared.destroy()
+    longer = summed.select("lang", F.array_join(spelled, " ").alias("phrase"), F.size(spelled).alias("size"), "f").filter("size > 1")
+    out = materialise(longer.unionByName(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))), "phrases")
+    for broadcast in (shared, shared_pairs):
+        broadcast.destroy()
     return out, totals
 
 

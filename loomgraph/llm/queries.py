@@ -111,8 +111,10 @@ ORACLE_SQL: dict[str, str] = {
     "op11_minhash_near_dedup": _components(2, 80, ", doc_id = component_id AS kept"),
     "op13_phrase_collocations": f"""
         WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
-        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM d),
-        g AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i : i + size - 1], ' '))) AS phrase FROM w, range(1, 4) AS z(size)),
+        p AS (SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM d),
+        w AS (SELECT lang, id, unnest(ws) AS w1, generate_subscripts(ws, 1) AS pos FROM p),
+        v AS (SELECT lang, w1, lead(w1) OVER (PARTITION BY id ORDER BY pos) AS w2, lead(w1, 2) OVER (PARTITION BY id ORDER BY pos) AS w3 FROM w),
+        g AS (SELECT lang, 1 AS size, w1 AS phrase FROM v UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM v WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM v WHERE w3 IS NOT NULL),
         f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM g GROUP BY lang, phrase),
         t AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
         o AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
