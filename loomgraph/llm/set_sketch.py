@@ -19,7 +19,7 @@ representative first.
 * Once components are known, buckets that still hold several of them are joined again, across
   components only, behind bounds within the join condition: a coarse form of the same likelihood
   (one bit of each register, held in a few numbers), and how many shingles of each commonness
-  both have. What stays is estimated and verified alike. Copies of one component make no pairs.
+  and class by hash both have. What stays is estimated and verified alike. Copies of one component make no pairs.
 
 Shingles are compared by 64-bit hashes of words (see ``common.span_hashes``), not by text.
 
@@ -51,7 +51,9 @@ BASE, RATE = 1.2, 20.0  # step of the registers' scale, and rate of the exponent
 SLACK = 20.0
 LEADS, BEST = 4, 4  # of a bucket, and pairs with leads that a document is verified in
 COARSE = [f"coarse_{i}" for i in range(-(-REGISTERS // 64))]
-LEVELS = [f"level_{i}" for i in range(1, 10)]
+#: Shingles of a document, counted in three ranges of commonness by CLASSES each, three counts of FIELD bits to a column.
+CLASSES, FIELD = 12, 21
+CELLS = [f"cell_{i}" for i in range(CLASSES)]
 #: Bytes of text that are hashed together: their shingles stay in a core's cache.
 SKETCH_BYTES = 1 << 18
 MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -180,29 +182,42 @@ def mixed_postings(listed: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(named.join(mixed, "bucket", "left_semi"), "mixed-postings")
 
 
-def common_shingles(sets: DataFrame) -> DataFrame:
-    """doc and LEVELS: how many shingles of a document occur in 2 or 3 of ``sets`` (doc, shingles), in 4 to 7, and so on; the
-    last level has no upper end. What only one document has is in none."""
+def shingle_cells(sets: DataFrame) -> DataFrame:
+    """doc, common and CELLS: how many shingles of a document (of ``sets``: doc, shingles) another one has too, and how many
+    of them are in each cell, a cell being a range of commonness (2 to 7 documents, 8 to 63, more) and a class by hash."""
     each = sets.select("doc", F.explode("shingles").alias("shingle"))
     counts = materialise(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "shingle-counts")
-    level = F.least(F.floor(F.log2("many")), F.lit(len(LEVELS)))
-    return each.join(counts, "shingle").select("doc", level.alias("level")).groupBy("doc").agg(*(F.count_if(F.col("level") == i).alias(c) for i, c in enumerate(LEVELS, 1)))
+    group = F.when(F.col("many") < 8, 0).when(F.col("many") < 64, 1).otherwise(2)
+    cell = (group * CLASSES + F.pmod("shingle", F.lit(CLASSES))).cast("int")
+    placed = each.join(counts, "shingle").select("doc", F.floor(cell / 3).alias("cell"), (cell % 3).alias("field"))
+    one = F.when(F.col("field") == 0, F.lit(1)).when(F.col("field") == 1, F.lit(1 << FIELD)).otherwise(F.lit(1 << 2 * FIELD)).cast("long")
+    return placed.groupBy("doc").agg(F.count(F.lit(1)).alias("common"), *(F.sum(F.when(F.col("cell") == i, one).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(CELLS)))
 
 
-def cross_pairs(mixed: DataFrame, reps: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+def _beyond(a: str, b: str) -> str:
+    """SQL for the packed numbers of ``a`` less those of ``b``, 0 where they are smaller. A field's highest bit is never in
+    use: set before ``b`` is taken away, it is left where ``a`` is not smaller."""
+    high = sum(1 << (FIELD * (i + 1) - 1) for i in range(3))
+    left = f"(({a} | {high}L) - {b})"
+    return f"({left} & (({left} & {high}L) - shiftright({left} & {high}L, {FIELD - 1})))"
+
+
+def cross_pairs(mixed: DataFrame, reps: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     """a, b (a < b): pairs of one bucket that are in different components.
 
-    A shingle that two documents share is as common for the one as for the other, so they share at most the smaller number
-    of each level, added up. A copy of a large group that is too far from the group's text for a link has too many
-    shingles that are rare, and so makes no pairs with the copies that are close to it.
+    A shingle that two documents share lies in one cell for both, so they share at most the smaller number of each cell,
+    added up. A copy of a large group that is too far from the group's text for a link has too many shingles that are rare
+    and too few that are common, and so makes no pairs with the copies that are close to it.
     """
-    sized = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *COARSE).join(common, "doc")
-    every = sum((F.col(c) for c in LEVELS), F.lit(0))
-    left = materialise(mixed.join(sized.filter(100 * every >= percent * F.col("n")), "doc"), "sized-postings")
-    right = left.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", *LEVELS, *COARSE)))
+    sized = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *COARSE).join(cells, "doc")
+    left = materialise(mixed.join(sized.filter(100 * F.col("common") >= percent * F.col("n")), "doc"), "sized-postings")
+    right = left.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", *CELLS, *COARSE)))
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in COARSE), F.lit(0))
-    most = sum((F.least(c, f"{c}_b") for c in LEVELS), F.lit(0))
-    enough = (100 + percent) * most >= percent * (F.col("n") + F.col("n_b"))
+    # What the one has beyond the other, cell by cell, is never more than it has at all, so packed numbers can be added up;
+    # the three fields of the sum add up to it modulo 2 ** FIELD - 1.
+    most = F.col("common") - F.expr(f"({' + '.join(_beyond(c, f'{c}_b') for c in CELLS)}) % {(1 << FIELD) - 1}L")
+    large = F.greatest("n", "n_b") >= 1 << (FIELD - 1)  # more than a field holds: not bounded so
+    enough = large | ((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")))
     apart = (F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b"))
     met = left.join(right, "bucket").filter(apart & _similar_size(F.col("n"), F.col("n_b"), percent) & (differ <= coarse_bits(percent / 100)) & enough)
     return met.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
@@ -282,8 +297,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, id_col: str
     found = components(edges)
     mixed = mixed_postings(listed, found)
     sets = sets_of(known, mixed.select("doc"), k, slot_bits)
-    common = materialise(common_shingles(sets), "common-shingles")
-    further = materialise(likely(cross_pairs(mixed, reps, common, percent).join(tested, ["a", "b"], "left_anti"), reps, percent).select("a", "b"), "further-pairs")
+    cells = materialise(shingle_cells(sets), "shingle-cells")
+    further = materialise(likely(cross_pairs(mixed, reps, cells, percent).join(tested, ["a", "b"], "left_anti"), reps, percent).select("a", "b"), "further-pairs")
     if not further.isEmpty():
         edges = edges.unionByName(materialise(verified(sets, further, percent), "further-links"))
         found = components(edges)
