@@ -54,6 +54,25 @@ def test_whole_texts(spark, tmp_path):
     assert rows("sha_id_whole")[1].startswith("title-here-abcde")
 
 
+def test_coverage_makes_the_other_text_once(spark):
+    """30,000 different words of a text of markup: what is made of the text for every word anew takes hours."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from loomgraph.functions import text as T
+
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:06d}")
+    long = " ".join(f"<b>{word(i)}</b>" for i in range(30_000))
+    inside = " ".join(f"{word(i)}xx" for i in range(60)) + " <i>" + " ".join(word(i) for i in range(100, 140))
+    rows = [(1, long, long), (2, " ".join(word(i) for i in range(60)), inside), (3, " ".join(word(i) for i in range(60)), None), (4, " ".join(word(i).upper() for i in range(50, 110)), inside), (5, "a b", "c"), (6, None, "c")]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    began = time.perf_counter()
+    got = dict(df.select("id", T.coverage(F.col("a"), T.strip_markup(F.col("b")))).collect())
+    assert time.perf_counter() - began < 60
+    assert got == {1: 1.0, 2: 1.0, 3: 0.0, 4: 20 / 60, 5: None, 6: None}
+
+
 def test_merge_raw_finds_free_suffixes(spark):
     """More than 64 suffixes taken, a gap, and a suffix that a moved source takes."""
     from loomgraph.operators import merge
