@@ -17,9 +17,11 @@ representative first.
   where the likelihood of the threshold itself is lower than that of the best estimate by a
   factor of e ** SLACK. Of what stays, each document's best few pairs are verified on full sets.
 * Once components are known, buckets that still hold several of them are joined again, across
-  components only, behind bounds within the join condition: a coarse form of the same likelihood
-  (one bit of each register, held in a few numbers), and how many shingles of each commonness
-  and class by hash both have. What stays is estimated and verified alike. Copies of one component make no pairs.
+  components only, behind bounds within the join condition: the odd sketch of a set (for each of
+  ODD_BITS classes by hash, whether the number of its shingles is odd) differs from another's in
+  at most as many bits as there are shingles that only one of both sets has, and a coarse form of
+  the same likelihood (one bit of each register, held in a few numbers) serves long texts, whose
+  odd sketches are full. What stays is estimated and verified alike. Copies of one component make no pairs.
 
 Shingles are compared by 64-bit hashes of words (see ``common.span_hashes``), not by text.
 
@@ -51,9 +53,8 @@ BASE, RATE = 1.2, 20.0  # step of the registers' scale, and rate of the exponent
 SLACK = 20.0
 LEADS, BEST = 4, 4  # of a bucket, and pairs with leads that a document is verified in
 COARSE = [f"coarse_{i}" for i in range(-(-REGISTERS // 64))]
-#: Shingles of a document, counted in three ranges of commonness by CLASSES each, three counts of FIELD bits to a column.
-CLASSES, FIELD = 12, 21
-CELLS = [f"cell_{i}" for i in range(CLASSES)]
+ODD_BITS = 1024  # a multiple of 64
+ODD = [f"odd_{i}" for i in range(ODD_BITS // 64)]
 #: Bytes of text that are hashed together: their shingles stay in a core's cache.
 SKETCH_BYTES = 1 << 18
 MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -78,20 +79,32 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ODD_BITS bits, 64 to a number, for each set. Those of two sets differ in at most as many bits as there are
+    shingles that only one of both has, and in an odd number of bits where that number is odd."""
+    out = np.zeros((len(sets), len(ODD)), np.uint64)
+    if sets:
+        at = np.concatenate(sets) % np.uint64(ODD_BITS)
+        row = np.repeat(np.arange(len(sets), dtype=np.int64) * len(ODD), [len(s) for s in sets])
+        np.bitwise_xor.at(out.reshape(-1), row + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), registers."""
+    """doc_id, n_shingles, digest (of the set), registers, odd (its odd sketch)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
-            sizes, digests, rows = [], [], []
+            sizes, digests, rows, odd = [], [], [], []
             for _, _, data, offsets in text_chunks(batch.column("text"), SKETCH_BYTES):
                 sets = shingle_sets(data, offsets, k)
                 sizes += map(len, sets)
                 digests += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 rows += [r.tobytes() for r in registers(sets)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "n_shingles", "digest", "registers"])
+                odd += [r.tobytes() for r in odd_sketches(sets)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, rows, odd))], names=["doc_id", "n_shingles", "digest", "registers", "odd"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, digest binary, registers binary")
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, digest binary, registers binary, odd binary")
 
 
 # --- likelihood ------------------------------------------------------------------------------
@@ -182,44 +195,20 @@ def mixed_postings(listed: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(named.join(mixed, "bucket", "left_semi"), "mixed-postings")
 
 
-def shingle_cells(sets: DataFrame) -> DataFrame:
-    """doc, common and CELLS: how many shingles of a document (of ``sets``: doc, shingles) another one has too, and how many
-    of them are in each cell, a cell being a range of commonness (2 to 7 documents, 8 to 63, more) and a class by hash."""
-    each = sets.select("doc", F.explode("shingles").alias("shingle"))
-    counts = materialise(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "shingle-counts")
-    group = F.when(F.col("many") < 8, 0).when(F.col("many") < 64, 1).otherwise(2)
-    cell = (group * CLASSES + F.pmod("shingle", F.lit(CLASSES))).cast("int")
-    placed = each.join(counts, "shingle").select("doc", F.floor(cell / 3).alias("cell"), (cell % 3).alias("field"))
-    one = F.when(F.col("field") == 0, F.lit(1)).when(F.col("field") == 1, F.lit(1 << FIELD)).otherwise(F.lit(1 << 2 * FIELD)).cast("long")
-    return placed.groupBy("doc").agg(F.count(F.lit(1)).alias("common"), *(F.sum(F.when(F.col("cell") == i, one).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(CELLS)))
-
-
-def _beyond(a: str, b: str) -> str:
-    """SQL for the packed numbers of ``a`` less those of ``b``, 0 where they are smaller. A field's highest bit is never in
-    use: set before ``b`` is taken away, it is left where ``a`` is not smaller."""
-    high = sum(1 << (FIELD * (i + 1) - 1) for i in range(3))
-    left = f"(({a} | {high}L) - {b})"
-    return f"({left} & (({left} & {high}L) - shiftright({left} & {high}L, {FIELD - 1})))"
-
-
-def cross_pairs(mixed: DataFrame, reps: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(mixed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """a, b (a < b): pairs of one bucket that are in different components.
 
-    A shingle that two documents share lies in one cell for both, so they share at most the smaller number of each cell,
-    added up. A copy of a large group that is too far from the group's text for a link has too many shingles that are rare
-    and too few that are common, and so makes no pairs with the copies that are close to it.
+    Sets of n and n_b shingles link where at most (100 - percent) / (100 + percent) of n + n_b shingles are in one of them
+    only, which is the same as their similarity; odd sketches that differ in more bits rule that out. So the copies of a
+    large group that are too far for a link make next to no pairs.
     """
-    sized = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *COARSE).join(cells, "doc")
-    left = materialise(mixed.join(sized.filter(100 * F.col("common") >= percent * F.col("n")), "doc"), "sized-postings")
-    right = left.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", *CELLS, *COARSE)))
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in COARSE), F.lit(0))
-    # What the one has beyond the other, cell by cell, is never more than it has at all, so packed numbers can be added up;
-    # the three fields of the sum add up to it modulo 2 ** FIELD - 1.
-    most = F.col("common") - F.expr(f"({' + '.join(_beyond(c, f'{c}_b') for c in CELLS)}) % {(1 << FIELD) - 1}L")
-    large = F.greatest("n", "n_b") >= 1 << (FIELD - 1)  # more than a field holds: not bounded so
-    enough = large | ((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")))
+    sized = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *COARSE, *ODD)
+    left = materialise(mixed.join(sized, "doc"), "sized-postings")
+    right = left.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", *COARSE, *ODD)))
+    differ = lambda columns: sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in columns), F.lit(0))
+    enough = ((100 + percent) * differ(ODD) <= (100 - percent) * (F.col("n") + F.col("n_b"))) & (differ(COARSE) <= coarse_bits(percent / 100))
     apart = (F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b"))
-    met = left.join(right, "bucket").filter(apart & _similar_size(F.col("n"), F.col("n_b"), percent) & (differ <= coarse_bits(percent / 100)) & enough)
+    met = left.join(right, "bucket").filter(apart & _similar_size(F.col("n"), F.col("n_b"), percent) & enough)
     return met.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
 
 
@@ -282,8 +271,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, id_col: str
     head = materialise(sketched(thin, k), "sketches")
     groups = materialise(head.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "set-groups")
     members = head.join(groups, "digest", "left")
-    first = members.filter("doc_id = rep").dropDuplicates(["digest"]).select("doc_id", "n_shingles", "registers")
-    reps = materialise(with_coarse(first), "representatives")
+    first = members.filter("doc_id = rep").dropDuplicates(["digest"]).select("doc_id", "n_shingles", "registers", "odd")
+    reps = materialise(with_bits(first), "representatives")
     slot_bits = min(MAX_SLOT_BITS, max(16, (32 * head.count()).bit_length()))
     known = thin.filter("doc_id is not null")
     listed = shared_postings(reps)
@@ -296,24 +285,25 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, id_col: str
     edges = materialise(verified(sets_of(known, ends, k, slot_bits), tested, percent), "links")
     found = components(edges)
     mixed = mixed_postings(listed, found)
-    sets = sets_of(known, mixed.select("doc"), k, slot_bits)
-    cells = materialise(shingle_cells(sets), "shingle-cells")
-    further = materialise(likely(cross_pairs(mixed, reps, cells, percent).join(tested, ["a", "b"], "left_anti"), reps, percent).select("a", "b"), "further-pairs")
+    further = materialise(likely(cross_pairs(mixed, reps, percent).join(tested, ["a", "b"], "left_anti"), reps, percent).select("a", "b"), "further-pairs")
     if not further.isEmpty():
+        sets = sets_of(known, further.select(F.explode(F.array("a", "b"))), k, slot_bits)
         edges = edges.unionByName(materialise(verified(sets, further, percent), "further-links"))
         found = components(edges)
     out = members.join(found, members.rep == found.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def with_coarse(reps: DataFrame) -> DataFrame:
-    """``reps`` with the lowest bit of every register, 64 to a column of COARSE."""
+def with_bits(reps: DataFrame) -> DataFrame:
+    """``reps`` with the lowest bit of every register, 64 to a column of COARSE, and ``odd`` as the columns of ODD."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             rows = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(n, REGISTERS) & 1
-            bits = np.packbits(np.pad(rows, ((0, 0), (0, 64 * len(COARSE) - REGISTERS))), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(COARSE)))], names=[*batch.schema.names, *COARSE])
+            coarse = np.packbits(np.pad(rows, ((0, 0), (0, 64 * len(COARSE) - REGISTERS))), axis=1).view(np.int64)
+            odd = np.frombuffer(b"".join(batch.column("odd").to_pylist()), np.int64).reshape(n, len(ODD))
+            bits = [pa.array(np.ascontiguousarray(c)) for c in (*coarse.T, *odd.T)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *bits], names=[*batch.schema.names[:3], *COARSE, *ODD])
 
-    return reps.mapInArrow(work, "doc_id long, n_shingles long, registers binary, " + ", ".join(f"{c} long" for c in COARSE))
+    return reps.mapInArrow(work, "doc_id long, n_shingles long, registers binary, " + ", ".join(f"{c} long" for c in (*COARSE, *ODD)))

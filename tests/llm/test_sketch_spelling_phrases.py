@@ -76,6 +76,36 @@ def test_large_groups_whose_copies_differ(spark):
     assert found(spark, data) == want
 
 
+def test_copies_too_far_for_a_link_make_next_to_no_pairs(spark, monkeypatch):
+    """150 copies of one text, each word at 40 places being one of two: most pairs are as alike as 0.66, few as 0.8."""
+    rng = random.Random(5)
+    places = rng.sample(range(200), 40)
+    data = []
+    for i in range(150):
+        words = [f"w{j}" for j in range(200)]
+        for j in places:
+            words[j] = f"{'uv'[rng.randrange(2)]}{j}"
+        data.append(doc(i, " ".join(words)))
+    asked, likely = [], set_sketch.likely
+    monkeypatch.setattr(set_sketch, "likely", lambda pairs, reps, percent: (asked.append(pairs.count()), likely(pairs, reps, percent))[1])
+    want = near(data)
+    assert len({w[1] for w in want.values()}) > 50
+    assert found(spark, data) == want
+    assert len(asked) == 2 and asked[1] < 300
+
+
+def test_odd_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(2)
+    every = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    sets = [np.sort(every[:n]) for n in (0, 1, 100, 130, 3000)]
+    bits = np.unpackbits(set_sketch.odd_sketches(sets).view(np.uint8), axis=1)
+    for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2):
+        apart, found = len(np.setxor1d(a, b)), int((bits[i] != bits[j]).sum())
+        assert found <= apart and (found - apart) % 2 == 0
+    assert (bits[2] != bits[3]).sum() >= 26  # of 30
+    assert set_sketch.odd_sketches([]).shape == (0, set_sketch.ODD_BITS // 64)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     data = [doc(None, "a b c"), doc(9, "A b\tc"), doc(9, "a b c"), doc(4, "a b c"), doc(5, None), doc(6, " \n"), doc(7, ""), doc(8, "one"), doc(3, "ONE")]
     got = sorted((tuple(r) for r in set_sketch.near_duplicates(frame(spark, data)).collect()), key=repr)
