@@ -84,6 +84,30 @@ def test_merge_raw_finds_free_suffixes(spark):
     assert got == {"a": "a-90", "b": "b-3", "c": "c-3", "c-2": "c-2", "d": "d-2"}
 
 
+def test_index_cuts_up_only_what_a_line_may_hold(spark, monkeypatch):
+    """Identifiers that begin as no line does are not cut up, and the rarest run of one is found without a sort."""
+    from loomgraph.operators import stats
+
+    ids = [*(f"Order {i}" for i in range(500)), *(f"Part {i}" for i in range(60)), "", None, "|", "P", "zz", "t 7 |", "Part 33 | nàme", "nàme 9", "ame 10 |", "Part 3 | name"]
+    lines = [*(f"| {'Part ' if i % 3 == 0 else 'P-'}{i} | nàme {i % 12} |" for i in range(90)), None, "", "| Part 3 |"]
+    made, plans, write = {}, [], stats.materialise
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(stats, "materialise", kept)
+    frame = lambda rows, name: spark.createDataFrame([(r,) for r in rows for _ in range(2)], f"{name} string")
+    got = sorted(r[0] for r in stats.index_missing(frame(ids, "identifier"), frame(lines, "line")).collect())
+    assert got == sorted(i for i in ids if i and not any(i in x for x in lines if x))
+    assert made["identifier-runs"] < 300
+    assert not any("SortAggregate" in p for p in plans)
+    assert [r[0] for r in stats.index_missing(frame(["a"], "identifier"), frame([], "line")).collect()] == ["a"]
+    assert stats.index_missing(frame([], "identifier"), frame(["a"], "line")).count() == 0
+
+
 def test_contract():
     import __spark_entry__
 
